@@ -1,8 +1,6 @@
 """Distribution summary of a numeric column."""
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.operators.running import running, with_ranges
@@ -38,32 +36,26 @@ def describe_exact(df: DataFrame, column: str) -> DataFrame:
         .groupBy(F.col(column).alias("value"))
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    ranked = running(with_ranges(counts, "value"), "value", F.col("times"), "upto")
-    total = ranked.agg(F.sum("times").alias("total")).withColumns(
-        {f"rank_{q}": (F.col("total") - 1) * p for q, p in QUARTILES.items()}
-    )
-    # the pass over distinct values keeps, per quartile, the values at the ranks around it
-    ranks = total.first()
-    value, upto, times = F.col("value"), F.col("upto"), F.col("times")
-    mean = F.sum(value.cast("double") * times) / F.sum(times)
-    around = []
-    for q in QUARTILES:
-        rank = ranks[f"rank_{q}"]
-        if rank is None:
-            around.append(F.lit(None).cast("double").alias(q))
-            continue
-        low = F.min(F.when(upto > int(rank), value)).cast("double")
-        high = F.min(F.when(upto > int(rank) + (rank % 1 > 0), value)).cast("double")
-        around.append((low + (high - low) * (rank % 1)).alias(q))
-    # weighted spread around a mean known from this pass, as a second moment would cancel
-    center = ranked.agg(mean.alias("mean")).first()["mean"]
-    square = F.sum((value.cast("double") - F.lit(center)) ** 2 * times)
-    n = F.sum(times)
-    return ranked.agg(
-        F.coalesce(n, F.lit(0)).alias("n"),
+    counts = with_ranges(counts, "value")
+    value, times, upto = F.col("value").cast("double"), F.col("times"), F.col("upto")
+    mean = F.sum(value * times) / F.sum(times)
+    known = counts.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n"), mean.alias("mean")).first()
+
+    def quartile(share: float) -> Column:
+        rank = max(known["n"] - 1, 0) * share
+        low, fraction = int(rank), rank % 1
+        at = F.min(F.when(upto > low, value))
+        after = F.min(F.when(upto > low + (fraction > 0), value))
+        return at + (after - at) * fraction
+
+    # the mean is known by now, so the spread is summed around it and nothing cancels
+    squares = F.sum((value - F.lit(known["mean"]).cast("double")) ** 2 * times)
+    spread = F.sqrt(squares / (known["n"] - 1)) if known["n"] > 1 else F.lit(None).cast("double")
+    return running(counts, "value", times, "upto").agg(
+        F.coalesce(F.sum("times"), F.lit(0)).alias("n"),
         mean.alias("mean"),
-        F.when(n > 1, F.sqrt(square / F.nullif(n - 1, F.lit(0)))).alias("std"),
+        spread.alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        *around,
+        *[quartile(share).alias(name) for name, share in QUARTILES.items()],
     )
