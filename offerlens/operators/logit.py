@@ -29,16 +29,20 @@ TOO_FEW = "too few rows"
 ONE_CLASS = "one outcome class"
 
 _RESULT = [field.split()[0] for field in EFFECT_FIELDS.strip().split(",")]
-_KEY_FIELDS = ", ".join(f"{key} string" for key in KEYS)
-_SCHEMA = f"{_KEY_FIELDS}, {EFFECT_FIELDS}"
 
 
-def cells(rows: DataFrame, features: tuple[str, ...], outcome: str) -> DataFrame:
+def _key_fields(df: DataFrame, by: tuple[str, ...]) -> str:
+    return ", ".join(f"{key} {df.schema[key].dataType.simpleString()}" for key in by)
+
+
+def cells(
+    rows: DataFrame, by: tuple[str, ...], features: tuple[str, ...], outcome: str
+) -> DataFrame:
     """Distinct covariates per group with their number of rows and of wins."""
     numbers = [F.col(name).cast("double").alias(name) for name in features]
     return (
-        rows.select(*KEYS, *numbers, F.col(outcome).cast("int").alias("won"))
-        .groupBy(*KEYS, *features)
+        rows.select(*by, *numbers, F.col(outcome).cast("int").alias("won"))
+        .groupBy(*by, *features)
         .agg(F.count(F.lit(1)).alias("n"), F.sum("won").alias("wins"))
     )
 
@@ -48,23 +52,27 @@ def fit_effects(
     features: tuple[str, ...] = FEATURES,
     outcome: str = "victory",
     min_rows: int = MIN_ROWS,
+    by: tuple[str, ...] = KEYS,
     max_task_cells: int = MAX_TASK_CELLS,
 ) -> DataFrame:
     """Effect of the flag per group. Every group gives one row; a failed fit fills `error`.
 
-    The result is written once, as later steps read it several times.
+    The result is written once, as later steps read it several times. A column in `by` does not
+    vary within a group, so it cannot be a feature as well.
     """
     check_features(features)
-    counted = materialise(cells(rows, features, outcome))
-    sizes = counted.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("cells"))
-    large = materialise(sizes.filter(F.col("cells") > max_task_cells).select(*KEYS))
+    if set(by) & set(features):
+        raise ValueError(f"constant within a group: {sorted(set(by) & set(features))}")
+    counted = materialise(cells(rows, by, features, outcome))
+    sizes = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("cells"))
+    large = materialise(sizes.filter(F.col("cells") > max_task_cells).select(*by))
     if large.isEmpty():
-        return materialise(_fit_in_tasks(counted, features, min_rows))
-    small = counted.join(large, list(KEYS), "left_anti")
-    spread = materialise(counted.join(large, list(KEYS), "left_semi"))
+        return materialise(_fit_in_tasks(counted, by, features, min_rows))
+    small = counted.join(large, list(by), "left_anti")
+    spread = materialise(counted.join(large, list(by), "left_semi"))
     return materialise(
-        _fit_in_tasks(small, features, min_rows).unionByName(
-            _fit_spread(spread, features, min_rows)
+        _fit_in_tasks(small, by, features, min_rows).unionByName(
+            _fit_spread(spread, by, features, min_rows)
         )
     )
 
@@ -75,7 +83,9 @@ def _known_error(n: float, wins: float, min_rows: int) -> str | None:
     return ONE_CLASS if wins in (0, n) else None
 
 
-def _fit_in_tasks(counted: DataFrame, features: tuple[str, ...], min_rows: int) -> DataFrame:
+def _fit_in_tasks(
+    counted: DataFrame, by: tuple[str, ...], features: tuple[str, ...], min_rows: int
+) -> DataFrame:
     def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         n, wins = group["n"].to_numpy("float64"), group["wins"].to_numpy("float64")
         result = dict.fromkeys(_RESULT) | {"n": int(n.sum())}
@@ -86,9 +96,11 @@ def _fit_in_tasks(counted: DataFrame, features: tuple[str, ...], min_rows: int)
                 result |= newton.fit(x, n, wins, 1 + features.index(FLAG))
             except np.linalg.LinAlgError as problem:
                 result["error"] = str(problem).lower()
-        return pd.DataFrame([dict(zip(KEYS, key)) | result])
+        return pd.DataFrame([dict(zip(by, key)) | result])
 
-    return counted.groupBy(*KEYS).applyInPandas(fit, _SCHEMA)
+    return counted.groupBy(*by).applyInPandas(
+        fit, f"{_key_fields(counted, by)}, {EFFECT_FIELDS}"
+    )
 
 
 # ---- groups too large for a task -------------------------------------------------------------
@@ -104,18 +116,20 @@ def _eta(features: tuple[str, ...]) -> Column:
     )
 
 
-def _statistics(counted: DataFrame, state: DataFrame, features: tuple[str, ...]) -> DataFrame:
+def _statistics(
+    counted: DataFrame, state: DataFrame, by: tuple[str, ...], features: tuple[str, ...]
+) -> DataFrame:
     """Gradient, information matrix and log-likelihood per group at its coefficients.
 
     The state has one row per group. Sums are combined before the shuffle, so a group of any size
     sends one row per task.
     """
     design = _design(features)
-    scored = counted.join(state, list(KEYS)).withColumn("eta", _eta(features))
+    scored = counted.join(state, list(by)).withColumn("eta", _eta(features))
     scored = scored.withColumn("p", 1 / (1 + F.exp(-F.col("eta"))))
     n, wins, eta, p = (F.col(name) for name in ("n", "wins", "eta", "p"))
     softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-    return scored.groupBy(*KEYS).agg(
+    return scored.groupBy(*by).agg(
         F.first("beta").alias("beta"),
         F.sum("n").alias("n"),
         F.sum("wins").alias("wins"),
@@ -136,10 +150,13 @@ def _square(upper: np.ndarray, width: int) -> np.ndarray:
     return matrix + np.triu(matrix, 1).T
 
 
-def _fit_spread(counted: DataFrame, features: tuple[str, ...], min_rows: int) -> DataFrame:
+def _fit_spread(
+    counted: DataFrame, by: tuple[str, ...], features: tuple[str, ...], min_rows: int
+) -> DataFrame:
     width, at = len(features) + 1, 1 + features.index(FLAG)
     state_schema = (
-        f"{_KEY_FIELDS}, beta array<double>, n bigint, error string, done boolean, converged boolean"
+        f"{_key_fields(counted, by)}, beta array<double>, n bigint, error string, "
+        "done boolean, converged boolean"
     )
 
     def advance(batches: Iterator[pd.DataFrame], taken: int) -> Iterator[pd.DataFrame]:
@@ -158,17 +175,17 @@ def _fit_spread(counted: DataFrame, features: tuple[str, ...], min_rows: int) ->
                         error = str(problem).lower()
                 ended = done or error is not None or taken == newton.MAX_STEPS
                 states.append(
-                    {key: getattr(row, key) for key in KEYS}
+                    {key: getattr(row, key) for key in by}
                     | {"beta": beta, "n": row.n, "error": error, "done": ended}
                     | {"converged": taken < newton.MAX_STEPS if error is None else None}
                 )
-            yield pd.DataFrame(states, columns=[*KEYS, "beta", "n", "error", "done", "converged"])
+            yield pd.DataFrame(states, columns=[*by, "beta", "n", "error", "done", "converged"])
 
     def conclude(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             results = []
             for row in batch.itertuples():
-                result = dict.fromkeys(_RESULT) | {key: getattr(row, key) for key in KEYS}
+                result = dict.fromkeys(_RESULT) | {key: getattr(row, key) for key in by}
                 result |= {"n": row.n, "converged": row.converged, "auc": row.auc}
                 try:
                     result |= newton.inference(
@@ -178,13 +195,13 @@ def _fit_spread(counted: DataFrame, features: tuple[str, ...], min_rows: int) ->
                 except np.linalg.LinAlgError as problem:
                     result |= {"error": str(problem).lower(), "converged": None, "auc": None}
                 results.append(result)
-            yield pd.DataFrame(results, columns=[*KEYS, *_RESULT])
+            yield pd.DataFrame(results, columns=[*by, *_RESULT])
 
     start = F.array_repeat(F.lit(0.0), width).alias("beta")
-    active = counted.select(*KEYS).distinct().select(*KEYS, start)
+    active = counted.select(*by).distinct().select(*by, start)
     ended = []
     for taken in range(1, newton.MAX_STEPS + 1):
-        sums = _statistics(counted, active.select(*KEYS, "beta"), features)
+        sums = _statistics(counted, active.select(*by, "beta"), by, features)
         state = materialise(
             sums.mapInPandas(lambda batches, taken=taken: advance(batches, taken), state_schema)
         )
@@ -198,19 +215,19 @@ def _fit_spread(counted: DataFrame, features: tuple[str, ...], min_rows: int) ->
     final = materialise(final)
 
     fitted = final.filter(F.col("error").isNull())
-    betas = fitted.select(*KEYS, "beta")
-    scored = counted.join(betas, list(KEYS)).select(
-        *KEYS,
+    betas = fitted.select(*by, "beta")
+    scored = counted.join(betas, list(by)).select(
+        *by,
         _eta(features).alias("eta"),
         F.col("wins").alias("positives"),
         (F.col("n") - F.col("wins")).alias("negatives"),
     )
-    aucs = auc_by_group(scored, KEYS, "eta").select(*KEYS, "auc")
+    aucs = auc_by_group(scored, by, "eta").select(*by, "auc")
     concluded = (
-        _statistics(counted, betas, features)
-        .join(fitted.select(*KEYS, "converged"), list(KEYS))
-        .join(aucs, list(KEYS), "left")
-        .mapInPandas(conclude, _SCHEMA)
+        _statistics(counted, betas, by, features)
+        .join(fitted.select(*by, "converged"), list(by))
+        .join(aucs, list(by), "left")
+        .mapInPandas(conclude, f"{_key_fields(counted, by)}, {EFFECT_FIELDS}")
     )
-    failed = final.filter(F.col("error").isNotNull()).select(*KEYS, "n", "error")
+    failed = final.filter(F.col("error").isNotNull()).select(*by, "n", "error")
     return concluded.unionByName(failed, allowMissingColumns=True)

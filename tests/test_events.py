@@ -1,0 +1,213 @@
+"""Rules of runs, picks, offers, tiers and summaries on hand-written records."""
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from rows import choice, run, runs
+
+from offerlens.functions.nested import value_at_anchor
+from offerlens.operators.offers import offers, offers_by_union
+from offerlens.operators.picks import choice_list, pick_events, pick_stats, skip_rate
+from offerlens.operators.runs import drop_duplicate_runs, standard_runs
+from offerlens.operators.summary import run_summary
+from offerlens.operators.tiers import tier_offers
+
+
+def ids(df):
+    return sorted(row["play_id"] for row in df.select("play_id").collect())
+
+
+def test_non_standard_runs_are_dropped_and_so_are_null_flags(spark):
+    flags = ["is_endless", "is_daily", "is_trial", "chose_seed"]
+    records = [run(play_id="kept")]
+    records += [run(play_id=f"{flag}-{value}", **{flag: value}) for flag in flags for value in (True, None)]
+    assert ids(standard_runs(runs(spark, *records))) == ["kept"]
+
+
+def test_floor_limits(spark):
+    records = [run(play_id=str(f), floor_reached=f, card_choices=[choice(1.0)]) for f in (4, 5, 57, 58)]
+    assert ids(standard_runs(runs(spark, *records))) == ["5", "57"]
+    assert ids(standard_runs(runs(spark, *records), min_floor=4, max_floor=5)) == ["4", "5"]
+
+
+def test_anomalous_and_empty_choices_are_dropped(spark):
+    records = [
+        run(play_id="beyond", floor_reached=52, card_choices=[choice(3.0), choice(87.0)]),
+        run(play_id="empty", card_choices=[]),
+        run(play_id="null", card_choices=None),
+        run(play_id="no floor", card_choices=[choice(None)]),
+        run(play_id="last floor", floor_reached=52, card_choices=[choice(None), choice(52.0)]),
+    ]
+    assert ids(standard_runs(runs(spark, *records))) == ["last floor"]
+
+
+def test_pick_numbers_keep_gaps_and_floors_truncate(spark):
+    picks = pick_events(
+        runs(spark, run(card_choices=[choice(2.9), choice(None), choice(7.0)]))
+    ).orderBy("pick_num")
+    assert [(r.pick_num, r.choice_floor, r.floors_gained) for r in picks.collect()] == [
+        (0, 2, 48),
+        (2, 7, 43),
+    ]
+
+
+def test_short_series_are_read_from_their_end(spark):
+    picks = pick_events(
+        runs(
+            spark,
+            run(
+                floor_reached=54,
+                current_hp_per_floor=[50, 51, 52, 53, 54],
+                max_hp_per_floor=[],
+                card_choices=[choice(52.0), choice(49.0), choice(54.0)],
+            ),
+        )
+    ).orderBy("pick_num")
+    assert [(r.current_hp, r.max_hp) for r in picks.collect()] == [(52, None), (None, None), (54, None)]
+
+
+def test_relics_are_counted_up_to_the_choice(spark):
+    relics = [{"floor": f, "key": "k"} for f in (1.0, 10.0, 11.0)]
+    picks = pick_events(runs(spark, run(relics_obtained=relics), run(play_id="b")))
+    assert {r.play_id: r.relic_count for r in picks.collect()} == {"a": 2, "b": None}
+
+
+@pytest.fixture()
+def three_kinds(spark):
+    """A pick, a skip, and an event whose pick is missing."""
+    events = [choice(1.0, "X"), choice(2.0, "SKIP", "PQR"), choice(3.0, None, "ST")]
+    return runs(spark, run(card_choices=events))
+
+
+def test_skip_and_missing_pick(three_kinds):
+    picks = pick_events(three_kinds).orderBy("pick_num")
+    assert [(r.card, r.is_selected) for r in picks.collect()] == [
+        ("X", True),
+        (None, False),
+        (None, None),
+    ]
+    stats = pick_stats(picks).first()
+    assert (stats.pick_count, stats.cards_picked, stats.skip_count) == (3, 1, 1)
+    assert skip_rate(picks).first()[0] == 0.5
+
+
+def test_offers_of_each_kind(three_kinds):
+    rows = offers(pick_events(three_kinds)).collect()
+    assert sorted((r.pick_num, r.card_name, r.was_picked, r.was_skip) for r in rows if r.pick_num < 2) == [
+        (0, "X", True, False), (0, "Y", False, False), (0, "Z", False, False),
+        (1, "P", False, True), (1, "Q", False, True), (1, "R", False, True),
+    ]
+    assert sorted((r.card_name, r.was_picked, r.was_skip) for r in rows if r.pick_num == 2) == [
+        ("S", False, None),
+        ("T", False, None),
+    ]
+
+
+def test_choice_list_shows_every_raw_choice(three_kinds):
+    rows = choice_list(three_kinds).collect()
+    assert [(r.floor, r.picked, r.n_not_picked) for r in rows] == [
+        (1.0, "X", 2), (2.0, "SKIP", 3), (3.0, None, 2),
+    ]
+
+
+event = st.builds(
+    choice,
+    st.one_of(st.none(), st.floats(1, 50)),
+    st.sampled_from(["X", "SKIP", None]),
+    st.lists(st.sampled_from("ABC"), max_size=3),
+)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(event, max_size=4), min_size=1, max_size=4))
+def test_both_offer_plans_agree_and_count_every_option(spark, choice_lists):
+    records = [run(play_id=str(i), card_choices=c) for i, c in enumerate(choice_lists)]
+    picks = pick_events(runs(spark, *records))
+    one_pass = sorted(map(str, offers(picks).collect()))
+    assert one_pass == sorted(map(str, offers_by_union(picks).collect()))
+    expected = 0
+    for choices in choice_lists:
+        if any(c["floor"] is not None for c in choices):
+            kept = [c for c in choices if c["floor"] is not None]
+            expected += sum(len(c["not_picked"]) + (c["picked"] == "X") for c in kept)
+    assert len(one_pass) == expected
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.integers(0, 9), max_size=6), st.lists(st.integers(-3, 12), min_size=1, max_size=8))
+def test_anchor_lookup_equals_list_indexing(spark, series, positions):
+    last = 8
+    df = spark.createDataFrame([(series, p) for p in positions], "s array<int>, p int")
+    got = df.select(value_at_anchor("s", F.col("p"), F.lit(last)).alias("v")).collect()
+    for row, position in zip(got, positions):
+        index = position - last + len(series) - 1
+        assert row.v == (series[index] if 0 <= index < len(series) else None)
+
+
+def test_duplicates_keep_the_smallest_source_and_null_keys_collapse(spark):
+    records = [run(), run(score=99), run(play_id="b"), run(play_id=None), run(play_id=None)]
+    df = runs(spark, *records)
+    copies = df.withColumn("_source_file", F.lit("z.json")).unionByName(
+        df.filter("play_id = 'a' and score = 99").withColumn("_source_file", F.lit("m.json"))
+    )
+    kept = {r.play_id: (r._source_file, r.score) for r in drop_duplicate_runs(copies).collect()}
+    assert kept == {"a": ("m.json", 99), "b": ("z.json", 10), None: ("z.json", 10)}
+    assert drop_duplicate_runs(copies).columns == copies.columns
+
+
+def test_copies_within_one_file_give_the_same_survivor_in_any_order(spark):
+    df = runs(spark, *[run(score=s) for s in range(20)]).withColumn("_source_file", F.lit("f"))
+    first = drop_duplicate_runs(df.repartition(5, "score")).first().score
+    assert first == drop_duplicate_runs(df.coalesce(1).orderBy(F.desc("score"))).first().score
+
+
+@pytest.fixture()
+def bosses(spark):
+    def boss(picked, *others):
+        return {"picked": picked, "not_picked": list(others)}
+
+    return runs(
+        spark,
+        run(boss_relics=[boss("A", "B"), boss(None, "C", "D"), boss("E"), boss("F", "G")]),
+        run(play_id="no picks", card_choices=[choice(None)], boss_relics=[boss("H")]),
+        run(play_id="no bosses", boss_relics=None),
+        run(play_id=None, boss_relics=[boss("I")]),
+    )
+
+
+def test_tiers_stop_at_the_third_and_a_missing_pick_is_a_skip(bosses):
+    rows = tier_offers(bosses).collect()
+    assert sorted((r.boss_relic_tier, r.relic_name, r.was_picked, r.was_skip) for r in rows) == [
+        (0, "A", True, False), (0, "B", False, False), (1, "C", False, True),
+        (1, "D", False, True), (2, "E", True, False),
+    ]
+    assert {r.relic_count for r in rows} == {2}
+
+
+def test_tiers_agree_with_and_without_stored_picks(bosses):
+    alone, joined = tier_offers(bosses), tier_offers(bosses, pick_events(bosses))
+    assert alone.columns == joined.columns
+    assert sorted(map(str, alone.collect())) == sorted(map(str, joined.collect()))
+
+
+def test_run_summary_counts(three_kinds, spark):
+    row = run_summary(three_kinds).first()
+    assert (row.num_elites_fought, row.num_events, row.num_treasures, row.num_shops) == (2, 1, 1, 1)
+    assert (row.relic_count, row.num_potions_obtained) == (2, 0)
+    assert (row.pick_count, row.cards_picked, row.skip_count) == (3, 1, 1)
+
+
+def test_run_summary_agrees_with_and_without_stored_picks(spark):
+    df = runs(
+        spark,
+        run(card_choices=[choice(1.0, None), choice(2.0, None)]),
+        run(play_id="b", card_choices=[choice(1.0, "SKIP"), choice(None), choice(2.0)]),
+        run(play_id="no picks", card_choices=[choice(None)]),
+        run(play_id="no choices", card_choices=None),
+        run(play_id=None),
+    )
+    alone, joined = run_summary(df), run_summary(df, pick_events(df))
+    assert alone.dtypes == joined.dtypes
+    assert sorted(map(str, alone.collect())) == sorted(map(str, joined.collect()))
+    assert {(r.play_id, r.cards_picked) for r in alone.collect()} == {("a", None), ("b", 1)}
