@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions.scalars import base_name
 from offerlens.operators.fdr import testable
-from offerlens.operators.ranking import bottom_by, top_by, value_counts
+from offerlens.operators.ranking import top_by, value_counts
 
 # Share of a card's offers that makes a character its owner, the accepted false
 # discovery rate, and the odds ratios between which an effect is too small to report.
@@ -23,21 +23,15 @@ REPORT_COLUMNS = (
 def native_pool(results: DataFrame, threshold: float = NATIVE_SHARE) -> DataFrame:
     """Mark the cards a character owns: its share of all offers of the base card.
 
-    Upgraded and base versions are summed first and then divided. The window runs on those sums,
-    which hold one row per card and character.
+    Upgraded and base versions are summed first and then divided. Results hold one row per
+    character and version, so a window over a base card stays that small, and one shuffle serves
+    both windows.
     """
     named = results.withColumn("base_card", base_name("card_name"))
-    per_card = Window.partitionBy("base_card")
-    shares = (
-        named.groupBy("base_card", "character_chosen")
-        .agg(F.sum("n").alias("_own"))
-        .withColumn("character_share", F.col("_own") / F.sum("_own").over(per_card))
-        .drop("_own")
-    )
-    return named.join(shares, ["base_card", "character_chosen"], "left").select(
-        *named.columns,
-        "character_share",
-        (F.col("character_share") >= threshold).alias("native_pool"),
+    total = F.sum("n").over(Window.partitionBy("base_card"))
+    own = F.sum("n").over(Window.partitionBy("base_card", "character_chosen"))
+    return named.withColumn("character_share", own / total).withColumn(
+        "native_pool", F.col("character_share") >= threshold
     )
 
 
@@ -74,11 +68,14 @@ def report_summary(effects: DataFrame, by: str = "character_chosen") -> DataFram
 def top_bottom(
     effects: DataFrame, k: int = TOP, by: str = "character_chosen", metric: str = "odds_ratio"
 ) -> DataFrame:
-    """Per group the k best and the k worst effects, marked by `side`."""
-    columns = ["position", by, "card_name", "n", metric, "was_picked_pvalue"]
-    top = top_by(effects, metric, k, by).select(F.lit("top").alias("side"), *columns)
-    bottom = bottom_by(effects, metric, k, by).select(F.lit("bottom").alias("side"), *columns)
-    return top.unionByName(bottom)
+    """Per group the k best and the k worst effects, marked by `side`, in one ranking."""
+    sides = F.array(
+        F.struct(F.lit("top").alias("side"), F.col(metric).alias("_rank_by")),
+        F.struct(F.lit("bottom").alias("side"), (-F.col(metric)).alias("_rank_by")),
+    )
+    columns = [by, "card_name", "n", metric, "was_picked_pvalue"]
+    entered = effects.select(F.inline(sides), *columns)
+    return top_by(entered, "_rank_by", k, ("side", by)).select("side", "position", *columns)
 
 
 def fit_counts(results: DataFrame) -> DataFrame:

@@ -8,11 +8,13 @@ a few hundred rows, carry the result from one range to the next.
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.sources.scratch import materialise
 
+ORDER = "_order"
 RANGE = "_range"
 RANGES = 256
 
@@ -20,16 +22,17 @@ RANGES = 256
 def with_ranges(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
     """The rows, written once, with the number of their range of the order column.
 
-    Rows should be distinct in the order column per group: repeated values must be counted into
-    one row first, since equal values always share a range.
+    The order column must be a number and not NULL. Rows should be distinct in it per group:
+    repeated values must be counted into one row first, as equal values always share a range.
     """
     rows = materialise(df)
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = rows.agg(F.percentile_approx(order, shares)).first()[0] or []
     # at most `ranges` numbers, whatever the size of the table
-    edges = F.array(*[F.lit(cut) for cut in sorted(set(cuts))]).cast("array<double>")
-    below = F.array_size(F.filter(edges, lambda edge: edge < F.col(order)))
-    return rows.withColumn(RANGE, below)
+    cuts = rows.agg(F.percentile_approx(order, shares)).first()[0] or [0.0]
+    splits = [-float("inf"), *sorted({float(cut) for cut in cuts}), float("inf")]
+    numbered = Bucketizer(splits=splits, inputCol=ORDER, outputCol=RANGE, handleInvalid="keep")
+    ranged = numbered.transform(rows.withColumn(ORDER, F.col(order).cast("double")))
+    return ranged.drop(ORDER).withColumn(RANGE, F.col(RANGE).cast("int"))
 
 
 def running(
@@ -46,6 +49,7 @@ def running(
 
     `combine` is the aggregate (sum, min) and `merge` joins the carried part with the range's own.
     """
+
     def direction(name: str) -> Column:
         return F.desc(name) if descending else F.asc(name)
 

@@ -55,16 +55,16 @@ def lift_screen(offers: DataFrame, min_n: int = MIN_SIDE, **table) -> DataFrame:
 
 
 def top_lifts(screen: DataFrame, k: int = TOP, by: str = "character_chosen") -> DataFrame:
-    """Per group the k options with the largest lift, one list per outcome, as `metric` rows."""
-    lists = [
-        top_by(screen, f"{name}_lift", k, by).select(
-            F.lit(f"{name}_lift").alias("metric"),
-            "position",
-            *[by, "card_name", "n_offered", "pick_rate", "win_rate_lift", "floors_gained_lift"],
-        )
-        for name in OUTCOMES
-    ]
-    return lists[1].unionByName(lists[0])
+    """Per group the k options with the largest lift, one list per outcome, as `metric` rows.
+
+    Each row enters every list, so the screen is computed once for all of them.
+    """
+    lists = F.array(
+        *[F.struct(F.lit(f"{n}_lift").alias("metric"), F.col(f"{n}_lift").alias("value")) for n in OUTCOMES]
+    )
+    columns = [by, "card_name", "n_offered", "pick_rate", "win_rate_lift", "floors_gained_lift"]
+    entered = screen.select(F.inline(lists), *columns)
+    return top_by(entered, "value", k, ("metric", by)).select("metric", "position", *columns)
 
 
 def popularity_correlation(screen: DataFrame, by: str = "character_chosen") -> DataFrame:

@@ -18,9 +18,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each order as one sorted array."""
+    """Lines of each order as one sorted array.
+
+    Flat lines are shuffled and nested afterwards: collecting lists before the shuffle would not
+    make it smaller. The joins and aggregates that follow keep this partitioning.
+    """
     brands = _table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    lines = _table(spark, sf_dir, "lineitem").join(brands, F.expr("l_partkey = p_partkey"))
+    lines = (
+        _table(spark, sf_dir, "lineitem")
+        .join(brands, F.expr("l_partkey = p_partkey"))
+        .repartition("l_orderkey")
+    )
     other = [
         F.concat(F.lit("Brand#"), (F.col(key) % BRANDS + 1).cast("string"))
         for key in ("l_partkey", "l_suppkey")

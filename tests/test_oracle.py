@@ -1,0 +1,38 @@
+"""Every query against its DuckDB statement on the given tables."""
+
+import os
+
+import pytest
+from compare import connect, difference, duckdb_rows, spark_rows
+
+import __spark_entry__ as entry
+
+SMALL, LARGER = (f"/root/testdata/sf{sf}" for sf in ("0.001", "0.01"))
+
+# Groups of the smallest tables are too small for a fit.
+NEEDS_GROUPS = {
+    "effect_models", "error_breakdown", "lift_against_effect", "logit_2x2", "logit_2x2_spread",
+    "convergence_breakdown", "lift_screen", "lift_top_k", "popularity_corr",
+}
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the test tables")
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_query_equals_its_statement(spark, name):
+    sf_dir = LARGER if name in NEEDS_GROUPS else SMALL
+    columns, rows = spark_rows(entry.queries()[name](spark, sf_dir))
+    expected_columns, expected = duckdb_rows(connect(sf_dir), entry.oracle_sql()[name])
+    assert columns == expected_columns
+    assert difference(rows, expected) is None
+    assert rows
+
+
+def test_entry_gives_rows(spark):
+    assert entry.entry(spark).count() > 0
+
+
+def test_every_query_but_the_named_ones_has_a_statement():
+    assert set(entry.queries()) - set(entry.oracle_sql()) == {
+        "counterfactual_effect", "pick_describe_sketch",
+    }
