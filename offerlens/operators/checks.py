@@ -32,6 +32,18 @@ def check_picks(picks: DataFrame) -> DataFrame:
     )
 
 
+def check_prepared(prepared: DataFrame) -> DataFrame:
+    """Of the exclusive pairs of columns exactly one is filled."""
+    card, floor = F.col("card_selected"), F.col("card_selected_floor")
+    skipped = F.col("card_not_selected")
+    return prepared.agg(
+        F.count(F.lit(1)).alias("n_picks"),
+        F.count_if(card.isNull() & floor.isNull() & ~skipped).alias("neither_filled"),
+        F.count_if(card.isNotNull() & skipped).alias("both_filled"),
+        share_true(skipped).alias("skip_rate"),
+    )
+
+
 def check_offers(offers: DataFrame) -> DataFrame:
     """One option is picked per occasion, none on a skip."""
     occasions = offers.groupBy("play_id", "pick_num").agg(

@@ -16,6 +16,11 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
+def distinct_count(df: DataFrame, *columns: str) -> DataFrame:
+    """Number of distinct rows of the columns, combined per task before the shuffle."""
+    return df.select(*columns).distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
+
+
 def top_by(
     df: DataFrame,
     metric: str,

@@ -8,7 +8,14 @@ from rows import choice, run, runs
 
 from offerlens.functions.nested import value_at_anchor
 from offerlens.operators.offers import offers, offers_by_union
-from offerlens.operators.picks import choice_list, pick_events, pick_stats, skip_rate
+from offerlens.operators.checks import check_prepared
+from offerlens.operators.picks import (
+    choice_list,
+    pick_events,
+    pick_stats,
+    prepared_picks,
+    skip_rate,
+)
 from offerlens.operators.runs import drop_duplicate_runs, standard_runs
 from offerlens.operators.summary import run_summary
 from offerlens.operators.tiers import tier_offers
@@ -104,6 +111,15 @@ def test_offers_of_each_kind(three_kinds):
     ]
 
 
+def test_prepared_picks_fill_one_side(three_kinds):
+    prepared = prepared_picks(pick_events(three_kinds)).orderBy("pick_num")
+    columns = ["card_selected", "card_selected_floor", "card_not_selected", "card_not_selected_floor"]
+    assert [tuple(r) for r in prepared.select(*columns, "floors_gained").collect()] == [
+        ("X", 1, False, None, 49), (None, None, True, 2, 48), (None, 3, False, None, 47),
+    ]
+    assert tuple(check_prepared(prepared).first())[:3] == (3, 0, 0)
+
+
 def test_choice_list_shows_every_raw_choice(three_kinds):
     rows = choice_list(three_kinds).collect()
     assert [(r.floor, r.picked, r.n_not_picked) for r in rows] == [

@@ -398,6 +398,25 @@ SELECT count(floors_gained) AS n, round(avg(floors_gained), 6) AS mean,
   round(stddev_samp(floors_gained), 6) AS std, min(floors_gained) AS min,
   max(floors_gained) AS max, quantile_cont(floors_gained, 0.25) AS p25,
   quantile_cont(floors_gained, 0.5) AS p50, quantile_cont(floors_gained, 0.75) AS p75
+FROM picks"""),
+        "pick_describe_sketch": _sql("""
+SELECT count(floors_gained) AS n, round(avg(floors_gained), 6) AS mean,
+  round(stddev_samp(floors_gained), 6) AS std, min(floors_gained) AS min,
+  max(floors_gained) AS max, quantile_disc(floors_gained, 0.25) AS p25,
+  quantile_disc(floors_gained, 0.5) AS p50, quantile_disc(floors_gained, 0.75) AS p75
+FROM picks"""),
+        "prepared_picks": _sql("""
+SELECT play_id, pick_num, card AS card_selected,
+  CASE WHEN is_selected THEN choice_floor END AS card_selected_floor,
+  NOT is_selected AS card_not_selected,
+  CASE WHEN NOT is_selected THEN choice_floor END AS card_not_selected_floor,
+  first_passed || ',' || second_passed AS not_picked_options, floor_reached, victory,
+  character_chosen, ascension_level, current_hp, max_hp, relic_count, neow_bonus, neow_cost,
+  player_experience, floors_gained
+FROM picks"""),
+        "prepared_checks": _sql("""
+SELECT count(*) AS n_picks, 0::BIGINT AS neither_filled, 0::BIGINT AS both_filled,
+  avg(CAST(NOT is_selected AS INTEGER)) AS skip_rate
 FROM picks"""),
         "pick_checks": _sql("""
 SELECT count(*) AS n_picks, 0::BIGINT AS selected_without_card, 0::BIGINT AS skipped_with_card,
@@ -461,6 +480,8 @@ FROM screen GROUP BY character_chosen"""),
 SELECT * FROM model
 WHERE (character_chosen, card_name) IN (('AUTOMOBILE', 'Brand#1'), ('BUILDING', 'Brand#2'),
   ('FURNITURE', 'Brand#3+1'), ('MACHINERY', 'Brand#4'))"""),
+        "pair_count": _sql("""
+SELECT count(*) AS n_distinct FROM (SELECT DISTINCT character_chosen, card_name FROM model)"""),
         "native_pool": _sql("""
 SELECT character_chosen, card_name, n, base_card, own / all_own AS character_share,
   own / all_own >= 0.2 AS native_pool
@@ -495,6 +516,26 @@ GROUP BY character_chosen, card_name"""),
         "logit_2x2": _sql(_TWO_BY_TWO, _GROUPS),
         "logit_2x2_spread": _sql(_TWO_BY_TWO, _GROUPS),
         "effect_models": _sql(_EFFECT_MODELS, newton),
+        "ordered_report": _sql(
+            """
+SELECT character_chosen, card_name, n, round(odds_ratio, 6) AS odds_ratio,
+  round(odds_ratio_ci_low, 6) AS odds_ratio_ci_low,
+  round(odds_ratio_ci_high, 6) AS odds_ratio_ci_high,
+  round(was_picked_pvalue, 6) AS was_picked_pvalue,
+  round(was_picked_qvalue, 6) AS was_picked_qvalue, round(pseudo_r2, 6) AS pseudo_r2,
+  round(auc, 6) AS auc
+FROM pooled
+WHERE error IS NULL AND native_pool AND (odds_ratio <= 0.95 OR odds_ratio >= 1.05)
+ORDER BY character_chosen, odds_ratio DESC""",
+            newton,
+        ),
+        "fit_counts": _sql(
+            """
+SELECT count(*) AS n_groups, count(*) FILTER (error IS NULL) AS n_fitted,
+  count(*) FILTER (error IS NULL) AS n_converged, count(*) FILTER (native_pool) AS n_native
+FROM pooled""",
+            newton,
+        ),
         "error_breakdown": _sql("SELECT error, count(*) AS n FROM groups GROUP BY error", _GROUPS),
         "convergence_breakdown": _sql(
             "SELECT true AS converged, count(*) AS n FROM groups WHERE error IS NULL", _GROUPS

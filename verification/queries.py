@@ -219,6 +219,12 @@ def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return effect_models(_offers(spark, sf_dir), native_share=NATIVE_SHARE)
 
 
+def ordered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test data has no real effects, so the report is asked for every size that converged."""
+    every = report.significant(_effects(spark, sf_dir), max_q=2.0, small_effect=(0.95, 1.05))
+    return _rounded_effects(report.ordered_report(every))
+
+
 def lift_against_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = materialise(_offers(spark, sf_dir))
     compared = report.lift_against_effect(
@@ -265,7 +271,13 @@ QUERIES: dict[str, Query] = {
     "pick_stats": lambda s, d: picks.pick_stats(_picks(s, d)),
     "skip_rate": lambda s, d: picks.skip_rate(_picks(s, d)),
     "pick_describe": pick_describe,
-    "pick_describe_sketch": lambda s, d: describe.describe(_picks(s, d), "floors_gained"),
+    "pick_describe_sketch": lambda s, d: _rounded(
+        describe.describe(_picks(s, d), "floors_gained"), "mean", "std"
+    ),
+    "prepared_picks": lambda s, d: picks.prepared_picks(_picks(s, d)).withColumn(
+        "not_picked_options", _joined("not_picked_options")
+    ),
+    "prepared_checks": lambda s, d: checks.check_prepared(picks.prepared_picks(_picks(s, d))),
     "pick_checks": lambda s, d: checks.check_picks(_picks(s, d)),
     "offer_checks": lambda s, d: checks.check_offers(_offers(s, d)),
     "offers": _offers,
@@ -288,6 +300,7 @@ QUERIES: dict[str, Query] = {
     "model_input": lambda s, d: model_input(_offers(s, d)),
     "stored_model_input": stored_model_input,
     "candidate_pairs": candidate_pairs,
+    "pair_count": lambda s, d: ranking.distinct_count(model_input(_offers(s, d)), *KEYS),
     "native_pool": native_pool,
     "fdr_bh": lambda s, d: fdr_bh(_tests(s, d)),
     "significant": _significant,
@@ -297,6 +310,8 @@ QUERIES: dict[str, Query] = {
     "logit_2x2": logit_2x2,
     "logit_2x2_spread": logit_2x2_spread,
     "effect_models": lambda s, d: _rounded_effects(_effects(s, d)),
+    "ordered_report": ordered_report,
+    "fit_counts": lambda s, d: report.fit_counts(_effects(s, d)),
     "error_breakdown": lambda s, d: report.error_breakdown(_effects(s, d)),
     "convergence_breakdown": lambda s, d: report.convergence_breakdown(_effects(s, d)),
     "lift_against_effect": lift_against_effect,
