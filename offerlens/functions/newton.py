@@ -41,7 +41,7 @@ def inference(
     """Coefficient, Wald p-value, odds ratio with interval, and pseudo R-squared."""
     variance = np.linalg.inv(information)[at, at]
     if not variance > 0:
-        raise np.linalg.LinAlgError("singular matrix")
+        raise np.linalg.LinAlgError("Singular matrix")
     coef, error = float(beta[at]), math.sqrt(variance)
     share = wins / n
     null_log_lik = wins * math.log(share) + (n - wins) * math.log(1 - share)
@@ -75,7 +75,7 @@ def fit(x: np.ndarray, n: np.ndarray, wins: np.ndarray, at: int) -> dict:
     beta, steps, done = np.zeros(x.shape[1]), 0, False
     with np.errstate(over="ignore"):
         if is_singular((x.T * n) @ x):
-            raise np.linalg.LinAlgError("singular matrix")
+            raise np.linalg.LinAlgError("Singular matrix")
         while steps < MAX_STEPS and not done:
             p = 1 / (1 + np.exp(-(x @ beta)))
             beta, done = step(

@@ -95,7 +95,7 @@ def _fit_in_tasks(
             try:
                 result |= newton.fit(x, n, wins, 1 + features.index(FLAG))
             except np.linalg.LinAlgError as problem:
-                result["error"] = str(problem).lower()
+                result["error"] = str(problem)
         return pd.DataFrame([dict(zip(by, key)) | result])
 
     return counted.groupBy(*by).applyInPandas(
@@ -167,12 +167,12 @@ def _fit_spread(
                 information = _square(row.information, width)
                 error = _known_error(row.n, row.wins, min_rows)
                 if error is None and taken == 1 and newton.is_singular(information):
-                    error = "singular matrix"
+                    error = "Singular matrix"
                 if error is None:
                     try:
                         beta, done = newton.step(beta, np.array(row.gradient), information, row.n)
                     except np.linalg.LinAlgError as problem:
-                        error = str(problem).lower()
+                        error = str(problem)
                 ended = done or error is not None or taken == newton.MAX_STEPS
                 states.append(
                     {key: getattr(row, key) for key in by}
@@ -193,7 +193,7 @@ def _fit_spread(
                         row.n, row.wins, row.log_lik,
                     )
                 except np.linalg.LinAlgError as problem:
-                    result |= {"error": str(problem).lower(), "converged": None, "auc": None}
+                    result |= {"error": str(problem), "converged": None, "auc": None}
                 results.append(result)
             yield pd.DataFrame(results, columns=[*by, *_RESULT])
 

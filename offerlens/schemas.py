@@ -1,7 +1,7 @@
 """Schemas, as DDL strings, of the record source and of the tables and results built from it."""
 
-# Field names and types of a raw run record. Choice and relic floors are double
-# because sources write both 7 and 7.0.
+# Field names and types of a run. Floors inside choices stay double, as they are
+# compared before they are cut to whole floors.
 RUN_FIELDS = """
     play_id string,
     character_chosen string,
@@ -39,9 +39,12 @@ RUN_FIELDS = """
     win_rate double
 """
 
-RECORD_SCHEMA = "event struct<" + ", ".join(
-    line.strip().rstrip(",").replace(" ", ": ", 1) for line in RUN_FIELDS.strip().splitlines()
-) + ">"
+RUN_TYPES = dict(line.strip().rstrip(",").split(" ", 1) for line in RUN_FIELDS.strip().splitlines())
+
+# A raw record. Whole numbers are read as double, because sources write both 7 and 7.0.
+RECORD_SCHEMA = "event struct<{}>".format(
+    ", ".join(f"{name}: {kind.replace('bigint', 'double')}" for name, kind in RUN_TYPES.items())
+)
 
 PICK_FIELDS = """
     play_id string,

@@ -18,6 +18,7 @@ from offerlens.sources.records import (
     ingest_runs,
     read_records,
     unwrap_records,
+    with_run_types,
 )
 from offerlens.sources.scratch import materialise, scratch_dir
 from offerlens.sources.tables import export_csv, read_table, write_table
@@ -57,8 +58,18 @@ def test_records_without_the_wrapper_are_refused(spark, tmp_path):
             read_records(spark, str(tmp_path), infer=infer)
 
 
+def test_whole_numbers_may_be_written_as_decimals(spark, tmp_path):
+    fields = {"floor_reached": 50.0, "score": 1e3, "current_hp_per_floor": [7.0, 8]}
+    records = [{"event": run(**fields)}, {"event": run(play_id="b")}]
+    (tmp_path / "x.json").write_text(json.dumps(records))
+    rows = {r.play_id: r for r in ingest_runs(spark, str(tmp_path)).collect()}
+    assert (rows["a"].floor_reached, rows["a"].score) == (50, 1000)
+    assert rows["a"].current_hp_per_floor == [7, 8]
+    assert rows["b"].floor_reached == 50 and isinstance(rows["b"].floor_reached, int)
+
+
 def test_nested_floors_may_be_written_either_way(spark, landing):
-    picks = pick_events(unwrap_records(read_records(spark, landing)))
+    picks = pick_events(with_run_types(unwrap_records(read_records(spark, landing))))
     assert {r.choice_floor for r in picks.collect()} == {7, 10}
 
 

@@ -248,7 +248,7 @@ def test_every_group_gives_one_row_with_its_error(fitted):
     assert errors.pop("separated") is None or not in_tasks["RED", "separated"].converged
     assert errors == {
         "normal": None, "other": None, "n200": None, "n199": "too few rows",
-        "always picked": "singular matrix", "never": "singular matrix",
+        "always picked": "Singular matrix", "never": "Singular matrix",
         "always won": "one outcome class",
     }
     assert in_tasks["RED", "n199"].n == 199

@@ -206,7 +206,7 @@ groups AS (
   SELECT character_chosen, card_name, count(*) AS n, count(*) FILTER (victory) AS wins,
     CASE WHEN count(*) < 200 THEN 'too few rows'
       WHEN count(*) FILTER (victory) IN (0, count(*)) THEN 'one outcome class'
-      WHEN count(*) FILTER (was_picked) IN (0, count(*)) THEN 'singular matrix' END AS error
+      WHEN count(*) FILTER (was_picked) IN (0, count(*)) THEN 'Singular matrix' END AS error
   FROM model GROUP BY character_chosen, card_name
 )
 """
