@@ -15,8 +15,9 @@ def auc_by_group(
 ) -> DataFrame:
     """AUC with ties counted half; NULL for a group with one outcome class.
 
-    Rows without a score cannot be ranked and do not count. Rows carry counts of positive and negative outcomes. Scores are counted per group before any
-    ordering, and the running sum is spread over score ranges, so a group may hold most rows.
+    Rows carry counts of positive and negative outcomes; those without a score cannot be ranked and
+    do not count. Scores are counted per group before any ordering, and the running sum is spread
+    over score ranges, so a group may hold most rows.
     """
     counts = rows.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(
         F.sum(positives).alias("positives"), F.sum(negatives).alias("negatives")

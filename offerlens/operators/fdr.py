@@ -37,6 +37,7 @@ def fdr_bh(
         ranked.withColumn("_raw", raw), "_p", F.col("_raw"), "_q",
         combine=F.min, merge=F.least, descending=True,
     ).select(F.col("_p"), F.least("_q", F.lit(1.0)).alias(q_value))
-    return results.join(
-        q_values, F.when(tested, F.col(p_value)) == F.col("_p"), "left"
-    ).drop("_p")
+    # rows without a test match nothing; keys below zero spread them over the join's tasks
+    elsewhere = -1.0 - F.pmod(F.xxhash64(*results.columns), F.lit(1_000_000))
+    key = F.when(tested, F.col(p_value)).otherwise(elsewhere)
+    return results.join(q_values, key == F.col("_p"), "left").drop("_p")

@@ -65,9 +65,10 @@ def fit_effects(
         raise ValueError(f"constant within a group: {sorted(set(by) & set(features))}")
     counted = materialise(cells(rows, by, features, outcome))
     sizes = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("cells"))
-    large = materialise(sizes.filter(F.col("cells") > max_task_cells).select(*by))
+    large = sizes.filter(F.col("cells") > max_task_cells).select(*by)
     if large.isEmpty():
         return materialise(_fit_in_tasks(counted, by, features, min_rows))
+    large = materialise(large)
     small = counted.join(large, list(by), "left_anti")
     spread = materialise(counted.join(large, list(by), "left_semi"))
     return materialise(

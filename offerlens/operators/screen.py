@@ -59,8 +59,9 @@ def top_lifts(screen: DataFrame, k: int = TOP, by: str = "character_chosen") ->
 
     Each row enters every list, so the screen is computed once for all of them.
     """
+    metrics = [f"{name}_lift" for name in OUTCOMES]
     lists = F.array(
-        *[F.struct(F.lit(f"{n}_lift").alias("metric"), F.col(f"{n}_lift").alias("value")) for n in OUTCOMES]
+        *[F.struct(F.lit(name).alias("metric"), F.col(name).alias("value")) for name in metrics]
     )
     columns = [by, "card_name", "n_offered", "pick_rate", "win_rate_lift", "floors_gained_lift"]
     entered = screen.select(F.inline(lists), *columns)

@@ -14,7 +14,7 @@ class TableInfo(NamedTuple):
 
 
 def _refuse_own_source(df: DataFrame, path: str) -> None:
-    """An overwrite deletes the old files first, so rows still to be read from them would be lost."""
+    """An overwrite deletes the old files first: rows still to be read from them would be lost."""
     folder = f"/{urlparse(path).path.strip('/')}/"
     if any(folder in unquote(urlparse(file).path) for file in df.inputFiles()):
         raise ValueError(f"cannot overwrite '{path}' with rows read from it")

@@ -11,8 +11,9 @@ SMALL, LARGER = (f"/root/testdata/sf{sf}" for sf in ("0.001", "0.01"))
 
 # Groups of the smallest tables are too small for a fit.
 NEEDS_GROUPS = {
-    "effect_models", "error_breakdown", "lift_against_effect", "logit_2x2", "logit_2x2_spread",
-    "convergence_breakdown", "ordered_report", "fit_counts", "lift_screen", "lift_top_k", "popularity_corr",
+    "convergence_breakdown", "effect_models", "error_breakdown", "fit_counts",
+    "lift_against_effect", "lift_screen", "lift_top_k", "logit_2x2", "logit_2x2_by_ascension",
+    "logit_2x2_spread", "ordered_report", "popularity_corr",
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the test tables")

@@ -201,24 +201,32 @@ WHERE position <= 5
 
 # ---- logistic regression -----------------------------------------------------------------------
 
-_GROUPS = """
+_PAIR = "character_chosen, card_name"
+_ASCENSION = "character_chosen, ascension_level"
+
+
+def _groups(keys: str) -> str:
+    return f"""
 groups AS (
-  SELECT character_chosen, card_name, count(*) AS n, count(*) FILTER (victory) AS wins,
+  SELECT {keys}, count(*) AS n, count(*) FILTER (victory) AS wins,
     CASE WHEN count(*) < 200 THEN 'too few rows'
       WHEN count(*) FILTER (victory) IN (0, count(*)) THEN 'one outcome class'
       WHEN count(*) FILTER (was_picked) IN (0, count(*)) THEN 'Singular matrix' END AS error
-  FROM model GROUP BY character_chosen, card_name
+  FROM model GROUP BY {keys}
 )
 """
 
-# With the flag alone the fit has a closed form in the four counts of flag and outcome.
-_TWO_BY_TWO = """
-SELECT character_chosen, card_name, n, error,
+
+def _two_by_two(keys: str) -> str:
+    """With the flag alone the fit has a closed form in the four counts of flag and outcome."""
+    half_width = "1.959963984540054 * se"
+    return f"""
+SELECT {keys}, n, error,
   CASE WHEN error IS NULL THEN true END AS converged,
   CASE WHEN error IS NULL THEN round(coef, 6) END AS was_picked_coef,
   CASE WHEN error IS NULL THEN round(exp(coef), 6) END AS odds_ratio,
-  CASE WHEN error IS NULL THEN round(exp(coef - 1.959963984540054 * se), 6) END AS odds_ratio_ci_low,
-  CASE WHEN error IS NULL THEN round(exp(coef + 1.959963984540054 * se), 6) END AS odds_ratio_ci_high,
+  CASE WHEN error IS NULL THEN round(exp(coef - {half_width}), 6) END AS odds_ratio_ci_low,
+  CASE WHEN error IS NULL THEN round(exp(coef + {half_width}), 6) END AS odds_ratio_ci_high,
   CASE WHEN error IS NULL THEN round(1 - (a * ln(a / (a + b)) + b * ln(b / (a + b))
       + c * ln(c / (c + d)) + d * ln(d / (c + d)))
     / (wins * ln(wins / n) + (n - wins) * ln(1 - wins / n)), 6) END AS pseudo_r2,
@@ -228,13 +236,14 @@ FROM (
   SELECT *, CASE WHEN error IS NULL THEN ln(a * d / (b * c)) END AS coef,
     CASE WHEN error IS NULL THEN sqrt(1 / a + 1 / b + 1 / c + 1 / d) END AS se
   FROM groups JOIN (
-    SELECT character_chosen, card_name, count(*) FILTER (was_picked AND victory) AS a,
+    SELECT {keys}, count(*) FILTER (was_picked AND victory) AS a,
       count(*) FILTER (was_picked AND NOT victory) AS b,
       count(*) FILTER (NOT was_picked AND victory) AS c,
       count(*) FILTER (NOT was_picked AND NOT victory) AS d
-    FROM model GROUP BY character_chosen, card_name) USING (character_chosen, card_name))
+    FROM model GROUP BY {keys}) USING ({keys}))
 """
 
+
 _X = ["1.0", "flag", "hp_ratio", "floor", "relic_count", "ascension_level"]
 _NEWTON_STEPS = 9
 
@@ -328,7 +337,7 @@ pooled AS (
           sum(n) OVER (PARTITION BY base_card) AS all_own
         FROM (SELECT *, regexp_replace(card_name, '\\+1$', '') AS base_card FROM ranked))
 )""")
-    return _GROUPS + "," + ",".join(ctes)
+    return _groups(_PAIR) + "," + ",".join(ctes)
 
 
 _EFFECT_MODELS = """
@@ -513,8 +522,9 @@ FROM (
       - sum(1 - won) OVER (PARTITION BY character_chosen, card_name, score) AS below
   FROM (SELECT *, floor * 100 + relic_count AS score, CAST(victory AS INTEGER) AS won FROM offers))
 GROUP BY character_chosen, card_name"""),
-        "logit_2x2": _sql(_TWO_BY_TWO, _GROUPS),
-        "logit_2x2_spread": _sql(_TWO_BY_TWO, _GROUPS),
+        "logit_2x2": _sql(_two_by_two(_PAIR), _groups(_PAIR)),
+        "logit_2x2_spread": _sql(_two_by_two(_PAIR), _groups(_PAIR)),
+        "logit_2x2_by_ascension": _sql(_two_by_two(_ASCENSION), _groups(_ASCENSION)),
         "effect_models": _sql(_EFFECT_MODELS, newton),
         "ordered_report": _sql(
             """
@@ -536,9 +546,12 @@ SELECT count(*) AS n_groups, count(*) FILTER (error IS NULL) AS n_fitted,
 FROM pooled""",
             newton,
         ),
-        "error_breakdown": _sql("SELECT error, count(*) AS n FROM groups GROUP BY error", _GROUPS),
+        "error_breakdown": _sql(
+            "SELECT error, count(*) AS n FROM groups GROUP BY error", _groups(_PAIR)
+        ),
         "convergence_breakdown": _sql(
-            "SELECT true AS converged, count(*) AS n FROM groups WHERE error IS NULL", _GROUPS
+            "SELECT true AS converged, count(*) AS n FROM groups WHERE error IS NULL",
+            _groups(_PAIR),
         ),
         "lift_against_effect": _sql(
             """

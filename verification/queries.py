@@ -215,6 +215,11 @@ def logit_2x2_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logit_2x2(spark, sf_dir, max_task_cells=0)
 
 
+def logit_2x2_by_ascension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effect of taking any offered option, per character and difficulty."""
+    return logit_2x2(spark, sf_dir, by=("character_chosen", "ascension_level"))
+
+
 def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return effect_models(_offers(spark, sf_dir), native_share=NATIVE_SHARE)
 
@@ -309,6 +314,7 @@ QUERIES: dict[str, Query] = {
     "auc_by_group": auc,
     "logit_2x2": logit_2x2,
     "logit_2x2_spread": logit_2x2_spread,
+    "logit_2x2_by_ascension": logit_2x2_by_ascension,
     "effect_models": lambda s, d: _rounded_effects(_effects(s, d)),
     "ordered_report": ordered_report,
     "fit_counts": lambda s, d: report.fit_counts(_effects(s, d)),
