@@ -16,7 +16,6 @@ from offerlens.operators.model_input import (
     KEYS,
     check_features,
     model_input,
-    restrict_to_pairs,
 )
 from offerlens.schemas import OUTCOME_EFFECT_FIELDS
 from offerlens.sources.scratch import materialise
@@ -45,11 +44,6 @@ def cells(rows: DataFrame, features: tuple[str, ...], outcome: str) -> DataFrame
     )
 
 
-def candidate_rows(offers: DataFrame, pairs: DataFrame, outcome: str) -> DataFrame:
-    """Model rows of the listed pairs only."""
-    return model_input(restrict_to_pairs(offers, pairs), outcome)
-
-
 def counterfactual_effect(
     offers: DataFrame,
     pairs: list[tuple[str, str]],
@@ -68,13 +62,13 @@ def counterfactual_effect(
     check_features(features)
     spark = offers.sparkSession
     listed = sorted(set(pairs))
+    if not listed:
+        return spark.createDataFrame([], _SCHEMA)
     numbered = spark.createDataFrame(
         [(number, *pair) for number, pair in enumerate(listed)],
         f"pair int, {', '.join(f'{key} string' for key in KEYS)}",
     )
-    if not listed:
-        return spark.createDataFrame([], _SCHEMA)
-    rows = candidate_rows(offers, numbered, outcome).join(numbered, list(KEYS))
+    rows = model_input(offers, outcome).join(numbered, list(KEYS))
     # one folder per pair, so that a fit reads its own cells only; the rebalance gives a small
     # pair one file and splits a large one
     counted = cells(rows, features, outcome).hint("rebalance", "pair")

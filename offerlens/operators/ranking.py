@@ -41,7 +41,3 @@ def top_by(
         .withColumn("position", rank)
         .filter(F.col("position") <= k)
     )
-
-
-def bottom_by(df: DataFrame, metric: str, k: int, by, tie: str = "card_name") -> DataFrame:
-    return top_by(df, metric, k, by, ascending=True, tie=tie)

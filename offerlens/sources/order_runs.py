@@ -7,14 +7,75 @@ arithmetic on keys and plain comparisons, so another engine can state them too.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Path codes by remainder of the quantity.
-PATH = ("M", "E", "?", "T", "$", "R")
-BRANDS = 25
-RELICS = 30
+# Columns used of each table. Declared, so that no job is spent on finding them.
+_TABLES = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderpriority string",
+    "customer": "c_custkey bigint, c_mktsegment string",
+    "part": "p_partkey bigint, p_brand string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_tax double, l_returnflag string, "
+    "l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+# One line. Its first six fields fix the order of the lines.
+_LINE = """
+struct(
+  l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate,
+  struct(
+    CASE WHEN (l_partkey + l_suppkey) % 101 <> 0 THEN double(l_linenumber * 4) END AS floor,
+    CASE WHEN l_returnflag = 'N' THEN 'SKIP'
+      ELSE concat(p_brand, CASE WHEN l_linestatus = 'O' THEN '+1' ELSE '' END) END AS picked,
+    array(concat('Brand#', l_partkey % 25 + 1), concat('Brand#', l_suppkey % 25 + 1)) AS not_picked
+  ) AS choice,
+  struct(double(l_linenumber * 5) AS floor, p_brand AS key) AS relic,
+  substr('ME?T$R', int(floor(l_quantity) % 6) + 1, 1) AS code,
+  l_linestatus = 'O' AS is_relic,
+  l_tax > 0.04D AS is_potion
+) AS line
+"""
+
+_HP_LENGTH = "int(greatest(o_orderkey % 61 - o_custkey % 4 * 5, 1))"
+
+_RUN = (
+    "string(o_orderkey) AS play_id",
+    "c_mktsegment AS character_chosen",
+    "o_orderkey % 21 AS ascension_level",
+    "o_totalprice > 250000D AS victory",
+    "o_orderkey % 61 AS floor_reached",
+    "o_orderkey % 50 = 0 AS is_endless",
+    "o_orderkey % 50 = 1 AS is_daily",
+    "CASE WHEN o_orderkey % 50 <> 4 THEN o_orderkey % 50 = 3 END AS is_trial",
+    "o_orderkey % 50 = 2 AS chose_seed",
+    "lines.choice AS card_choices",
+    f"transform(sequence(1, {_HP_LENGTH}), i -> (o_orderkey * 7 + i * 13) % 80) "
+    "AS current_hp_per_floor",
+    f"array_repeat(CASE WHEN o_orderkey % 97 = 0 THEN 0L ELSE 80L END, {_HP_LENGTH}) "
+    "AS max_hp_per_floor",
+    "lines.relic AS relics_obtained",
+    "filter(lines, line -> line.is_relic).relic.key AS relics",
+    # an order has as many boss choices as its customer's remainder says, none included
+    """transform(slice(array(0, 1, 2, 3), 1, int(o_custkey % 5)), tier -> struct(
+      CASE WHEN (o_orderkey + tier) % 4 <> 0
+        THEN concat('Relic#', (o_orderkey + tier * 7) % 30) END AS picked,
+      array(concat('Relic#', (o_orderkey + tier * 11 + 1) % 30),
+        concat('Relic#', (o_orderkey + tier * 13 + 2) % 30)) AS not_picked)) AS boss_relics""",
+    "lines.code AS path_taken",
+    "filter(lines, line -> line.is_potion).relic AS potions_obtained",
+    "floor(o_totalprice) AS score",
+    "o_orderkey * 31 % 7200 AS playtime",
+    "o_custkey % 400 AS gold",
+    "o_custkey % 7 AS campfire_rested",
+    "o_orderkey % 5 AS campfire_upgraded",
+    "o_orderpriority AS neow_bonus",
+    "o_orderstatus AS neow_cost",
+    "CASE WHEN NOT o_totalprice > 250000D THEN o_orderpriority END AS killed_by",
+    "o_custkey AS player_experience",
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,103 +84,21 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Flat lines are shuffled and nested afterwards: collecting lists before the shuffle would not
     make it smaller. The joins and aggregates that follow keep this partitioning.
     """
-    brands = _table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    lines = (
+    return (
         _table(spark, sf_dir, "lineitem")
-        .join(brands, F.expr("l_partkey = p_partkey"))
+        .join(_table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
         .repartition("l_orderkey")
-    )
-    other = [
-        F.concat(F.lit("Brand#"), (F.col(key) % BRANDS + 1).cast("string"))
-        for key in ("l_partkey", "l_suppkey")
-    ]
-    upgrade = F.when(F.col("l_linestatus") == "O", "+1").otherwise("")
-    malformed = (F.col("l_partkey") + F.col("l_suppkey")) % 101 == 0
-    code = F.element_at(
-        F.array(*map(F.lit, PATH)), (F.floor("l_quantity") % len(PATH) + 1).cast("int")
-    )
-    line = F.struct(
-        # the first six fields fix the order of the lines
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate",
-        F.struct(
-            F.when(~malformed, F.col("l_linenumber") * 4).cast("double").alias("floor"),
-            F.when(F.col("l_returnflag") == "N", "SKIP")
-            .otherwise(F.concat("p_brand", upgrade))
-            .alias("picked"),
-            F.array(*other).alias("not_picked"),
-        ).alias("choice"),
-        F.struct(
-            (F.col("l_linenumber") * 5).cast("double").alias("floor"),
-            F.col("p_brand").alias("key"),
-        ).alias("relic"),
-        code.alias("code"),
-        (F.col("l_linestatus") == "O").alias("is_relic"),
-        (F.col("l_tax") > 0.04).alias("is_potion"),
-    )
-    return (
-        lines.select(F.col("l_orderkey").alias("o_orderkey"), line.alias("line"))
+        .selectExpr("l_orderkey AS o_orderkey", _LINE)
         .groupBy("o_orderkey")
-        .agg(F.sort_array(F.collect_list("line")).alias("lines"))
+        .agg(F.expr("sort_array(collect_list(line)) AS lines"))
     )
 
 
 def order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested run per order, shaped like an ingested run record."""
-    orders = _table(spark, sf_dir, "orders")
-    segments = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    book = orders.join(segments, F.expr("o_custkey = c_custkey")).join(
-        _lines(spark, sf_dir), "o_orderkey", "left"
-    )
-    key, customer, lines = F.col("o_orderkey"), F.col("o_custkey"), F.col("lines")
-    floor = key % 61
-    hp_length = F.greatest(floor - customer % 4 * 5, F.lit(1)).cast("int")
-    victory = F.col("o_totalprice") > 250000
-
-    def relic(tier, step: int, offset: int):
-        number = (key + tier * step + offset) % RELICS
-        return F.concat(F.lit("Relic#"), number.cast("string"))
-
-    def boss(tier):
-        return F.struct(
-            F.when((key + tier) % 4 != 0, relic(tier, 7, 0)).alias("picked"),
-            F.array(relic(tier, 11, 1), relic(tier, 13, 2)).alias("not_picked"),
-        )
-
-    # sequence(0, n - 1) would count down for n = 0, so count from 1 and cut
-    tiers = F.slice(F.sequence(F.lit(0), F.lit(4)), F.lit(1), (customer % 5).cast("int"))
-    return book.select(
-        key.cast("string").alias("play_id"),
-        F.col("c_mktsegment").alias("character_chosen"),
-        (key % 21).alias("ascension_level"),
-        victory.alias("victory"),
-        floor.alias("floor_reached"),
-        (key % 50 == 0).alias("is_endless"),
-        (key % 50 == 1).alias("is_daily"),
-        F.when(key % 50 != 4, key % 50 == 3).alias("is_trial"),
-        (key % 50 == 2).alias("chose_seed"),
-        F.transform(lines, lambda x: x["choice"]).alias("card_choices"),
-        F.transform(F.sequence(F.lit(1), hp_length), lambda i: (key * 7 + i * 13) % 80).alias(
-            "current_hp_per_floor"
-        ),
-        F.array_repeat(F.when(key % 97 == 0, 0).otherwise(80).cast("bigint"), hp_length).alias(
-            "max_hp_per_floor"
-        ),
-        F.transform(lines, lambda x: x["relic"]).alias("relics_obtained"),
-        F.transform(F.filter(lines, lambda x: x["is_relic"]), lambda x: x["relic"]["key"]).alias(
-            "relics"
-        ),
-        F.transform(tiers, boss).alias("boss_relics"),
-        F.transform(lines, lambda x: x["code"]).alias("path_taken"),
-        F.transform(F.filter(lines, lambda x: x["is_potion"]), lambda x: x["relic"]).alias(
-            "potions_obtained"
-        ),
-        F.floor("o_totalprice").alias("score"),
-        (key * 31 % 7200).alias("playtime"),
-        (customer % 400).alias("gold"),
-        (customer % 7).alias("campfire_rested"),
-        (key % 5).alias("campfire_upgraded"),
-        F.col("o_orderpriority").alias("neow_bonus"),
-        F.col("o_orderstatus").alias("neow_cost"),
-        F.when(~victory, F.col("o_orderpriority")).alias("killed_by"),
-        customer.alias("player_experience"),
+    return (
+        _table(spark, sf_dir, "orders")
+        .join(_table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+        .join(_lines(spark, sf_dir), "o_orderkey", "left")
+        .selectExpr(*_RUN)
     )

@@ -19,6 +19,7 @@ from offerlens.operators.picks import (
 from offerlens.operators.runs import drop_duplicate_runs, standard_runs
 from offerlens.operators.summary import run_summary
 from offerlens.operators.tiers import tier_offers
+from offerlens.schemas import PICK_FIELDS
 
 
 def ids(df):
@@ -59,6 +60,10 @@ def test_pick_numbers_keep_gaps_and_floors_truncate(spark):
     ]
 
 
+def test_pick_schema(spark):
+    assert pick_events(runs(spark, run())).dtypes == spark.createDataFrame([], PICK_FIELDS).dtypes
+
+
 def test_short_series_are_read_from_their_end(spark):
     picks = pick_events(
         runs(

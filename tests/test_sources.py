@@ -10,7 +10,7 @@ from rows import choice, run, runs
 from offerlens.operators.model_input import load_model_rows, save_model_rows
 from offerlens.operators.offers import offers
 from offerlens.operators.picks import pick_events
-from offerlens.plans.pipeline import build_tables, load_table
+from offerlens.plans.build import build_tables, load_table
 from offerlens.sources.records import (
     decode_nested,
     encode_nested,
@@ -140,7 +140,7 @@ def test_stored_model_rows_keep_raw_columns_and_derive_the_ratio(spark, tmp_path
     assert not {"current_hp", "max_hp"} & set(loaded.columns)
 
 
-def test_pipeline_builds_all_tables_or_the_named_ones(spark, landing, tmp_path):
+def test_build_makes_all_tables_or_the_named_ones(spark, landing, tmp_path):
     warehouse = str(tmp_path / "warehouse")
     built = build_tables(spark, landing, warehouse)
     assert {name: info.row_count for name, info in built.items()} == {

@@ -203,6 +203,8 @@ def test_top_by_breaks_ties_by_name_and_skips_null(spark):
     )
     got = top_by(df, "m", 2, "g").orderBy("g", "position").collect()
     assert [(r.g, r.card_name) for r in got] == [("g", "a"), ("g", "b"), ("h", "d")]
+    last = top_by(df, "m", 1, "g", ascending=True).orderBy("g").collect()
+    assert [(r.g, r.card_name) for r in last] == [("g", "a"), ("h", "d")]
     plan = top_by(df, "m", 2, "g")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
 

@@ -445,7 +445,7 @@ FROM (SELECT play_id, pick_num, count(*) AS options, count(*) FILTER (was_picked
         "run_summary_joined": _sql(_SUMMARY),
         "tier_offers": _sql(_TIERS, _TIER_CTES),
         "tier_offers_joined": _sql(_TIERS, _TIER_CTES),
-        "pipeline_tables": _sql(
+        "stored_tables": _sql(
             """
 SELECT 'bronze_runs' AS table_name, count(*) AS row_count FROM book
 UNION ALL SELECT 'silver_picks', count(*) FROM picks

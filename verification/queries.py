@@ -20,7 +20,7 @@ from offerlens.operators.model_input import (
 from offerlens.operators.summary import run_summary
 from offerlens.operators.tiers import tier_offers
 from offerlens.plans.analysis import effect_models
-from offerlens.plans.pipeline import build_tables
+from offerlens.plans.build import build_tables
 from offerlens.sources import records
 from offerlens.sources.order_runs import order_runs
 from offerlens.sources.scratch import materialise, scratch_dir
@@ -108,7 +108,7 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pipeline_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = build_tables(spark, _landing(spark, sf_dir), scratch_dir(spark), multi_line=False)
     return spark.createDataFrame(
         [(name, info.row_count) for name, info in built.items()],
@@ -292,7 +292,7 @@ QUERIES: dict[str, Query] = {
     "run_summary_joined": lambda s, d: run_summary(order_runs(s, d), _picks(s, d)),
     "tier_offers": lambda s, d: tier_offers(order_runs(s, d)),
     "tier_offers_joined": lambda s, d: tier_offers(order_runs(s, d), _picks(s, d)),
-    "pipeline_tables": pipeline_tables,
+    "stored_tables": stored_tables,
     "lift_table": _lift,
     "csv_round_trip": csv_round_trip,
     "lift_screen": _screen,
