@@ -6,18 +6,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new path under the session's checkpoint folder.
+def _base(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def ensure_scratch(spark: SparkSession) -> None:
+    """For entry points: give a local session that names no scratch folder one of its own.
 
-    The cluster names that folder in `spark.checkpoint.dir`. Only a local-mode session, whose
-    executors share this machine, gets a temporary one where none is set.
+    Its executors share this machine. Elsewhere an unset folder stays an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not _base(spark) and spark.sparkContext.master.startswith("local["):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="offerlens-"))
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new path under the folder that the cluster names in `spark.checkpoint.dir`."""
+    base = _base(spark)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        base = tempfile.mkdtemp(prefix="offerlens-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     return f"{base.rstrip('/')}/offerlens/{uuid.uuid4().hex}"
 
 
