@@ -2,9 +2,11 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from offerlens.llm import near_dup, repetition
+from offerlens.llm import bpe, near_dup, repetition, suffix_tree, token_budget, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,10 +19,40 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents")).drop("spans", "longest_repeat")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pairs = bpe.byte_pairs(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.digests(pairs)
+
+
+def op5_token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_budget.token_budgets(table(spark, sf_dir, "documents"), path, limit=2048)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = suffix_tree.fold(F.col("doc_id"), 5, 1)
+    training = F.col("doc_id").isNotNull() & ~held_out
+    scored = suffix_tree.scores(table(spark, sf_dir, "documents"), training)
+    return scored.withColumn("held_out", held_out)
+
+
 QUERIES: dict[str, Query] = {
-    query.__name__: query for query in (op1_repetition, op7_near_duplicates)
+    query.__name__: query
+    for query in (
+        op1_repetition,
+        op3_toxicity,
+        op4_byte_pairs,
+        op5_token_budgets,
+        op7_near_duplicates,
+        op8_suffix_tree,
+    )
 }
