@@ -1,5 +1,7 @@
 """DuckDB statements that the queries of this folder must equal."""
 
+from offerlens.llm.decontaminate import UNITS
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 # Repeats are windows of words found twice or more in a text; a word is covered if one holds it.
@@ -68,4 +70,64 @@ SELECT w.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles,
 FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
-STATEMENTS: dict[str, str] = {"op1_repetition": OP1, "op7_near_duplicates": OP7}
+_TYPED = r"""
+  SELECT {key}, w, list_transform(w, lambda x, i: CASE
+      WHEN regexp_matches(x, '^[0-9]') THEN '0'
+      WHEN i > 1 AND regexp_matches(w[i - 1], '^[0-9]') AND list_contains(string_split('{units}', ' '), lower(x)) THEN '1'
+      WHEN x <> lower(x) THEN '2' ELSE lower(x) END) AS t
+  FROM (SELECT DISTINCT {key}, regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,:/-][0-9]+)*|\p{{L}}[\p{{L}}\p{{M}}]*') AS w FROM {table})
+"""
+
+
+def _windows(key: str, table: str) -> str:
+    typed = _TYPED.format(key=key, table=table, units=" ".join(UNITS))
+    return f"""
+  SELECT {key}, i, list_slice(t, i, i + 4) AS kinds, list_transform(list_slice(w, i, i + 4), lambda x: lower(x)) AS vals
+  FROM (SELECT {key}, w, t, unnest(range(1, len(t) - 3)) AS i FROM ({typed}) WHERE len(t) >= 5)
+"""
+
+
+OP9 = f"""
+WITH items AS (
+  SELECT * FROM ({_windows("item_id", "benchmark")})
+  WHERE len(list_filter(kinds, lambda x: x NOT IN ('0', '1', '2'))) >= 3
+),
+sizes AS (SELECT item_id, count(DISTINCT kinds) AS size FROM items GROUP BY item_id),
+aligned AS (
+  SELECT d.doc_id, b.item_id, d.i - b.i AS run, b.kinds, b.vals, d.vals AS own
+  FROM ({_windows("doc_id", "documents")}) d JOIN items b ON d.kinds = b.kinds
+),
+slots AS (
+  SELECT DISTINCT doc_id, item_id, run, kinds[k] AS kind, vals[k] AS val, own[k] AS own
+  FROM aligned, (SELECT unnest(range(1, 6)) AS k) WHERE kinds[k] IN ('0', '1', '2')
+),
+broken AS (SELECT DISTINCT doc_id, item_id, run FROM slots GROUP BY doc_id, item_id, run, kind, val HAVING count(*) > 1),
+leaks AS (
+  SELECT doc_id, item_id FROM aligned ANTI JOIN broken USING (doc_id, item_id, run) JOIN sizes USING (item_id)
+  GROUP BY doc_id, item_id, size HAVING 100 * count(DISTINCT kinds) >= 80 * size
+),
+by_doc AS (SELECT doc_id, count(*) AS n, min(item_id) AS first_item FROM leaks GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_items, first_item, n IS NULL AS kept
+FROM documents LEFT JOIN by_doc USING (doc_id)
+"""
+
+OP10 = """
+WITH one AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+whole AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns,
+    string_agg('<|im_start|>' || coalesce(role, 'none') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
+      ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
+  FROM one GROUP BY conv_id
+),
+starts AS (SELECT conv_id, n, list_slice(turns, 1, n) AS start, n = len(turns) AS is_all FROM (SELECT conv_id, turns, unnest(range(1, len(turns) + 1)) AS n FROM whole)),
+classes AS (SELECT start, min(conv_id) AS conv_id, count(*) AS copies FROM starts WHERE is_all GROUP BY start),
+kept AS (SELECT * FROM classes ANTI JOIN (SELECT DISTINCT start FROM starts WHERE NOT is_all) USING (start)),
+logged AS (
+  SELECT starts.conv_id, sum(classes.copies)::BIGINT AS n FROM starts SEMI JOIN kept USING (conv_id)
+  JOIN classes USING (start) GROUP BY starts.conv_id
+)
+SELECT whole.conv_id, len(whole.turns)::INTEGER AS n_turns, logged.n AS n_logged, whole.text
+FROM whole JOIN logged USING (conv_id)
+"""
+
+STATEMENTS: dict[str, str] = {"op1_repetition": OP1, "op7_near_duplicates": OP7, "op9_templates": OP9, "op10_chats": OP10}

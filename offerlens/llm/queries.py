@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import bpe, near_dup, repetition, suffix_tree, token_budget, toxicity
+from offerlens.llm import bpe, chat, decontaminate, near_dup, repetition, suffix_tree, token_budget, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,14 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", held_out)
 
 
+def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapsed_chats(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -54,5 +62,7 @@ QUERIES: dict[str, Query] = {
         op5_token_budgets,
         op7_near_duplicates,
         op8_suffix_tree,
+        op9_templates,
+        op10_chats,
     )
 }
