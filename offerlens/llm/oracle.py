@@ -43,6 +43,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cove
 FROM judged
 """
 
+OP2 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+hashed AS (SELECT page_id, html, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h FROM p),
+digests AS (
+  SELECT *, list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, (5 * (k // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (k % 4))::INT) & 31) + 1)::BIGINT, 1)), 'string_agg', '') AS payload_digest,
+    min(page_id) OVER (PARTITION BY html) AS first_id
+  FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM digests
+"""
+
 OP7 = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_transform({WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w
@@ -130,4 +145,4 @@ SELECT whole.conv_id, len(whole.turns)::INTEGER AS n_turns, logged.n AS n_logged
 FROM whole JOIN logged USING (conv_id)
 """
 
-STATEMENTS: dict[str, str] = {"op1_repetition": OP1, "op7_near_duplicates": OP7, "op9_templates": OP9, "op10_chats": OP10}
+STATEMENTS: dict[str, str] = {"op1_repetition": OP1, "op2_revisits": OP2, "op7_near_duplicates": OP7, "op9_templates": OP9, "op10_chats": OP10}

@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import bpe, chat, decontaminate, near_dup, repetition, suffix_tree, token_budget, toxicity
+from offerlens.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    html_text,
+    near_dup,
+    repetition,
+    suffix_tree,
+    token_budget,
+    toxicity,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +30,13 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents")).drop("spans", "longest_repeat")
 
 
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers, _ = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return headers.select(
+        "page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to"
+    )
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,6 +52,10 @@ def op5_token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_budget.token_budgets(table(spark, sf_dir, "documents"), path, limit=2048)
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,9 +79,11 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_repetition,
+        op2_revisits,
         op3_toxicity,
         op4_byte_pairs,
         op5_token_budgets,
+        op6_main_text,
         op7_near_duplicates,
         op8_suffix_tree,
         op9_templates,
