@@ -4,13 +4,25 @@ The documents of the tables pass through all stages; a stage works on all rows t
 kept. A filtering stage returns the columns of its input, whatever they are.
 """
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlens.llm import near_dup, repetition
+from offerlens.llm import bpe, decontaminate, near_dup, repetition, toxicity
 from offerlens.sources.scratch import ensure_scratch, materialise
 from offerlens.sources.shipping import ship_package
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_scratch(spark)
+    ship_package(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    return toxicity.keep_clean(docs, _table(spark, sf_dir, "labels"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the repeat rules reject go."""
     ship_package(spark)
@@ -24,15 +36,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_dup.keep_one_of_each(docs)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates)]
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.keep_uncontaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the SHA-256 of the ids and of the decoded text."""
+    ship_package(spark)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(bpe.byte_pairs(docs, path, public_tokenizers.PATTERN))
+
+
+STAGES = [
+    ("toxicity", toxic_texts),
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_leaks", benchmark_leaks),
+    ("token_ids", token_ids),
+]
 
 #: Classifier and tokenizer stages have no SQL form; tests compare the run with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
