@@ -145,8 +145,8 @@ def byte_pairs(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return both.select("doc_id", (F.octet_length("both.ids") / 4).cast("bigint").alias("n_tokens"), "both.*")
 
 
-def digests(pairs: DataFrame) -> DataFrame:
-    """Per document of `byte_pairs` the SHA-256 of its packed ids and of its decoded bytes."""
+def digests(pairs: DataFrame, *more: str) -> DataFrame:
+    """Per document of `byte_pairs` the SHA-256 of its packed ids and of its decoded bytes, and more of its columns."""
     return pairs.select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+        "doc_id", "n_tokens", *more, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
