@@ -42,10 +42,10 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids and of the decoded text."""
+    """doc_id, n_tokens, the packed ids, and the SHA-256 of the ids and of the decoded text."""
     ship_package(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digests(bpe.byte_pairs(docs, path, public_tokenizers.PATTERN))
+    return bpe.digests(bpe.byte_pairs(docs, path, public_tokenizers.PATTERN), "ids")
 
 
 STAGES = [
