@@ -1,11 +1,13 @@
 """One logistic regression per (character, card), for groups of any size.
 
 Rows with equal covariates are first counted into cells, which loses nothing and shrinks the input
-before its only large shuffle. Groups whose cells fit a task are fitted there. Larger groups are
-never brought together: each Newton step is an aggregate over their cells.
+before its only large shuffle. Then all groups take their Newton steps together: a step is one
+aggregate over the cells, so no group is ever brought to one task, and the number of jobs depends
+on the steps, not on the groups. Groups that have ended leave the next step.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -22,9 +24,6 @@ from offerlens.sources.scratch import materialise
 # Fixed value: groups with fewer rows are reported as too small instead of fitted.
 MIN_ROWS = 200
 
-# Cells one task may hold, about 50 MB as a pandas group.
-MAX_TASK_CELLS = 200_000
-
 TOO_FEW = "too few rows"
 ONE_CLASS = "one outcome class"
 
@@ -53,29 +52,19 @@ def fit_effects(
     outcome: str = "victory",
     min_rows: int = MIN_ROWS,
     by: tuple[str, ...] = KEYS,
-    max_task_cells: int = MAX_TASK_CELLS,
 ) -> DataFrame:
     """Effect of the flag per group. Every group gives one row; a failed fit fills `error`.
 
-    The result is written once, as later steps read it several times. A column in `by` does not
-    vary within a group, so it cannot be a feature as well.
+    A group whose outcome is separated, wholly or partly, ends with `converged` false, whatever
+    the order of its rows. Runs its jobs when called and writes the result once, as later steps
+    read it several times. A column in `by` does not vary within a group, so it cannot be a
+    feature as well.
     """
     check_features(features)
     if set(by) & set(features):
         raise ValueError(f"constant within a group: {sorted(set(by) & set(features))}")
     counted = materialise(cells(rows, by, features, outcome))
-    sizes = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("cells"))
-    large = sizes.filter(F.col("cells") > max_task_cells).select(*by)
-    if large.isEmpty():
-        return materialise(_fit_in_tasks(counted, by, features, min_rows))
-    large = materialise(large)
-    small = counted.join(large, list(by), "left_anti")
-    spread = materialise(counted.join(large, list(by), "left_semi"))
-    return materialise(
-        _fit_in_tasks(small, by, features, min_rows).unionByName(
-            _fit_spread(spread, by, features, min_rows)
-        )
-    )
+    return materialise(_fit(counted, by, features, min_rows))
 
 
 def _known_error(n: float, wins: float, min_rows: int) -> str | None:
@@ -84,29 +73,6 @@ def _known_error(n: float, wins: float, min_rows: int) -> str | None:
     return ONE_CLASS if wins in (0, n) else None
 
 
-def _fit_in_tasks(
-    counted: DataFrame, by: tuple[str, ...], features: tuple[str, ...], min_rows: int
-) -> DataFrame:
-    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        n, wins = group["n"].to_numpy("float64"), group["wins"].to_numpy("float64")
-        result = dict.fromkeys(_RESULT) | {"n": int(n.sum())}
-        result["error"] = _known_error(n.sum(), wins.sum(), min_rows)
-        if result["error"] is None:
-            x = np.column_stack([np.ones(len(group)), group[list(features)].to_numpy("float64")])
-            try:
-                result |= newton.fit(x, n, wins, 1 + features.index(FLAG))
-            except np.linalg.LinAlgError as problem:
-                result["error"] = str(problem)
-        return pd.DataFrame([dict(zip(by, key)) | result])
-
-    return counted.groupBy(*by).applyInPandas(
-        fit, f"{_key_fields(counted, by)}, {EFFECT_FIELDS}"
-    )
-
-
-# ---- groups too large for a task -------------------------------------------------------------
-
-
 def _design(features: tuple[str, ...]) -> list[Column]:
     return [F.lit(1.0), *[F.col(name) for name in features]]
 
@@ -131,7 +97,7 @@ def _statistics(
     n, wins, eta, p = (F.col(name) for name in ("n", "wins", "eta", "p"))
     softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
     return scored.groupBy(*by).agg(
-        F.first("beta").alias("beta"),
+        *[F.first(name).alias(name) for name in ("beta", "scale", "least")],
         F.sum("n").alias("n"),
         F.sum("wins").alias("wins"),
         F.array(*[F.sum((wins - n * p) * x) for x in design]).alias("gradient"),
@@ -151,36 +117,44 @@ def _square(upper: np.ndarray, width: int) -> np.ndarray:
     return matrix + np.triu(matrix, 1).T
 
 
-def _fit_spread(
+def _fit(
     counted: DataFrame, by: tuple[str, ...], features: tuple[str, ...], min_rows: int
 ) -> DataFrame:
     width, at = len(features) + 1, 1 + features.index(FLAG)
+    state_fields = [*by, "beta", "scale", "least", "n", "error", "done", "converged"]
     state_schema = (
-        f"{_key_fields(counted, by)}, beta array<double>, n bigint, error string, "
-        "done boolean, converged boolean"
+        f"{_key_fields(counted, by)}, beta array<double>, scale array<double>, least double, "
+        "n bigint, error string, done boolean, converged boolean"
     )
 
+    def advanced(row, taken: int) -> dict:
+        beta, information = np.array(row.beta), _square(row.information, width)
+        error, converged, scale, least = _known_error(row.n, row.wins, min_rows), None, None, None
+        if error is None:
+            if taken == 1:
+                start = newton.start_scale(information)
+                if start is None:
+                    error = "Singular matrix"
+                else:
+                    scale, least = start
+            else:
+                scale, least = np.array(row.scale), row.least
+        if error is None:
+            if newton.is_separated(information, scale, least):
+                converged = False
+            else:
+                beta, done = newton.step(beta, np.array(row.gradient), information, row.n)
+                if done or taken == newton.MAX_STEPS:
+                    converged = taken < newton.MAX_STEPS
+        return {key: getattr(row, key) for key in by} | {
+            "beta": beta, "scale": scale, "least": least, "n": row.n, "error": error,
+            "done": error is not None or converged is not None, "converged": converged,
+        }
+
     def advance(batches: Iterator[pd.DataFrame], taken: int) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            states = []
-            for row in batch.itertuples():
-                beta, done = np.array(row.beta), False
-                information = _square(row.information, width)
-                error = _known_error(row.n, row.wins, min_rows)
-                if error is None and taken == 1 and newton.is_singular(information):
-                    error = "Singular matrix"
-                if error is None:
-                    try:
-                        beta, done = newton.step(beta, np.array(row.gradient), information, row.n)
-                    except np.linalg.LinAlgError as problem:
-                        error = str(problem)
-                ended = done or error is not None or taken == newton.MAX_STEPS
-                states.append(
-                    {key: getattr(row, key) for key in by}
-                    | {"beta": beta, "n": row.n, "error": error, "done": ended}
-                    | {"converged": taken < newton.MAX_STEPS if error is None else None}
-                )
-            yield pd.DataFrame(states, columns=[*by, "beta", "n", "error", "done", "converged"])
+            states = [advanced(row, taken) for row in batch.itertuples()]
+            yield pd.DataFrame(states, columns=state_fields)
 
     def conclude(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -188,21 +162,22 @@ def _fit_spread(
             for row in batch.itertuples():
                 result = dict.fromkeys(_RESULT) | {key: getattr(row, key) for key in by}
                 result |= {"n": row.n, "converged": row.converged, "auc": row.auc}
-                try:
-                    result |= newton.inference(
-                        np.array(row.beta), _square(row.information, width), at,
-                        row.n, row.wins, row.log_lik,
-                    )
-                except np.linalg.LinAlgError as problem:
-                    result |= {"error": str(problem), "converged": None, "auc": None}
+                result |= newton.inference(
+                    np.array(row.beta), _square(row.information, width), at,
+                    row.n, row.wins, row.log_lik,
+                )
                 results.append(result)
             yield pd.DataFrame(results, columns=[*by, *_RESULT])
 
-    start = F.array_repeat(F.lit(0.0), width).alias("beta")
-    active = counted.select(*by).distinct().select(*by, start)
+    start = [
+        F.array_repeat(F.lit(0.0), width).alias("beta"),
+        F.lit(None).cast("array<double>").alias("scale"),
+        F.lit(None).cast("double").alias("least"),
+    ]
+    active = counted.select(*by).distinct().select(*by, *start)
     ended = []
     for taken in range(1, newton.MAX_STEPS + 1):
-        sums = _statistics(counted, active.select(*by, "beta"), by, features)
+        sums = _statistics(counted, active.select(*by, "beta", "scale", "least"), by, features)
         state = materialise(
             sums.mapInPandas(lambda batches, taken=taken: advance(batches, taken), state_schema)
         )
@@ -210,13 +185,10 @@ def _fit_spread(
         active = state.filter("not done")
         if active.isEmpty():
             break
-    final = ended[0]
-    for more in ended[1:]:
-        final = final.unionByName(more)
-    final = materialise(final)
+    final = materialise(reduce(DataFrame.unionByName, ended))
 
     fitted = final.filter(F.col("error").isNull())
-    betas = fitted.select(*by, "beta")
+    betas = fitted.select(*by, "beta", "scale", "least")
     scored = counted.join(betas, list(by)).select(
         *by,
         _eta(features).alias("eta"),

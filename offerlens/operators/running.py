@@ -5,8 +5,8 @@ ranges that hold about equally many rows; windows run inside the ranges, and the
 a few hundred rows, carry the result from one range to the next.
 """
 
+import math
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -16,19 +16,24 @@ from offerlens.sources.scratch import materialise
 
 ORDER = "_order"
 RANGE = "_range"
-RANGES = 256
+PLACE = "_place"
+ROWS_PER_RANGE = 50_000
 
 
-def with_ranges(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
+def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
     """The rows, written once, with the number of their range of the order column.
 
+    Runs its jobs when called. The number of ranges follows the number of rows, so that a range
+    stays the same size however large the table is.
+
     The order column must be a number and not NULL. Rows should be distinct in it per group:
     repeated values must be counted into one row first, as equal values always share a range.
     """
     rows = materialise(df)
+    ranges = ranges or max(2, math.ceil(rows.count() / ROWS_PER_RANGE))
     shares = [i / ranges for i in range(1, ranges)]
-    # at most `ranges` numbers, whatever the size of the table
-    cuts = rows.agg(F.percentile_approx(order, shares)).first()[0] or [0.0]
+    # one number per range; the sketch is finer than the ranges
+    cuts = rows.agg(F.percentile_approx(order, shares, max(10_000, 10 * ranges))).first()[0] or [0.0]
     splits = [-float("inf"), *sorted({float(cut) for cut in cuts}), float("inf")]
     numbered = Bucketizer(splits=splits, inputCol=ORDER, outputCol=RANGE, handleInvalid="keep")
     ranged = numbered.transform(rows.withColumn(ORDER, F.col(order).cast("double")))
@@ -53,22 +58,19 @@ def running(
     def direction(name: str) -> Column:
         return F.desc(name) if descending else F.asc(name)
 
-    within = Window.partitionBy(*by, RANGE).orderBy(direction(order))
+    # a struct is never NULL, though its fields may be, so one exchange by it serves the range
+    # totals, the join and the window
+    placed = ranged.withColumn(PLACE, F.struct(*by, RANGE))
+    within = Window.partitionBy(PLACE).orderBy(direction(order))
     within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy(*by).orderBy(direction(RANGE))
     earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        ranged.groupBy(*by, RANGE)
-        .agg(combine(value).alias("_total"))
-        .withColumn("_carried", combine("_total").over(earlier))
-        .drop("_total")
-        .select(*[F.col(name).alias(f"_c_{name}") for name in (*by, RANGE)], "_carried")
-    )
-    same = reduce(
-        Column.__and__, [F.col(name).eqNullSafe(F.col(f"_c_{name}")) for name in (*by, RANGE)]
+    totals = placed.groupBy(PLACE).agg(combine(value).alias("_total"))
+    carried = totals.select(PLACE, f"{PLACE}.*", "_total").select(
+        PLACE, combine("_total").over(earlier).alias("_carried")
     )
     return (
-        ranged.join(carried, same, "left")
+        placed.join(carried, PLACE, "left")
         .withColumn(out, merge(F.col("_carried"), combine(value).over(within)))
         .select(*ranged.columns, out)
     )

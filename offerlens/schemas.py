@@ -39,11 +39,21 @@ RUN_FIELDS = """
     win_rate double
 """
 
-RUN_TYPES = dict(line.strip().rstrip(",").split(" ", 1) for line in RUN_FIELDS.strip().splitlines())
 
-# A raw record. Whole numbers are read as double, because sources write both 7 and 7.0.
-RECORD_SCHEMA = "event struct<{}>".format(
-    ", ".join(f"{name}: {kind.replace('bigint', 'double')}" for name, kind in RUN_TYPES.items())
+
+def field_types(fields: str) -> dict[str, str]:
+    """Name and type of each line of a field list."""
+    return dict(line.strip().rstrip(",").split(" ", 1) for line in fields.strip().splitlines())
+
+
+RUN_TYPES = field_types(RUN_FIELDS)
+
+# A raw record: the wrapper's content as JSON text, which keeps every field and every digit.
+RECORD_SCHEMA = "event string"
+
+# What is read out of it. Whole numbers stay text at first, as sources write both 7 and 7.0.
+EVENT_SCHEMA = ", ".join(
+    f"{name} {kind.replace('bigint', 'string')}" for name, kind in RUN_TYPES.items()
 )
 
 PICK_FIELDS = """
@@ -66,6 +76,8 @@ PICK_FIELDS = """
     floors_gained bigint
 """
 
+PICK_TYPES = field_types(PICK_FIELDS)
+
 EFFECT_FIELDS = """
     n bigint,
     error string,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rows import choice, run, runs
 
 from offerlens.functions.nested import value_at_anchor
-from offerlens.operators.offers import offers, offers_by_union
+from offerlens.operators.offers import offers
 from offerlens.operators.checks import check_prepared
 from offerlens.operators.picks import (
     choice_list,
@@ -142,17 +142,22 @@ event = st.builds(
 
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(event, max_size=4), min_size=1, max_size=4))
-def test_both_offer_plans_agree_and_count_every_option(spark, choice_lists):
+def test_offers_equal_a_plain_loop(spark, choice_lists):
     records = [run(play_id=str(i), card_choices=c) for i, c in enumerate(choice_lists)]
-    picks = pick_events(runs(spark, *records))
-    one_pass = sorted(map(str, offers(picks).collect()))
-    assert one_pass == sorted(map(str, offers_by_union(picks).collect()))
-    expected = 0
-    for choices in choice_lists:
-        if any(c["floor"] is not None for c in choices):
-            kept = [c for c in choices if c["floor"] is not None]
-            expected += sum(len(c["not_picked"]) + (c["picked"] == "X") for c in kept)
-    assert len(one_pass) == expected
+    got = offers(pick_events(runs(spark, *records))).collect()
+    rows = [(r.play_id, r.pick_num, r.card_name, r.was_picked, r.was_skip, r.floor) for r in got]
+    expected = []
+    for i, choices in enumerate(choice_lists):
+        for k, c in enumerate(choices):
+            if c["floor"] is None or int(max(x["floor"] or 0 for x in choices)) > 50:
+                continue
+            taken = None if c["picked"] is None else c["picked"] != "SKIP"
+            event = (None if taken is None else not taken, int(c["floor"]))
+            if taken:
+                expected.append((str(i), k, c["picked"], True, *event))
+            expected += [(str(i), k, option, False, *event) for option in c["not_picked"]]
+    assert sorted(map(str, rows)) == sorted(map(str, expected))
+
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))

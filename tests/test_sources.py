@@ -17,6 +17,7 @@ from offerlens.sources.records import (
     flatten_structs,
     ingest_runs,
     read_records,
+    unreadable_records,
     unwrap_records,
     with_run_types,
 )
@@ -48,7 +49,10 @@ def test_ingest_reads_the_tree_and_keeps_one_copy(spark, landing, infer):
     assert sorted(rows) == ["a", "b", "c"]
     assert rows["a"]._source_file.endswith("2020/11/a.json")
     assert rows["b"].card_choices[0].floor == 7.0
-    assert ("surprise" in rows["c"]) == infer
+    if infer:
+        assert rows["c"].surprise == 1
+    else:
+        assert [json.loads(rows[k]._other) if rows[k]._other else None for k in "abc"] == [None, None, {"surprise": "1"}]
 
 
 def test_records_without_the_wrapper_are_refused(spark, tmp_path):
@@ -68,6 +72,31 @@ def test_whole_numbers_may_be_written_as_decimals(spark, tmp_path):
     assert rows["b"].floor_reached == 50 and isinstance(rows["b"].floor_reached, int)
 
 
+def test_whole_numbers_are_exact_and_fractions_are_not_cut(spark, tmp_path):
+    fields = {"score": 9007199254740993, "gold": 7.5, "gold_per_floor": [9007199254740993, 1.5, None]}
+    (tmp_path / "x.json").write_text(json.dumps({"event": run(**fields)}))
+    row = ingest_runs(spark, str(tmp_path)).first()
+    assert (row.score, row.gold) == (9007199254740993, None)
+    assert row.gold_per_floor == [9007199254740993, None, None]
+
+
+def test_undeclared_fields_are_kept_with_their_texts(spark, tmp_path):
+    extra = {"big": 9007199254740993, "nested": {"a": [1, None]}, "none": None, "text": "x"}
+    (tmp_path / "x.json").write_text(json.dumps({"event": run(**extra)}))
+    kept = json.loads(ingest_runs(spark, str(tmp_path)).first()._other)
+    assert kept == {"big": "9007199254740993", "nested": '{"a":[1,null]}', "none": None, "text": "x"}
+
+
+def test_unreadable_records_are_refused_or_set_apart(spark, tmp_path):
+    (tmp_path / "good.json").write_text(json.dumps({"event": run()}))
+    (tmp_path / "broken.json").write_text('{"event": {"play_id": ')
+    with pytest.raises(Exception, match="(?i)malformed|failfast"):
+        ingest_runs(spark, str(tmp_path)).collect()
+    assert [r.play_id for r in ingest_runs(spark, str(tmp_path), unreadable="skip").collect()] == ["a"]
+    broken = unreadable_records(spark, str(tmp_path)).collect()
+    assert [r._source_file.endswith("broken.json") for r in broken] == [True]
+
+
 def test_nested_floors_may_be_written_either_way(spark, landing):
     picks = pick_events(with_run_types(unwrap_records(read_records(spark, landing))))
     assert {r.choice_floor for r in picks.collect()} == {7, 10}
@@ -122,6 +151,12 @@ def test_csv_export_has_a_header(spark, tmp_path):
     assert len(files) == 1 and files[0].read_text() == "x,n\na,1\n"
 
 
+def test_scratch_needs_a_folder(spark, monkeypatch):
+    monkeypatch.setattr("offerlens.sources.scratch._base", lambda session: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(spark)
+
+
 def test_scratch_follows_the_session_setting(spark, tmp_path):
     assert scratch_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
     df = materialise(spark.range(4).withColumn("p", F.lit("007")), partition_by="p")

@@ -79,6 +79,23 @@ def test_running_sum_equals_a_plain_loop(spark, values, ranges):
         assert row.upto == sum(t for g, at, t in rows if g == row.g and at <= row["at"])
 
 
+def test_running_shuffles_the_rows_once(spark):
+    df = with_ranges(spark.range(1000).select((F.col("id") % 3).alias("g"), "id"), "id", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = running(df, "id", F.col("id"), "upto", ("g",))
+        out.collect()
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        physical = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" in plan
+    # the rows themselves, their range totals, and the totals again in range order and for the join
+    whole = [line for line in physical.splitlines() if "Exchange" in line and "_place" in line]
+    sorts = [line for line in physical.splitlines() if "Sort [" in line and "id#" in line]
+    assert len(whole) <= 3 and len(sorts) == 1, physical
+
+
 def test_one_group_is_spread_over_many_ranges(spark):
     df = with_ranges(spark.range(10_000).select(F.lit("hot").alias("g"), "id"), "id", 50)
     sizes = [r["count"] for r in df.groupBy("_range").count().collect()]
@@ -133,7 +150,6 @@ def test_auc_equals_counting_pairs(spark, cases):
         assert got.auc == pytest.approx(won / len(pos) / len(neg))
         x = np.array([s for s, _ in cases], float)
         y = np.array([w for _, w in cases], float)
-        assert newton.weighted_auc(x, np.ones(len(x)), y) == pytest.approx(got.auc)
 
 
 @MANY
@@ -231,7 +247,7 @@ def test_model_rows_need_every_column_and_a_positive_maximum(spark):
 
 @pytest.fixture(scope="module")
 def fitted(spark):
-    """Groups of every kind, fitted inside tasks and spread over the cluster."""
+    """Groups of every kind."""
     rows = offer_rows("normal", 800, 1) + offer_rows("other", 300, 2)
     rows += offer_rows("n199", 199, 3) + offer_rows("n200", 200, 4)
     rows += offer_rows("always picked", 250, 5, flag=True) + offer_rows("never", 250, 6, flag=False)
@@ -241,49 +257,82 @@ def fitted(spark):
     offers = spark.createDataFrame(rows, OFFER)
     model = model_input(offers)
     by_name = lambda df: {(r.character_chosen, r.card_name): r for r in df.collect()}
-    return offers, by_name(fit_effects(model)), by_name(fit_effects(model, max_task_cells=0))
+    return offers, by_name(fit_effects(model))
 
 
 def test_every_group_gives_one_row_with_its_error(fitted):
-    _, in_tasks, _ = fitted
-    errors = {card: r.error for (character, card), r in in_tasks.items() if character == "RED"}
-    assert errors.pop("separated") is None or not in_tasks["RED", "separated"].converged
+    _, results = fitted
+    errors = {card: r.error for (character, card), r in results.items() if character == "RED"}
     assert errors == {
-        "normal": None, "other": None, "n200": None, "n199": "too few rows",
+        "normal": None, "other": None, "n200": None, "n199": "too few rows", "separated": None,
         "always picked": "Singular matrix", "never": "Singular matrix",
         "always won": "one outcome class",
     }
-    assert in_tasks["RED", "n199"].n == 199
-    assert in_tasks["RED", "normal"].converged and in_tasks["RED", "normal"].n == 800
-
-
-def test_separation_is_never_reported(fitted):
-    _, in_tasks, spread = fitted
-    for results in (in_tasks, spread):
-        assert not (results["RED", "separated"].error is None and results["RED", "separated"].converged)
-
-
-def test_fits_spread_over_the_cluster_equal_fits_in_tasks(fitted):
-    _, in_tasks, spread = fitted
-    assert spread.keys() == in_tasks.keys()
-    for key, a in in_tasks.items():
-        b = spread[key]
-        assert (a.n, a.error, a.converged) == (b.n, b.error, b.converged), key
-        if a.converged:
-            for name in a.asDict():
-                if isinstance(a[name], float):
-                    assert b[name] == pytest.approx(a[name], rel=1e-8, abs=1e-10), (key, name)
+    assert results["RED", "n199"].n == 199
+    assert results["RED", "normal"].converged and results["RED", "normal"].n == 800
+    assert results["RED", "separated"].converged is False
+
+
+def test_status_of_separated_groups_does_not_depend_on_order_or_partitions(spark):
+    """Whole and one-sided separation by the flag and by health, and groups that only come near it."""
+    rng = random.Random(11)
+    rules = {
+        "whole": lambda r: r[2],
+        "picked win": lambda r: r[2] or r[3],
+        "healthy win": lambda r: r[6] > 40 or r[3] and r[6] > 30,
+        "by health": lambda r: r[6] > 40,
+    }
+    rows, near = [], set()
+    for k in range(40):
+        name, rule = list(rules.items())[k % 4]
+        card = f"{name} {k}"
+        own = [(*r[:3], bool(rule(r)), *r[4:]) for r in offer_rows(card, 210 + k, 100 + k)]
+        if name == "healthy win":  # both outcomes where health is middling
+            near.add(card)
+        if k >= 32:  # one row against the rule: nearly separated, but a fit exists
+            near.add(card)
+            i = next(i for i, r in enumerate(own) if r[2] and r[3] and r[6] > 45)
+            own[i] = (*own[i][:3], False, *own[i][4:])
+        rows += own
+    seen = set()
+    for partitions in (1, 8):
+        rng.shuffle(rows)
+        model = model_input(spark.createDataFrame(rows, OFFER).repartition(partitions))
+        got = {(r.card_name, r.error, r.converged) for r in fit_effects(model).collect()}
+        assert len(got) == 40
+        seen.add(frozenset(got))
+    assert len(seen) == 1
+    for card, error, converged in seen.pop():
+        assert error is None
+        assert card in near or converged is False, card
+
+
+def plain_fit(rows, steps=30):
+    """Newton steps on all rows at once."""
+    x = np.array([[1.0, r.was_picked, r.hp_ratio, r.floor, r.relic_count, r.ascension_level] for r in rows])
+    y, beta = np.array([float(r.victory) for r in rows]), np.zeros(6)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta += np.linalg.solve((x.T * (p * (1 - p))) @ x, x.T @ (y - p))
+    return beta
+
+
+def test_coefficients_equal_plain_newton_steps(fitted):
+    offers, results = fitted
+    for card in ("normal", "other", "n200"):
+        rows = model_input(offers).filter(f"character_chosen = 'RED' AND card_name = '{card}'").collect()
+        assert results["RED", card].was_picked_coef == pytest.approx(plain_fit(rows)[1], rel=1e-8)
 
 
 def test_coefficient_and_error_equal_a_generalized_linear_model(fitted, spark):
-    offers, in_tasks, _ = fitted
+    offers, results = fitted
     rows = model_input(offers).filter("character_chosen = 'RED' AND card_name = 'normal'")
     numbers = rows.select(*[F.col(c).cast("double") for c in (*FEATURES, "victory")])
     x = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(numbers)
     glm = GeneralizedLinearRegression(
         family="binomial", labelCol="victory", featuresCol="x", tol=1e-12, maxIter=50
     ).fit(x)
-    got = in_tasks["RED", "normal"]
+    got = results["RED", "normal"]
     assert got.was_picked_coef == pytest.approx(glm.coefficients[0], abs=1e-9)
     se = math.log(got.odds_ratio_ci_high / got.odds_ratio_ci_low) / 2 / newton.Z_95
     assert se == pytest.approx(glm.summary.coefficientStandardErrors[0], rel=1e-7)
@@ -293,7 +342,7 @@ def test_coefficient_and_error_equal_a_generalized_linear_model(fitted, spark):
 
 
 def test_flag_alone_gives_the_log_odds_ratio_of_the_table(fitted, spark):
-    offers, _, _ = fitted
+    offers, _ = fitted
     rows = model_input(offers).filter("card_name = 'other'")
     table = {(r.was_picked, r.victory): r["count"] for r in rows.groupBy("was_picked", "victory").count().collect()}
     a, b, c, d = (table[k] for k in ((True, True), (True, False), (False, True), (False, False)))
@@ -302,7 +351,7 @@ def test_flag_alone_gives_the_log_odds_ratio_of_the_table(fitted, spark):
 
 
 def test_effects_by_another_group_key(fitted):
-    offers, _, _ = fitted
+    offers, _ = fitted
     by = ("character_chosen", "ascension_level")
     features = ("was_picked", "hp_ratio", "floor", "relic_count")
     got = fit_effects(model_input(offers), features, min_rows=50, by=by)
@@ -311,7 +360,7 @@ def test_effects_by_another_group_key(fitted):
 
 
 def test_outcome_leaks_are_refused(fitted):
-    offers, _, _ = fitted
+    offers, _ = fitted
     for leak in ("floor_reached", "floors_gained"):
         with pytest.raises(ValueError, match=leak):
             fit_effects(offers, features=("was_picked", leak))
@@ -440,3 +489,20 @@ def test_counted_cells_train_the_same_trees_as_rows(spark):
     ]
     assert effect == pytest.approx(means[0] - means[1], rel=1e-9)
     assert splits == plain.toDebugString.count("If (feature 0 ")
+
+
+@pytest.mark.parametrize("n", [281, 294, 525])
+def test_a_leaf_may_hold_exactly_the_least_number_of_rows(spark, n):
+    counted = spark.createDataFrame(
+        [(1.0, cf.MIN_LEAF, 30.0), (0.0, n - cf.MIN_LEAF, 20.0)], "was_picked double, n bigint, mean double"
+    )
+    effect, splits = cf._fit(counted, n, ("was_picked",), trees=2)
+    assert effect == pytest.approx(10.0) and splits >= 1
+    below = counted.withColumn("n", F.when(F.col("was_picked") == 1, cf.MIN_LEAF - 1).otherwise(F.col("n")))
+    assert cf._fit(below, n - 1, ("was_picked",), trees=2) == (0.0, 0)
+
+
+def test_fits_need_rows_for_two_leaves(spark):
+    offers = spark.createDataFrame(offer_rows("X", 50, 1), OFFER)
+    with pytest.raises(ValueError, match="two leaves"):
+        cf.counterfactual_effect(offers, [("RED", "X")], min_rows=39)

@@ -205,42 +205,154 @@ _PAIR = "character_chosen, card_name"
 _ASCENSION = "character_chosen, ascension_level"
 
 
-def _groups(keys: str) -> str:
+def _groups(keys: str, source: str = "model") -> str:
     return f"""
 groups AS (
   SELECT {keys}, count(*) AS n, count(*) FILTER (victory) AS wins,
     CASE WHEN count(*) < 200 THEN 'too few rows'
       WHEN count(*) FILTER (victory) IN (0, count(*)) THEN 'one outcome class'
       WHEN count(*) FILTER (was_picked) IN (0, count(*)) THEN 'Singular matrix' END AS error
-  FROM model GROUP BY {keys}
+  FROM {source} GROUP BY {keys}
 )
 """
 
 
-def _two_by_two(keys: str) -> str:
-    """With the flag alone the fit has a closed form in the four counts of flag and outcome."""
+def _p_value(x: str) -> str:
+    """The complementary error function, from its all-positive series."""
+    return f"""abs(1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * list_sum(list_transform(range(0, 160), lambda t:
+      {x} * coalesce(list_product(list_transform(range(1, t + 1), lambda v: 2 * {x} * {x} / (2 * v + 1))), 1)
+    )))"""
+
+
+def _flag_fits(keys: str, source: str = "model") -> str:
+    """With the flag alone the fit has a closed form in the four counts of flag and outcome.
+
+    An empty count means that the outcome is separated: nothing converges.
+    """
     half_width = "1.959963984540054 * se"
-    return f"""
-SELECT {keys}, n, error,
-  CASE WHEN error IS NULL THEN true END AS converged,
-  CASE WHEN error IS NULL THEN round(coef, 6) END AS was_picked_coef,
-  CASE WHEN error IS NULL THEN round(exp(coef), 6) END AS odds_ratio,
-  CASE WHEN error IS NULL THEN round(exp(coef - {half_width}), 6) END AS odds_ratio_ci_low,
-  CASE WHEN error IS NULL THEN round(exp(coef + {half_width}), 6) END AS odds_ratio_ci_high,
-  CASE WHEN error IS NULL THEN round(1 - (a * ln(a / (a + b)) + b * ln(b / (a + b))
-      + c * ln(c / (c + d)) + d * ln(d / (c + d)))
-    / (wins * ln(wins / n) + (n - wins) * ln(1 - wins / n)), 6) END AS pseudo_r2,
-  CASE WHEN error IS NULL THEN
-    round((greatest(a * d, b * c) + (a * b + c * d) / 2) / ((a + c) * (b + d)), 6) END AS auc
-FROM (
-  SELECT *, CASE WHEN error IS NULL THEN ln(a * d / (b * c)) END AS coef,
-    CASE WHEN error IS NULL THEN sqrt(1 / a + 1 / b + 1 / c + 1 / d) END AS se
-  FROM groups JOIN (
+    return f"""{_groups(keys, source)},
+counts AS (
+  SELECT *, error IS NULL AND least(a, b, c, d) > 0 AS fine FROM groups JOIN (
     SELECT {keys}, count(*) FILTER (was_picked AND victory) AS a,
       count(*) FILTER (was_picked AND NOT victory) AS b,
       count(*) FILTER (NOT was_picked AND victory) AS c,
       count(*) FILTER (NOT was_picked AND NOT victory) AS d
-    FROM model GROUP BY {keys}) USING ({keys}))
+    FROM {source} GROUP BY {keys}) USING ({keys})
+),
+flag_fits AS (
+  SELECT {keys}, n, error, CASE WHEN error IS NULL THEN fine END AS converged, coef AS was_picked_coef,
+    CASE WHEN fine THEN {_p_value("x")} END AS was_picked_pvalue, exp(coef) AS odds_ratio,
+    exp(coef - {half_width}) AS odds_ratio_ci_low, exp(coef + {half_width}) AS odds_ratio_ci_high,
+    CASE WHEN fine THEN 1 - (a * ln(a / (a + b)) + b * ln(b / (a + b))
+        + c * ln(c / (c + d)) + d * ln(d / (c + d)))
+      / (wins * ln(wins / n) + (n - wins) * ln(1 - wins / n)) END AS pseudo_r2,
+    CASE WHEN fine THEN
+      (greatest(a * d, b * c) + (a * b + c * d) / 2) / ((a + c) * (b + d)) END AS auc
+  FROM (
+    SELECT *, abs(coef) / (se * sqrt(2)) AS x FROM (
+      SELECT *, CASE WHEN fine THEN ln(a * d / (b * c)) END AS coef,
+        CASE WHEN fine THEN sqrt(1 / a + 1 / b + 1 / c + 1 / d) END AS se
+      FROM counts))
+)
+"""
+
+
+def _two_by_two(keys: str) -> str:
+    numbers = (
+        "was_picked_coef", "was_picked_pvalue", "odds_ratio", "odds_ratio_ci_low",
+        "odds_ratio_ci_high", "pseudo_r2", "auc",
+    )
+    rounded = ", ".join(f"round({name}, 6) AS {name}" for name in numbers)
+    return f"SELECT {keys}, n, error, converged, {rounded} FROM flag_fits"
+
+
+_SEPARATED = """
+separated AS (
+  SELECT character_chosen, card_name, was_picked,
+    CASE WHEN card_name LIKE 'Brand#2%' THEN was_picked
+      WHEN card_name LIKE 'Brand#1%' THEN was_picked OR victory ELSE victory END AS victory
+  FROM model
+),"""
+
+_HELPED = """
+helped AS (
+  SELECT character_chosen, card_name, was_picked,
+    victory OR (card_name LIKE 'Brand#2%' AND was_picked AND relic_count % 2 = 0) AS victory
+  FROM model
+),"""
+
+_HELPED_REPORT = """
+SELECT character_chosen, card_name, n, round(odds_ratio, 6) AS odds_ratio,
+  round(odds_ratio_ci_low, 6) AS odds_ratio_ci_low,
+  round(odds_ratio_ci_high, 6) AS odds_ratio_ci_high,
+  round(was_picked_pvalue, 6) AS was_picked_pvalue,
+  round(was_picked_qvalue, 6) AS was_picked_qvalue, round(pseudo_r2, 6) AS pseudo_r2,
+  round(auc, 6) AS auc
+FROM (
+  SELECT *, least(min(raw) OVER (PARTITION BY tested ORDER BY was_picked_pvalue DESC), 1.0) AS was_picked_qvalue
+  FROM (
+    SELECT *, was_picked_pvalue * count(*) OVER (PARTITION BY tested)
+        / count(*) OVER (PARTITION BY tested ORDER BY was_picked_pvalue) AS raw,
+      sum(n) OVER (PARTITION BY base_card, character_chosen) / sum(n) OVER (PARTITION BY base_card) AS share
+    FROM (SELECT *, coalesce(converged, false) AS tested,
+            regexp_replace(card_name, '\\+1$', '') AS base_card FROM flag_fits)))
+WHERE tested AND share >= 0.2 AND was_picked_qvalue < 0.05 AND (odds_ratio <= 0.9 OR odds_ratio >= 1.1)
+ORDER BY character_chosen, odds_ratio DESC"""
+
+
+def _content(name: str, source: str, columns: str) -> str:
+    total = " + ".join(f"coalesce(sum(CAST({c} AS BIGINT)), 0)" for c in columns.split())
+    return f"""
+SELECT '{name}' AS table_name, character_chosen, count(*) AS row_count, CAST({total} AS BIGINT) AS content,
+  CAST(sum(count(*)) OVER () AS BIGINT) AS reported
+FROM {source} GROUP BY character_chosen"""
+
+
+_STORED = " UNION ALL ".join(
+    [
+        _content(
+            "bronze_runs", "book",
+            "ascension_level victory floor_reached is_endless is_daily is_trial chose_seed score playtime gold "
+            "campfire_rested campfire_upgraded player_experience",
+        ),
+        _content(
+            "silver_picks", "picks",
+            "pick_num is_selected choice_floor floor_reached victory ascension_level current_hp max_hp relic_count "
+            "player_experience floors_gained",
+        ),
+        _content(
+            "silver_card_offers", "offers",
+            "pick_num was_picked was_skip floor floor_reached victory ascension_level current_hp max_hp relic_count "
+            "player_experience floors_gained",
+        ),
+        _content(
+            "gold_run_summary", f"({_SUMMARY})",
+            "victory floor_reached ascension_level score playtime gold player_experience relic_count num_elites_fought "
+            "num_events num_treasures num_shops campfire_rested campfire_upgraded num_potions_obtained pick_count "
+            "cards_picked skip_count",
+        ),
+        _content(
+            "gold_relic_offers", f"({_TIERS})",
+            "boss_relic_tier was_picked was_skip relic_count floor_reached victory ascension_level player_experience",
+        ),
+    ]
+)
+
+_FLAG_ONLY = """
+SELECT character_chosen, card_name, count(*) AS n,
+  CASE WHEN count(*) < 200 THEN 'too few rows' END AS error,
+  CASE WHEN count(*) >= 200 THEN CASE
+    WHEN least(count(*) FILTER (was_picked), count(*) FILTER (NOT was_picked)) < 20 THEN 0.0
+    ELSE round(avg(floors_gained) FILTER (was_picked) - avg(floors_gained) FILTER (NOT was_picked), 6) END
+  END AS was_picked_effect
+FROM offers JOIN (
+  SELECT character_chosen, card_name FROM (
+    SELECT *, row_number() OVER (PARTITION BY character_chosen ORDER BY floors_gained_lift DESC, card_name) AS by_floors,
+      row_number() OVER (PARTITION BY character_chosen ORDER BY win_rate_lift DESC, card_name) AS by_wins
+    FROM screen) WHERE by_floors = 1 OR by_wins = 1) USING (character_chosen, card_name)
+WHERE floors_gained IS NOT NULL AND floor IS NOT NULL AND current_hp IS NOT NULL AND relic_count IS NOT NULL
+  AND ascension_level IS NOT NULL AND max_hp > 0 AND was_picked IS NOT NULL
+GROUP BY character_chosen, card_name
 """
 
 
@@ -315,10 +427,7 @@ fits AS (
 results AS (
   SELECT {keys}, n, error, CASE WHEN error IS NULL THEN true END AS converged,
     b1 AS was_picked_coef,
-    -- the error function as its all-positive series
-    1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 120), lambda t:
-      x * coalesce(list_product(list_transform(range(1, t + 1), lambda v: 2 * x * x / (2 * v + 1))), 1)
-    )) AS was_picked_pvalue,
+    {_p_value("x")} AS was_picked_pvalue,
     exp(b1) AS odds_ratio, exp(b1 - 1.959963984540054 * se) AS odds_ratio_ci_low,
     exp(b1 + 1.959963984540054 * se) AS odds_ratio_ci_high,
     1 - log_lik / (wins * ln(wins / n) + (n - wins) * ln(1 - wins / n)) AS pseudo_r2, auc
@@ -374,12 +483,15 @@ SELECT play_id, pick_num, CAST(floor AS DOUBLE) AS floor, picked,
 FROM book JOIN lines USING (k)"""),
         "runs_standard": _sql(f"SELECT {_RUN_FIELDS} FROM standard"),
         "run_checks": _sql("""
-SELECT count(*) AS n_runs, count(DISTINCT play_id) AS n_keys, 0::BIGINT AS duplicate_keys,
-  0::BIGINT AS excess_rows, count(*) FILTER (victory) AS n_wins FROM book"""),
+SELECT CAST(sum(copies) AS BIGINT) AS n_runs, count(*) AS n_keys, count(*) FILTER (copies > 1) AS duplicate_keys,
+  CAST(sum(copies - 1) AS BIGINT) AS excess_rows, CAST(sum(wins) AS BIGINT) AS n_wins
+FROM (SELECT play_id, count(*) AS copies, count(*) FILTER (victory) AS wins
+      FROM (SELECT play_id, victory FROM book UNION ALL SELECT play_id, victory FROM book WHERE k % 5 = 0)
+      GROUP BY play_id)"""),
         "flag_value_counts": _sql("SELECT is_trial, count(*) AS n FROM book GROUP BY is_trial"),
         "floor_value_counts": _sql("""
 SELECT floor_reached, count(*) AS n FROM book GROUP BY floor_reached
-ORDER BY n DESC, floor_reached LIMIT 20"""),
+ORDER BY n DESC, floor_reached LIMIT 50"""),
         "card_value_counts": _sql("""
 SELECT card, count(*) AS n FROM picks WHERE card IS NOT NULL GROUP BY card
 ORDER BY n DESC, card LIMIT 20"""),
@@ -424,36 +536,35 @@ SELECT play_id, pick_num, card AS card_selected,
   player_experience, floors_gained
 FROM picks"""),
         "prepared_checks": _sql("""
-SELECT count(*) AS n_picks, 0::BIGINT AS neither_filled, 0::BIGINT AS both_filled,
+SELECT count(*) AS n_picks, count(*) FILTER (card IS NULL AND floor IS NULL AND is_selected) AS neither_filled,
+  count(*) FILTER (card IS NOT NULL AND NOT is_selected) AS both_filled,
   avg(CAST(NOT is_selected AS INTEGER)) AS skip_rate
-FROM picks"""),
+FROM (SELECT is_selected,
+        CASE WHEN k % 13 = 0 THEN 'Brand#0' WHEN NOT (k % 7 = 0 AND is_selected) THEN card END AS card,
+        CASE WHEN is_selected AND k % 7 <> 0 THEN choice_floor END AS floor FROM picks)"""),
         "pick_checks": _sql("""
-SELECT count(*) AS n_picks, 0::BIGINT AS selected_without_card, 0::BIGINT AS skipped_with_card,
+SELECT count(*) AS n_picks, count(*) FILTER (is_selected AND card IS NULL) AS selected_without_card,
+  count(*) FILTER (NOT is_selected AND card IS NOT NULL) AS skipped_with_card,
   count(*) FILTER (floors_gained < 0) AS negative_floors_gained,
   avg(CAST(NOT is_selected AS INTEGER)) AS skip_rate
-FROM picks"""),
+FROM (SELECT is_selected,
+        CASE WHEN k % 7 <> 0 THEN card WHEN NOT is_selected THEN 'Brand#0' END AS card,
+        CASE WHEN k % 11 = 0 THEN -floors_gained - 1 ELSE floors_gained END AS floors_gained FROM picks)"""),
         "offer_checks": _sql("""
 SELECT CAST(sum(options) AS BIGINT) AS n_offers, count(*) AS n_occasions,
   count(*) FILTER (was_skip) AS n_skips, count(*) FILTER (was_skip AND picked > 0) AS skips_with_pick,
   count(*) FILTER (NOT was_skip AND picked <> 1) AS occasions_without_one_pick
-FROM (SELECT play_id, pick_num, count(*) AS options, count(*) FILTER (was_picked) AS picked,
-        bool_or(was_skip) AS was_skip FROM offers GROUP BY play_id, pick_num)"""),
+FROM (SELECT play_id, pick_num, count(*) AS options, bool_or(was_skip) AS was_skip, count(*) FILTER (
+        CASE WHEN CAST(play_id AS BIGINT) % 7 = 0 THEN true WHEN CAST(play_id AS BIGINT) % 11 = 0 THEN false
+          ELSE was_picked END) AS picked
+      FROM offers GROUP BY play_id, pick_num)"""),
         "offers": _sql(_OFFERS),
-        "offers_by_union": _sql(_OFFERS),
         "table_round_trip": _sql(_OFFERS),
         "run_summary": _sql(_SUMMARY),
         "run_summary_joined": _sql(_SUMMARY),
         "tier_offers": _sql(_TIERS, _TIER_CTES),
         "tier_offers_joined": _sql(_TIERS, _TIER_CTES),
-        "stored_tables": _sql(
-            """
-SELECT 'bronze_runs' AS table_name, count(*) AS row_count FROM book
-UNION ALL SELECT 'silver_picks', count(*) FROM picks
-UNION ALL SELECT 'silver_card_offers', count(*) FROM offers
-UNION ALL SELECT 'gold_run_summary', count(DISTINCT play_id) FROM picks
-UNION ALL SELECT 'gold_relic_offers', count(*) FROM tier_offers""",
-            _TIER_CTES,
-        ),
+        "stored_tables": _sql(_STORED, _TIER_CTES),
         "lift_table": _sql(lift),
         "csv_round_trip": _sql(lift),
         "lift_screen": _sql(f"SELECT {_LIFT_FIELDS}, n_not_picked FROM screen"),
@@ -522,23 +633,12 @@ FROM (
       - sum(1 - won) OVER (PARTITION BY character_chosen, card_name, score) AS below
   FROM (SELECT *, floor * 100 + relic_count AS score, CAST(victory AS INTEGER) AS won FROM offers))
 GROUP BY character_chosen, card_name"""),
-        "logit_2x2": _sql(_two_by_two(_PAIR), _groups(_PAIR)),
-        "logit_2x2_spread": _sql(_two_by_two(_PAIR), _groups(_PAIR)),
-        "logit_2x2_by_ascension": _sql(_two_by_two(_ASCENSION), _groups(_ASCENSION)),
+        "logit_2x2": _sql(_two_by_two(_PAIR), _flag_fits(_PAIR)),
+        "logit_2x2_separated": _sql(_two_by_two(_PAIR), _SEPARATED + _flag_fits(_PAIR, "separated")),
+        "logit_2x2_by_ascension": _sql(_two_by_two(_ASCENSION), _flag_fits(_ASCENSION)),
+        "counterfactual_flag_only": _sql(_FLAG_ONLY),
         "effect_models": _sql(_EFFECT_MODELS, newton),
-        "ordered_report": _sql(
-            """
-SELECT character_chosen, card_name, n, round(odds_ratio, 6) AS odds_ratio,
-  round(odds_ratio_ci_low, 6) AS odds_ratio_ci_low,
-  round(odds_ratio_ci_high, 6) AS odds_ratio_ci_high,
-  round(was_picked_pvalue, 6) AS was_picked_pvalue,
-  round(was_picked_qvalue, 6) AS was_picked_qvalue, round(pseudo_r2, 6) AS pseudo_r2,
-  round(auc, 6) AS auc
-FROM pooled
-WHERE error IS NULL AND native_pool AND (odds_ratio <= 0.95 OR odds_ratio >= 1.05)
-ORDER BY character_chosen, odds_ratio DESC""",
-            newton,
-        ),
+        "ordered_report": _sql(_HELPED_REPORT, _HELPED + _flag_fits(_PAIR, "helped")),
         "fit_counts": _sql(
             """
 SELECT count(*) AS n_groups, count(*) FILTER (error IS NULL) AS n_fitted,
@@ -550,8 +650,8 @@ FROM pooled""",
             "SELECT error, count(*) AS n FROM groups GROUP BY error", _groups(_PAIR)
         ),
         "convergence_breakdown": _sql(
-            "SELECT true AS converged, count(*) AS n FROM groups WHERE error IS NULL",
-            _groups(_PAIR),
+            "SELECT converged, count(*) AS n FROM flag_fits WHERE error IS NULL GROUP BY converged",
+            _SEPARATED + _flag_fits(_PAIR, "separated"),
         ),
         "lift_against_effect": _sql(
             """

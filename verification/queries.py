@@ -1,6 +1,7 @@
 """Queries over the test tables, one or more per operator."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ from offerlens.operators.model_input import (
 )
 from offerlens.operators.summary import run_summary
 from offerlens.operators.tiers import tier_offers
-from offerlens.plans.analysis import effect_models
-from offerlens.plans.build import build_tables
+from offerlens.plans.analysis import effect_models, screened_pairs
+from offerlens.plans.build import build_tables, load_table
 from offerlens.sources import records
 from offerlens.sources.order_runs import order_runs
 from offerlens.sources.scratch import materialise, scratch_dir
@@ -109,11 +110,15 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = build_tables(spark, _landing(spark, sf_dir), scratch_dir(spark), multi_line=False)
-    return spark.createDataFrame(
+    """Row count of each stored table as it was reported, and as it is read back, per character."""
+    warehouse = scratch_dir(spark)
+    built = build_tables(spark, _landing(spark, sf_dir), warehouse, multi_line=False)
+    reported = spark.createDataFrame(
         [(name, info.row_count) for name, info in built.items()],
-        "table_name string, row_count bigint",
+        "table_name string, reported bigint",
     )
+    parts = [_key_hashes(load_table(spark, warehouse, name), name) for name in built]
+    return reduce(DataFrame.unionByName, parts).join(reported, "table_name")
 
 
 def table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,13 +211,24 @@ def _rounded_effects(results: DataFrame) -> DataFrame:
 
 def logit_2x2(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     rows = model_input(_offers(spark, sf_dir))
-    fits = fit_effects(rows, features=("was_picked",), **options)
-    return _rounded_effects(fits.drop("was_picked_pvalue"))
+    return _rounded_effects(fit_effects(rows, features=("was_picked",), **options))
 
 
-def logit_2x2_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every group on the way meant for groups that outgrow a task."""
-    return logit_2x2(spark, sf_dir, max_task_cells=0)
+def _separated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits of an outcome that the flag decides for some options, wholly or on one side."""
+    wholly, partly = F.col("card_name").startswith("Brand#2"), F.col("card_name").startswith("Brand#1")
+    won = F.when(wholly, F.col("was_picked")).when(partly, F.col("was_picked") | F.col("victory"))
+    rows = model_input(_offers(spark, sf_dir))
+    rows = rows.withColumn("victory", won.otherwise(F.col("victory")))
+    return materialise(fit_effects(rows, features=("was_picked",)))
+
+
+def logit_2x2_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What does not converge has no effect to compare, only its status."""
+    fits = _separated(spark, sf_dir)
+    doubles = [name for name, kind in fits.dtypes if kind == "double"]
+    shown = {name: F.when(F.col("converged"), F.col(name)) for name in doubles}
+    return _rounded_effects(fits.withColumns(shown))
 
 
 def logit_2x2_by_ascension(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,9 +241,12 @@ def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The test data has no real effects, so the report is asked for every size that converged."""
-    every = report.significant(_effects(spark, sf_dir), max_q=2.0, small_effect=(0.95, 1.05))
-    return _rounded_effects(report.ordered_report(every))
+    """The report over fits of an outcome on which some options have real effects."""
+    rows = model_input(_offers(spark, sf_dir))
+    helped = F.col("card_name").startswith("Brand#2") & F.col("was_picked") & (F.col("relic_count") % 2 == 0)
+    rows = rows.withColumn("victory", F.col("victory") | helped)
+    results = report.native_pool(fdr_bh(fit_effects(rows, features=("was_picked",))), NATIVE_SHARE)
+    return _rounded_effects(report.ordered_report(report.significant(results)))
 
 
 def lift_against_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,6 +263,56 @@ def lift_against_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def counterfactual_flag_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the flag as the only feature the trees give the difference of two means."""
+    stored = materialise(_offers(spark, sf_dir))
+    pairs = screened_pairs(stored, MIN_SIDE)
+    effects = counterfactual_effect(stored, pairs, features=("was_picked",), trees=2)
+    return _rounded(effects.drop("was_picked_importance"), "was_picked_effect")
+
+
+def _damaged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth run twice."""
+    all_runs = order_runs(spark, sf_dir)
+    return all_runs.unionByName(all_runs.filter(F.col("play_id").cast("bigint") % 5 == 0))
+
+
+def _damaged_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards named on some skips, none named on some choices, and floors beyond the last one."""
+    number = F.col("play_id").cast("bigint")
+    card = F.when(number % 7 == 0, F.when(~F.col("is_selected"), "Brand#0")).otherwise(F.col("card"))
+    gained = F.when(number % 11 == 0, -F.col("floors_gained") - 1).otherwise(F.col("floors_gained"))
+    return _picks(spark, sf_dir).withColumns({"card": card, "floors_gained": gained})
+
+
+def _damaged_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("play_id").cast("bigint")
+    prepared = picks.prepared_picks(_picks(spark, sf_dir))
+    empty = (number % 7 == 0) & ~F.col("card_not_selected")
+    return prepared.withColumns(
+        {
+            "card_selected": F.when(number % 13 == 0, "Brand#0").when(~empty, F.col("card_selected")),
+            "card_selected_floor": F.when(~empty, F.col("card_selected_floor")),
+        }
+    )
+
+
+def _damaged_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All options of some occasions marked as picked, or as passed over."""
+    number = F.col("play_id").cast("bigint")
+    marked = F.when(number % 7 == 0, True).when(number % 11 == 0, False).otherwise(F.col("was_picked"))
+    return _offers(spark, sf_dir).withColumn("was_picked", marked)
+
+
+def _key_hashes(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of a stored table per character, and the sums of its numbers as a view of its content."""
+    sums = [F.sum(F.col(c).cast("bigint")) for c, kind in rows.dtypes if kind in ("int", "bigint", "boolean")]
+    total = reduce(Column.__add__, [F.coalesce(one, F.lit(0)) for one in sums])
+    return rows.groupBy("character_chosen").agg(F.count("*").alias("row_count"), total.alias("content")).select(
+        F.lit(name).alias("table_name"), "*"
+    )
+
+
 def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = materialise(_offers(spark, sf_dir))
     screened = screen.lift_screen(stored, MIN_SIDE)
@@ -257,9 +326,9 @@ QUERIES: dict[str, Query] = {
     "flatten_structs": flatten_structs,
     "json_round_trip": json_round_trip,
     "runs_standard": lambda s, d: runs.standard_runs(order_runs(s, d)).select(*RUN_FIELDS),
-    "run_checks": lambda s, d: checks.check_runs(order_runs(s, d)),
+    "run_checks": lambda s, d: checks.check_runs(_damaged_runs(s, d)),
     "flag_value_counts": lambda s, d: ranking.value_counts(order_runs(s, d), "is_trial"),
-    "floor_value_counts": lambda s, d: ranking.value_counts(order_runs(s, d), "floor_reached", 20),
+    "floor_value_counts": lambda s, d: ranking.value_counts(order_runs(s, d), "floor_reached", 50),
     "card_value_counts": lambda s, d: ranking.value_counts(
         _picks(s, d).filter(F.col("card").isNotNull()), "card", 20
     ),
@@ -282,11 +351,10 @@ QUERIES: dict[str, Query] = {
     "prepared_picks": lambda s, d: picks.prepared_picks(_picks(s, d)).withColumn(
         "not_picked_options", _joined("not_picked_options")
     ),
-    "prepared_checks": lambda s, d: checks.check_prepared(picks.prepared_picks(_picks(s, d))),
-    "pick_checks": lambda s, d: checks.check_picks(_picks(s, d)),
-    "offer_checks": lambda s, d: checks.check_offers(_offers(s, d)),
+    "prepared_checks": lambda s, d: checks.check_prepared(_damaged_prepared(s, d)),
+    "pick_checks": lambda s, d: checks.check_picks(_damaged_picks(s, d)),
+    "offer_checks": lambda s, d: checks.check_offers(_damaged_offers(s, d)),
     "offers": _offers,
-    "offers_by_union": lambda s, d: offers.offers_by_union(_picks(s, d)),
     "table_round_trip": table_round_trip,
     "run_summary": lambda s, d: run_summary(order_runs(s, d)),
     "run_summary_joined": lambda s, d: run_summary(order_runs(s, d), _picks(s, d)),
@@ -313,13 +381,14 @@ QUERIES: dict[str, Query] = {
     "top_bottom": lambda s, d: report.top_bottom(_significant(s, d)),
     "auc_by_group": auc,
     "logit_2x2": logit_2x2,
-    "logit_2x2_spread": logit_2x2_spread,
+    "logit_2x2_separated": logit_2x2_separated,
     "logit_2x2_by_ascension": logit_2x2_by_ascension,
     "effect_models": lambda s, d: _rounded_effects(_effects(s, d)),
     "ordered_report": ordered_report,
     "fit_counts": lambda s, d: report.fit_counts(_effects(s, d)),
     "error_breakdown": lambda s, d: report.error_breakdown(_effects(s, d)),
-    "convergence_breakdown": lambda s, d: report.convergence_breakdown(_effects(s, d)),
+    "convergence_breakdown": lambda s, d: report.convergence_breakdown(_separated(s, d)),
     "lift_against_effect": lift_against_effect,
+    "counterfactual_flag_only": counterfactual_flag_only,
     "counterfactual_effect": counterfactual,
 }
