@@ -6,6 +6,8 @@ import pytest
 from compare import connect, difference, duckdb_rows, spark_rows
 
 import __spark_entry__ as entry
+from verification.oracle import statements
+from verification.queries import QUERIES
 
 SMALL, LARGER = (f"/root/testdata/sf{sf}" for sf in ("0.001", "0.01"))
 
@@ -19,7 +21,7 @@ NEEDS_GROUPS = {
 pytestmark = pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the test tables")
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(statements()))
 def test_query_equals_its_statement(spark, name):
     sf_dir = LARGER if name in NEEDS_GROUPS else SMALL
     columns, rows = spark_rows(entry.queries()[name](spark, sf_dir))
@@ -34,4 +36,4 @@ def test_entry_gives_rows(spark):
 
 
 def test_every_query_but_the_named_ones_has_a_statement():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"counterfactual_effect"}
+    assert set(QUERIES) - set(statements()) == {"counterfactual_effect"}
