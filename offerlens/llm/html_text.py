@@ -60,7 +60,7 @@ class Rules:
     """Limits in characters and shares of characters or words."""
 
     short: int = 70
-    long: int = 140
+    long: int = 100
     links: float = 0.34
     stop_words: float = 0.15
 
