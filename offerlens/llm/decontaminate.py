@@ -100,8 +100,9 @@ def _laid_out(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _item_windows(benchmark: DataFrame) -> DataFrame:
-    rows = benchmark.select("item_id", "text").distinct()
-    placed = _laid_out(rows, "item_id")
+    """`item` names an item even where it has no id."""
+    rows = benchmark.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").distinct()
+    placed = _laid_out(rows, "item", "item_id")
     plain = F.size(F.filter("kinds", lambda kind: ~kind.isin(NUMBER, UNIT, NAME)))
     return placed.filter(plain >= PLAIN_WORDS)
 
@@ -109,7 +110,7 @@ def _item_windows(benchmark: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(key_1, key_2, item_id) of the texts that hold an item."""
     items = materialise(_item_windows(benchmark))
-    sizes = items.groupBy("item_id").agg(F.countDistinct("window").alias("size"))
+    sizes = items.groupBy("item").agg(F.countDistinct("window").alias("size"))
     wanted = items.select("window").distinct()
     if items.count() <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
@@ -123,13 +124,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ).alias("window"),
     )
     found = materialise(windows.join(wanted, "window", "left_semi").distinct())
-    pairs = found.join(items.select("item_id", "window").distinct(), "window")
+    pairs = found.join(items.select("item", "window").distinct(), "window")
     enough = 100 * F.col("n") >= PERCENT * F.col("size")
     candidates = materialise(
-        pairs.groupBy("key_1", "key_2", "item_id").agg(F.count("*").alias("n")).join(sizes, "item_id").filter(enough)
-        .select("key_1", "key_2", "item_id", "size")
+        pairs.groupBy("key_1", "key_2", "item").agg(F.count("*").alias("n")).join(sizes, "item").filter(enough)
+        .select("key_1", "key_2", "item", "size")
     )
-    return _consistent(docs, items, candidates).filter(enough).select("key_1", "key_2", "item_id")
+    held = _consistent(docs, items, candidates).filter(enough)
+    return held.join(items.select("item", "item_id").distinct(), "item").select("key_1", "key_2", "item_id")
 
 
 def _consistent(docs: DataFrame, items: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -139,9 +141,9 @@ def _consistent(docs: DataFrame, items: DataFrame, candidates: DataFrame) -> Dat
     own = _laid_out(texts, "key_1", "key_2").select(
         "key_1", "key_2", "start", "window", F.col("values").alias("own_values")
     ).distinct()  # copies of a text give the same windows
-    theirs = items.select("item_id", F.col("start").alias("item_start"), "window", "values", "kinds")
-    aligned = own.join(theirs, "window").join(candidates, ["key_1", "key_2", "item_id"])
-    run = ["key_1", "key_2", "item_id", "size", "run"]
+    theirs = items.select("item", F.col("start").alias("item_start"), "window", "values", "kinds")
+    aligned = own.join(theirs, "window").join(candidates, ["key_1", "key_2", "item"])
+    run = ["key_1", "key_2", "item", "size", "run"]
     aligned = materialise(aligned.withColumn("run", F.col("start") - F.col("item_start")))
     slots = aligned.select(
         *run, F.explode(F.arrays_zip("kinds", "values", "own_values")).alias("slot")
@@ -150,7 +152,7 @@ def _consistent(docs: DataFrame, items: DataFrame, candidates: DataFrame) -> Dat
     broken = maps.filter("forms > 1").select(*run).distinct()
     return (
         aligned.join(broken, run, "left_anti")
-        .groupBy("key_1", "key_2", "item_id", "size")
+        .groupBy("key_1", "key_2", "item", "size")
         .agg(F.countDistinct("window").alias("n"))
     )
 
