@@ -18,7 +18,7 @@ from offerlens.operators.model_input import (
     model_input,
 )
 from offerlens.schemas import OUTCOME_EFFECT_FIELDS
-from offerlens.sources.scratch import materialise
+from offerlens.sources.scratch import materialise, step_tables
 
 # Size of the boosted model. The bins are the finest split grid it may use.
 TREES = 200
@@ -75,7 +75,16 @@ def counterfactual_effect(
     # one folder per pair, so that a fit reads its own cells only; the rebalance gives a small
     # pair one file and splits a large one
     counted = cells(rows, features, outcome).hint("rebalance", "pair")
-    counted = materialise(counted, partition_by="pair")
+    with step_tables(spark):
+        results = _effects(materialise(counted, partition_by="pair"), listed, features, min_rows, trees, at_once)
+    # a pair without rows is no group, so it gives no result
+    return spark.createDataFrame([r for r in results if r[len(KEYS)] > 0], _SCHEMA)
+
+
+def _effects(
+    counted: DataFrame, listed: list[tuple], features: tuple[str, ...], min_rows: int, trees: int, at_once: int
+) -> list[tuple]:
+    """One fit per pair, a few at a time."""
 
     def effect(number: int) -> tuple:
         own = counted.filter(F.col("pair") == number).drop("pair")
@@ -85,9 +94,7 @@ def counterfactual_effect(
         return (*listed[number], n, None, *_fit(own, n, features, trees))
 
     with ThreadPoolExecutor(at_once) as pool:
-        results = list(pool.map(inheritable_thread_target(spark)(effect), range(len(listed))))
-    # a pair without rows is no group, so it gives no result
-    return spark.createDataFrame([r for r in results if r[len(KEYS)] > 0], _SCHEMA)
+        return list(pool.map(inheritable_thread_target(counted.sparkSession)(effect), range(len(listed))))
 
 
 def _fit(counted: DataFrame, n: int, features: tuple[str, ...], trees: int) -> tuple[float, int]:

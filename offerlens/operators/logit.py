@@ -19,7 +19,7 @@ from offerlens.functions import newton
 from offerlens.operators.auc import auc_by_group
 from offerlens.operators.model_input import FEATURES, FLAG, KEYS, check_features
 from offerlens.schemas import EFFECT_FIELDS
-from offerlens.sources.scratch import materialise
+from offerlens.sources.scratch import materialise, step_tables
 
 # Fixed value: groups with fewer rows are reported as too small instead of fitted.
 MIN_ROWS = 200
@@ -63,8 +63,9 @@ def fit_effects(
     check_features(features)
     if set(by) & set(features):
         raise ValueError(f"constant within a group: {sorted(set(by) & set(features))}")
-    counted = materialise(cells(rows, by, features, outcome))
-    return materialise(_fit(counted, by, features, min_rows))
+    with step_tables(rows.sparkSession):
+        counted = materialise(cells(rows, by, features, outcome))
+        return materialise(_fit(counted, by, features, min_rows), keep=True)
 
 
 def _known_error(n: float, wins: float, min_rows: int) -> str | None:

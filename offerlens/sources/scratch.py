@@ -2,6 +2,9 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +30,32 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/offerlens/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write the rows once and read them back: survives lost executors, and is not recomputed."""
+_steps: ContextVar[list[str] | None] = ContextVar("step tables", default=None)
+
+
+@contextmanager
+def step_tables(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables that are materialised inside, but for those that are kept."""
+    paths: list[str] = []
+    token = _steps.set(paths)
+    try:
+        yield
+    finally:
+        _steps.reset(token)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialise(df: DataFrame, partition_by: str | None = None, keep: bool = False) -> DataFrame:
+    """Write the rows once and read them back: survives lost executors, and is not recomputed.
+
+    Inside `step_tables` the copy lasts as long as that block, unless it is kept.
+    """
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
+    steps = _steps.get()
+    if steps is not None and not keep:
+        steps.append(path)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -350,6 +350,14 @@ def test_flag_alone_gives_the_log_odds_ratio_of_the_table(fitted, spark):
     assert got.was_picked_coef == pytest.approx(math.log(a * d / b / c), abs=1e-9)
 
 
+def test_a_fit_leaves_only_its_result(fitted, spark, monkeypatch, tmp_path):
+    offers, _ = fitted
+    monkeypatch.setattr("offerlens.sources.scratch._base", lambda session: str(tmp_path))
+    got = fit_effects(model_input(offers).filter("card_name = 'other'"), features=("was_picked",))
+    assert len(list((tmp_path / "offerlens").iterdir())) == 1
+    assert got.count() == 1
+
+
 def test_effects_by_another_group_key(fitted):
     offers, _ = fitted
     by = ("character_chosen", "ascension_level")
