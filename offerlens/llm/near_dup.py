@@ -232,5 +232,8 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
     """The documents, with all their columns, that stand for their component."""
-    dropped = near_duplicates(docs, sketch).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    found = near_duplicates(docs, sketch).filter(~F.col("kept"))
+    dropped = materialise(found.select(F.col("doc_id").alias("_dropped")).distinct())
+    # only a known number of ids is broadcast, so that texts stay where they are
+    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
+    return docs.join(side, docs["doc_id"] == side["_dropped"], "left_anti")
