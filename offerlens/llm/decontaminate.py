@@ -130,15 +130,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         pairs.groupBy("key_1", "key_2", "item").agg(F.count("*").alias("n")).join(sizes, "item").filter(enough)
         .select("key_1", "key_2", "item", "size")
     )
-    held = _consistent(docs, items, candidates).filter(enough)
+    held = _consistent(docs, items, wanted, candidates).filter(enough)
     return held.join(items.select("item", "item_id").distinct(), "item").select("key_1", "key_2", "item_id")
 
 
-def _consistent(docs: DataFrame, items: DataFrame, candidates: DataFrame) -> DataFrame:
+def _consistent(
+    docs: DataFrame, items: DataFrame, wanted: DataFrame, candidates: DataFrame
+) -> DataFrame:
     """Candidates with the number of distinct item windows in alignments whose slots agree."""
     named = docs.select(*_keys(F.col("text")), "text")
     texts = named.join(candidates.select("key_1", "key_2").distinct(), ["key_1", "key_2"], "left_semi")
-    own = _laid_out(texts, "key_1", "key_2").select(
+    laid_out = _laid_out(texts, "key_1", "key_2").join(wanted, "window", "left_semi")
+    own = laid_out.select(
         "key_1", "key_2", "start", "window", F.col("values").alias("own_values")
     ).distinct()  # copies of a text give the same windows
     theirs = items.select("item", F.col("start").alias("item_start"), "window", "values", "kinds")
