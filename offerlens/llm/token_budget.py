@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from offerlens.llm.text import Memo
 
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 BUDGET = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("fit_chars", T.LongType())])
 
 
@@ -46,64 +46,84 @@ class PrefixCounter:
     def __init__(self, merges: tuple[tuple[str, str], ...], pattern: str, end: str, special: tuple[str, ...]):
         self.ranks = {pair: rank for rank, pair in enumerate(merges)}
         self.letters = byte_letters()
-        self.vocabulary = {*self.letters, *(letter + end for letter in self.letters), *(a + b for a, b in merges)}
-        self.longest = max(map(len, self.vocabulary))
+        # the two parts of each merged token, and the rank of the merge
+        self.parts = {a + b: (a, b, rank) for rank, (a, b) in enumerate(merges)}
+        whole = {*self.letters, *(letter + end for letter in self.letters), *self.parts}
+        self.open = {token for token in whole if not token.endswith(end)}
+        self.closing = {token[: -len(end)]: token for token in whole if token.endswith(end)}
+        self.longest = max(map(len, whole))
         self.end = end
         self.pattern = regex.compile(pattern)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.fit = Memo(self._fit, 4 * REMEMBERED)
-        self.counts = Memo(self._counts, REMEMBERED)
+        self.fit = Memo(self._fit, REMEMBERED)
+        self.words = Memo(self._word, REMEMBERED)
+        self.totals = Memo(self._total, 2 * REMEMBERED)
 
     def _fit(self, pair: tuple[str, str]) -> bool:
-        """Whether the merges keep these two tokens apart and whole."""
-        return self.merged([*pair[0]], pair[1]) == list(pair)
-
-    def merged(self, parts: list[str], closing: str = "") -> list[str]:
-        """Merges by rank of the letters and of the letters of a closing token."""
-        if closing.endswith(self.end):
-            body = closing[: -len(self.end)]
-            parts = [*parts, *body[:-1], body[-1] + self.end]
-        else:
-            parts = [*parts, *closing]
-        ranks = self.ranks
-        while len(parts) > 1:
-            rank, i = min((ranks.get(pair, len(ranks)), i) for i, pair in enumerate(zip(parts, parts[1:])))
-            if rank == len(ranks):
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        """Whether the merges keep these two tokens apart.
+
+        Goes back in time from the finished tokens: the one merged last is taken apart, and what
+        then stands at the border must not have been joined by an earlier merge. Of two equal
+        merges the left one is first.
+        """
+        left, right = pair
+        parts, ranks, limit = self.parts, self.ranks, len(self.ranks)
+        while True:
+            if ranks.get((left, right), limit) < limit:
+                return False
+            a, b = parts.get(left), parts.get(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and a[2] > b[2]:
+                left, limit = a[1], a[2]
+            else:
+                right, limit = b[0], b[2] + 1
 
-    def word(self, letters: str) -> list[int]:
-        """Tokens of each prefix of a word as if the word ended there; 0 for the empty prefix."""
-        vocabulary, fit, end = self.vocabulary, self.fit, self.end
-        last, opened, closed = [""], [0], [0]
+    def _word(self, letters: str) -> tuple[array, bytes, int]:
+        """For each prefix of a word its tokens and the length of its last one; the tokens of the word.
+
+        The prefixes are open: the word goes on after them. `closed` gives their tokens as ends.
+        """
+        vocabulary, fit, longest = self.open, self.fit, self.longest
+        last, counts, sizes = [""], [0], [0]
         for i in range(1, len(letters) + 1):
-            open_at = closed_at = 0
-            for j in range(max(0, i - self.longest), i):
+            for j in range(max(0, i - longest), i):
                 token = letters[j:i]
-                if not open_at and token in vocabulary and (not j or fit[last[j], token]):
+                if token in vocabulary and (not j or fit[last[j], token]):
                     last.append(token)
-                    open_at = opened[j] + 1
-                if not closed_at and token + end in vocabulary and (not j or fit[last[j], token + end]):
-                    closed_at = opened[j] + 1
-                if open_at and closed_at:
+                    counts.append(counts[j] + 1)
+                    sizes.append(i - j)
                     break
-            opened.append(open_at)
-            closed.append(closed_at)
-        return closed
+        table = array("i", counts), bytes(sizes)
+        return *table, self._closed(letters, *table, len(letters))
+
+    def _closed(self, letters: str, counts: array, sizes: bytes, i: int) -> int:
+        """Tokens of the first i letters as if the word ended there."""
+        for j in range(max(0, i - self.longest), i):
+            token = self.closing.get(letters[j:i])
+            if token and (not j or self.fit[letters[j - sizes[j] : j], token]):
+                return counts[j] + 1
+        return 0
+
+    def closed(self, letters: str) -> list[int]:
+        """Tokens of each prefix of a word as if the word ended there."""
+        counts, sizes, _ = self.words[letters]
+        return [self._closed(letters, counts, sizes, i) for i in range(len(letters) + 1)]
 
     def _letters(self, word: str) -> str:
+        # printable ASCII stands for itself
+        if word.isascii() and word.isprintable():
+            return word
         return "".join(map(self.letters.__getitem__, word.encode()))
 
     def _total(self, piece: str) -> int:
         """Tokens of a piece as a whole text, special strings included."""
-        plain, found = piece, 0
         if self.special and (found := len(self.special.findall(piece))):
             return found + sum(self._total(part) for part in self.special.split(piece))
-        words = self.pattern.findall(_lower(unicodedata.normalize("NFC", plain)))
-        return sum(self.word(self._letters(word))[-1] for word in words)
+        normal = piece if piece.isascii() else unicodedata.normalize("NFC", piece)
+        return sum([self.words[self._letters(word)][2] for word in self.pattern.findall(_lower(normal))])
 
-    def _counts(self, piece: str) -> array:
+    def table(self, piece: str) -> array:
         """Tokens of each prefix, by code points, of a piece without spaces and line ends."""
         lowered = _lower(piece)
         if not piece.isascii() and (
@@ -123,7 +143,7 @@ class PrefixCounter:
                 for i in range(at + 1, match.end() + 1):
                     counts[i] = before + self._total(lowered[at:i])
             else:
-                closed, byte = self.word(self._letters(match[0])), 0
+                closed, byte = self.closed(self._letters(match[0])), 0
                 for i, letter in enumerate(match[0], at + 1):
                     byte += len(letter.encode())
                     counts[i] = before + closed[byte]
@@ -134,19 +154,18 @@ class PrefixCounter:
         return counts
 
     def count(self, text: str) -> int:
-        counts = self.counts
-        return sum([counts[piece][-1] for piece in text.replace("\n", " ").split(" ")])
+        return sum(map(self.totals.__getitem__, text.replace("\n", " ").split(" ")))
 
     def fit_chars(self, text: str, budget: int) -> int:
         """Code points of the longest prefix of at most so many tokens."""
         best = at = before = 0
         for piece in text.replace("\n", " ").split(" "):
-            counts = self.counts[piece]
-            if before + counts[-1] <= budget:
+            total = self.totals[piece]
+            if before + total <= budget:
                 best = at + len(piece)
             else:
-                best = max([best] + [at + i for i, n in enumerate(counts) if before + n <= budget])
-            before += counts[-1]
+                best = max([best] + [at + i for i, n in enumerate(self.table(piece)) if before + n <= budget])
+            before += total
             at += len(piece) + 1
             if before > budget:
                 break
@@ -157,7 +176,7 @@ class PrefixCounter:
         """Tokens of every prefix of the text, the empty one first."""
         found, before = array("i", [0]), 0
         for k, piece in enumerate(text.replace("\n", " ").split(" ")):
-            counts = self.counts[piece]
+            counts = self.table(piece)
             found.extend([before + n for n in (counts if k else counts[1:])])
             before += counts[-1]
         return found
