@@ -20,16 +20,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from offerlens.llm.perfect_hash import PerfectHash
-from offerlens.llm.text import Memo
+from offerlens.llm.text import Memo, slices
 
 REMEMBERED = 150_000
-TOKENISED = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+CHUNK_BYTES = 2 << 20
 
 _UNEVEN = re.compile(r"\A\s|\s\s|[^\S \n]|\s\Z")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -47,21 +47,21 @@ class Encoder:
         self.whole = PerfectHash(ranks)
         self.pattern = regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.plain = Memo(self._packed, REMEMBERED)
+        # a word is merged once, whatever marks it comes with
+        self.pre_tokens = Memo(self._looked_up, REMEMBERED)
+        self.plain = Memo(self._packed, REMEMBERED // 4)
         self.spaced = Memo(lambda piece: self._packed(" " + piece), REMEMBERED)
         self.line_end = self._packed("\n")
 
-    def _packed(self, piece: str) -> bytes:
-        ids = []
-        for match in self.pattern.findall(piece):
-            token = match.encode()
-            rank = self.whole.get(token)
-            if rank is None:
-                ids += self.merged(token)
-            else:
-                ids.append(rank)
+    def _looked_up(self, pre_token: str) -> bytes:
+        token = pre_token.encode()
+        rank = self.whole.get(token)
+        ids = self.merged(token) if rank is None else [rank]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _packed(self, piece: str) -> bytes:
+        return b"".join(map(self.pre_tokens.__getitem__, self.pattern.findall(piece)))
+
     def merged(self, token: bytes) -> list[int]:
         """Join the adjacent parts of lowest rank, the leftmost first, until none can be joined."""
         ranks, size = self.ranks, len(token)
@@ -118,31 +118,39 @@ def _encoder(ranks: tuple[bytes, ...], pattern: str) -> Encoder:
     return Encoder({token: rank for rank, token in enumerate(ranks)}, pattern)
 
 
-def tokenised(text: Column, path: str, pattern: str) -> Column:
-    """The packed ids of each text and the bytes that they decode to, as one struct.
+def byte_pairs(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids (packed), decoded (the bytes that they stand for).
 
     The vocabulary file is read by the driver and goes out with the function, so only the driver
-    needs it; its size does not depend on the data.
+    needs it; its size does not depend on the data. Results leave a task in batches of bounded
+    size, as ids take more room than their text.
     """
     ranks = read_ranks(path)
     if sorted(ranks.values()) != list(range(len(ranks))):
         raise ValueError("ranks must be the numbers from 0 on")
     tokens = tuple(sorted(ranks, key=ranks.__getitem__))
 
-    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokens, pattern)
         for batch in batches:
-            ids = [encoder.encode(text) if text else b"" for text in batch.to_pylist()]
-            decoded = [encoder.decode(packed) for packed in ids]
-            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["ids", "decoded"])
-
-    return F.arrow_udf(encoded, TOKENISED)(text)
-
-
-def byte_pairs(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids (packed), decoded (bytes)."""
-    both = docs.select("doc_id", tokenised(F.col("text"), path, pattern).alias("both"))
-    return both.select("doc_id", (F.octet_length("both.ids") / 4).cast("bigint").alias("n_tokens"), "both.*")
+            texts = batch.column("text")
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            for part in slices(sizes, CHUNK_BYTES):
+                size = part.stop - part.start
+                ids = [encoder.encode(text) if text else b"" for text in texts.slice(part.start, size).to_pylist()]
+                decoded = [encoder.decode(packed) for packed in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(part.start, size),
+                        pa.array([len(packed) // 4 for packed in ids], pa.int64()),
+                        pa.array(ids, pa.binary()),
+                        pa.array(decoded, pa.binary()),
+                    ],
+                    ["doc_id", "n_tokens", "ids", "decoded"],
+                )
+
+    schema = "doc_id bigint, n_tokens bigint, ids binary, decoded binary"
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encoded, schema)
 
 
 def digests(pairs: DataFrame, *more: str) -> DataFrame:
