@@ -12,7 +12,7 @@ WHITE_SPACE = b" \t\n\v\f\r"
 
 def encoded(texts: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
-    return [text.encode() if text is not None else b"" for text in texts.to_pylist()]
+    return [text or b"" for text in texts.cast(pa.binary()).to_pylist()]
 
 
 def slices(sizes: list[int], limit: int) -> Iterator[slice]:
@@ -51,7 +51,7 @@ class Memo(dict):
 class WordHashes:
     """64-bit hashes of words, the same in every task."""
 
-    def __init__(self, size: int = 200_000):
+    def __init__(self, size: int = 60_000):
         self.memo = Memo(xxhash.xxh64_intdigest, size)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

@@ -54,7 +54,7 @@ def words_of(text: bytes, feature: Memo) -> list[int]:
 
 def word_features() -> Memo:
     """63-bit hashes, so that no rare word shares the feature of a frequent one."""
-    return Memo(lambda word: xxhash.xxh64_intdigest(word.strip(MARKS)) >> 1, 100_000)
+    return Memo(lambda word: xxhash.xxh64_intdigest(word.strip(MARKS)) >> 1, 50_000)
 
 
 def log_loss(z: np.ndarray) -> np.ndarray:
@@ -179,7 +179,7 @@ def score(text: Column, weights: dict[int, float], intercept: float) -> Column:
 
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         feature = word_features()
-        weight = Memo(lambda word: (feature[word], weights[feature[word]]) if feature[word] in weights else (), 100_000)
+        weight = Memo(lambda word: (feature[word], weights[feature[word]]) if feature[word] in weights else (), 50_000)
         for batch in batches:
             sums = []
             for text in encoded(batch):
