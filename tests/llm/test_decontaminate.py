@@ -82,3 +82,17 @@ def test_no_python_runs_on_the_main_path(spark):
     plan = dec.contamination(documents(spark, [(1, QUESTION)]), benchmark(spark, [(1, QUESTION)]))
     shown_plan = plan._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", shown_plan)
+
+
+def test_recased_copies_are_caught_by_the_stage_and_on_request(spark):
+    rng = random.Random(9)
+    named = f"Über die große Straße sagte Anna Weiß: {text(rng, 20)} in Berlin {text(rng, 20)} for 12 km"
+    copies = [(1, named), (2, named.upper()), (3, named.lower()), (4, f"{text(rng, 30)} {named.swapcase()}"), (5, QUESTION.upper()), (6, OTHER)]
+    others = [(7, text(rng, 60)), (8, BROKEN), (9, named[: len(named) // 2].upper()), (10, None)]
+    df, items = documents(spark, copies + others), benchmark(spark, [(1, named), (2, QUESTION)])
+    got = shown(dec.contamination(df, items, recased=True), "doc_id", "n_items", "first_item", "kept")
+    leaked = [(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 1), (5, 1, 2), (6, 1, 2)]
+    assert got == sorted([(*row, False) for row in leaked] + [(i, 0, None, True) for i, _ in others], key=repr)
+    assert shown(dec.keep_uncontaminated(df, items), "doc_id") == sorted([(i,) for i, _ in others], key=repr)
+    plan = dec.keep_uncontaminated(df, items)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
