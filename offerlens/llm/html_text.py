@@ -7,7 +7,8 @@ short or otherwise ambiguous stay open, and the second pass gives them the label
 decided neighbours.
 
 Defined results: a null, empty or textless html gives an empty text; tags left open end with the
-page; what looks like no tag or character reference is text; each row is decided by itself.
+page, but for raw elements like svg or iframe, which without an end tag are their start tag alone;
+what looks like no tag or character reference is text; each row is decided by itself.
 """
 
 import html
@@ -19,9 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RAW = "script style noscript template title textarea svg iframe object math select option"
+#: Elements whose content is no text. Those of the first line go on to the end of the page if nothing ends them.
+RAW_TO_END = "script style textarea title"
+RAW = f"{RAW_TO_END} noscript template svg iframe"
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW.split()}
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW.replace(" ", "|")})(?=[\s/>])[^>]*(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"""
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW.replace(" ", "|")})(?=[\s/>])[^>]*>"""
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?>(?:[^<>"']|"[^"]*"|'[^']*')*)|[^>]*)>|<[!?/][^>]*>""",
     re.DOTALL | re.IGNORECASE,
 )
@@ -35,8 +39,11 @@ BLOCKS = frozenset(
 )
 #: Elements that other start tags do not close, so that an open one lasts until its end tag.
 CONTAINERS = frozenset(
-    "article aside blockquote body button details dialog div dl fieldset figure footer form header main menu nav ol section span table ul".split()
+    "article aside blockquote body button datalist details dialog div dl fieldset figure footer form header main menu nav ol section "
+    "select span table ul".split()
 )
+#: Containers of choices, inside a line; their text is left out.
+CHOICES = frozenset("datalist select".split())
 BOILERPLATE_TAGS = frozenset("aside button dialog fieldset footer form menu nav".split())
 # words in class, id or role that name a container for something else than the article
 BOILERPLATE_WORDS = frozenset(
@@ -78,14 +85,17 @@ class _Page:
     """Keeps the open containers while the tags of a page go by."""
 
     def __init__(self):
-        self.open: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
+        self.open: list[tuple[str, bool, bool, bool]] = []  # name, boilerplate, article, choices
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = self.links = self.breaks = 0
         self.heading = False
 
     def state(self) -> tuple[bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False)
+        return self.open[-1][1:3] if self.open else (False, False)
+
+    def choices(self) -> bool:
+        return bool(self.open) and self.open[-1][3]
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -95,7 +105,7 @@ class _Page:
         self.parts, self.linked, self.breaks = [], 0, 0
 
     def text(self, raw: str) -> None:
-        if raw:
+        if raw and not self.choices():
             decoded = html.unescape(raw)
             self.parts.append(decoded)
             if decoded.strip():
@@ -125,7 +135,7 @@ class _Page:
                 named = self.boilerplate(name, attrs, article)
                 if named and name == "span":
                     self.flush()
-                self.open.append((name, boilerplate or named, not named and (article or name in ("article", "main"))))
+                self.open.append((name, boilerplate or named, not named and (article or name in ("article", "main")), name in CHOICES or self.choices()))
             return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == name:
@@ -145,12 +155,19 @@ class _Page:
 
 
 def blocks(page: str) -> list[Block]:
-    state, at = _Page(), 0
-    for token in TOKEN.finditer(page):
+    state, at, endless = _Page(), 0, set()
+    while token := TOKEN.search(page, at):
         state.text(page[at : token.start()])
         at = token.end()
         if token["tag"]:
             state.tag(token["tag"].lower(), bool(token["end"]), token["attrs"])
+        elif token["raw"] and not token[0].endswith("/>") and (name := token["raw"].lower()) not in endless:
+            if end := RAW_END[name].search(page, at):
+                at = end.end()
+            elif name in RAW_TO_END.split():
+                at = len(page)
+            else:
+                endless.add(name)  # so that no page is searched twice for what it lacks
     state.text(page[at:])
     state.flush()
     return state.blocks

@@ -47,6 +47,23 @@ def test_broken_markup():
     assert len(main_text("<article>" + f"<p>{LONG}</p>" * 3000).split("\n")) == 3000
 
 
+def test_choices_and_unclosed_elements_lose_no_article_text():
+    both = f"{LONG}\n{MORE}"
+    datalist = "<datalist id=l><option value=A><option value=B>Bee</datalist>"
+    assert main_text(f"<article><p>{LONG}</p>{datalist}<p>{MORE}</p></article>") == both
+    select = "<select><optgroup label=x><option>One<option selected>Two</option></select>"
+    assert main_text(f"<article><p>{LONG}</p><p>Choose {select} now</p></article>") == f"{LONG}\nChoose now"
+    assert main_text(f"<article><option>A<p>{LONG}</p><p>{MORE}</p>").endswith(both)
+    for name in "object iframe svg noscript template".split():
+        assert main_text(f"<article><p>{LONG}</p><{name} class=a><p>{MORE}</p></article>") == both
+    for name in "iframe svg noscript template script style textarea title".split():
+        assert main_text(f"<article><p>{LONG}</p><{name} a=b>x</{name.upper()} ><p>{MORE}</p><{name}/></article>") == both
+    for name in "script style textarea title".split():
+        assert main_text(f"<article><p>{LONG}</p><{name}><p>{MORE}</p></article>") == LONG
+    assert main_text(f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>") == f"{LONG} x=1"
+    assert main_text("<article>" + "<svg>" * 50_000 + LONG) == LONG
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", f"<article>{LONG}</article>"), (2, None, None), (None, "v", ""), (1, "u", f"<article>{LONG}</article>")]
     df = spark.createDataFrame([(*row, "x", 5) for row in rows], "page_id bigint, url string, html string, text string, n_chars int")
