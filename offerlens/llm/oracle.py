@@ -145,4 +145,40 @@ SELECT whole.conv_id, len(whole.turns)::INTEGER AS n_turns, logged.n AS n_logged
 FROM whole JOIN logged USING (conv_id)
 """
 
-STATEMENTS: dict[str, str] = {"op1_repetition": OP1, "op2_revisits": OP2, "op7_near_duplicates": OP7, "op9_templates": OP9, "op10_chats": OP10}
+# Phrases are runs of words within a piece; all parts of a candidate are at least as frequent as it is.
+OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+runs AS (
+  SELECT lang, size, list_slice(w, i, i + size - 1) AS run
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, range(1, 6) AS s(size) WHERE len(w) >= size)
+),
+f AS (SELECT lang, size, run, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT * FROM f WHERE size > 1),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.run, c.f AS a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts AS c JOIN totals USING (lang)
+  JOIN f AS l ON l.lang = c.lang AND l.run = list_slice(c.run, 1, k)
+  JOIN f AS r ON r.lang = c.lang AND r.run = list_slice(c.run, k + 1, c.size)
+),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, run ORDER BY score, k) AS place FROM scored),
+inner_runs AS (
+  SELECT lang, list_slice(run, i, i + part - 1) AS run, f
+  FROM (SELECT lang, run, f, part, unnest(range(1, size - part + 2)) AS i FROM candidates, range(2, 5) AS s(part) WHERE part < size)
+),
+around AS (SELECT lang, run, max(f) AS around FROM inner_runs GROUP BY ALL),
+kept AS (
+  SELECT w.lang, array_to_string(w.run, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
+  FROM weakest AS w LEFT JOIN around USING (lang, run) WHERE place = 1 AND coalesce(around < a, true)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+STATEMENTS: dict[str, str] = {"op1_repetition": OP1, "op2_revisits": OP2, "op7_near_duplicates": OP7, "op9_templates": OP9, "op10_chats": OP10, "op12_collocations": OP12}

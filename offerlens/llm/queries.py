@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from offerlens.llm import (
     bpe,
     chat,
+    collocation,
     decontaminate,
     html_text,
     near_dup,
+    quality,
     repetition,
+    spelling,
     suffix_tree,
     token_budget,
     toxicity,
@@ -75,6 +78,18 @@ def op10_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapsed_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), changed=spelling.misprint)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -88,5 +103,8 @@ QUERIES: dict[str, Query] = {
         op8_suffix_tree,
         op9_templates,
         op10_chats,
+        op11_spelling,
+        op12_collocations,
+        op13_quality,
     )
 }

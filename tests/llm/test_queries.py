@@ -37,7 +37,7 @@ def results(spark, name):
 
 def test_one_query_per_operator_and_the_pipeline():
     names = [name for name in entry.queries() if name.startswith("op") and name[2].isdigit()]
-    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 14))
     assert set(names) == set(queries.QUERIES) and "pipeline" in entry.queries()
 
 
