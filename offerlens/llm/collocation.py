@@ -1,20 +1,23 @@
 """Phrase collocations from depth-truncated suffix trees of word sequences, partitioned by prefix (ERA).
 
-Counts of all phrases of up to `longest` words that occur `least` times or more, per language:
-
-1. Vertical partitioning. Words are counted. A word that occurs more often than the memory budget
-   of a group has its two-word prefixes counted in the next scan, those beyond the budget their
-   three-word prefixes, and so on. What remains are prefixes that fit the budget; infrequent ones
-   are dropped with all that they start, as no phrase is more frequent than its prefix.
+Counts of all phrases of two to `longest` words that occur `least` times or more, per language, and
+of their parts:
+
+1. Vertical partitioning. Words, pairs of frequent words, and three words in two frequent pairs
+   are counted by hash, in a scan each. A pair is a prefix if it fits the memory budget of a group;
+   more frequent ones are continued to three words, these by another scan to four, and so on.
+   Infrequent prefixes are dropped with all that they start, and a sequence ends where its next
+   pair or three words are infrequent: no phrase is more frequent than its parts.
 2. Prefixes are packed into groups of the budget, by slots of their hash.
-3. Each position whose prefix has a group sends the words from there on, `longest` at most, cut at
-   the piece's end and at the first infrequent word. Equal ones are combined per task.
+3. Each position whose prefix has a group sends the words from there on, `longest` at most. Equal
+   sequences are combined per task.
 4. Each group sorts its word sequences into a suffix tree cut at that depth, apart from all others.
    Leaves have the totals of equal sequences; a node's count is the sum of its leaves.
 
-All counts are exact. What is sent to every task is bounded: bits of the frequent prefixes, in a
-table of fixed size whose false positives only make more sequences travel; hashes of the prefixes
-beyond the budget, at most tokens / budget of each length; the slots. The budget grows with the
+Counts come from the trees alone, by words, so they are exact; two prefixes of one hash would only
+make more sequences travel. What is sent to every task is bounded: the bits of frequent prefixes,
+in a table of fixed size whose false positives do no more than that either; the hashes of prefixes
+beyond the budget, tokens / budget of each length at most; the slots. The budget grows with the
 corpus beyond 10**6 groups' worth of tokens.
 
 Phrases are then scored by their weakest cut, and those inside a longer candidate that is as
@@ -47,9 +50,9 @@ _BREAKS = bytes.maketrans(b".,;:!?\n\v\f\r", BREAK * 10)
 
 #: The table of frequent prefixes: 2**20 lanes of 64 bits.
 LANE_BITS = 20
-CHUNK_BYTES = 1 << 21
-#: Words from which on a task forgets them, and sequences from which on it hands them on.
-KNOWN, COMBINED = 400_000, 400_000
+CHUNK_BYTES = 1 << 20
+#: Words from which on a task forgets them, sequences and prefixes from which on it hands them on.
+KNOWN, COMBINED, COUNTED = 300_000, 500_000, 2_000_000
 NODES = "lang string, phrase string, n_words int, f bigint"
 
 
@@ -58,7 +61,7 @@ class Phrases:
     longest: int = 5
     least: int = 100
     #: Sequences that a group holds at most; it grows where a corpus would need more than 10**6 groups.
-    budget: int = 500_000
+    budget: int = 200_000
 
 
 @dataclass
@@ -104,16 +107,18 @@ def word_hash(lang: str, word: bytes) -> int:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, phrase, hash, n) of all words, the infrequent ones too."""
+    """(lang, hash, n): rows without a language count the words of a hash, rows without a hash all words of a language."""
 
     def rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, own in counts.items():
             own.pop(BREAK, None)
             hashes = np.fromiter((word_hash(lang, word) for word in own), np.uint64, len(own))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(hashes.view(np.int64)), pa.array(list(own.values()), pa.int64())],
-                ["lang", "phrase", "hash", "n"],
-            )
+            columns = [
+                pa.array([None] * len(own) + [lang], pa.string()),
+                pa.array([*hashes.view(np.int64).tolist(), None], pa.int64()),
+                pa.array([*own.values(), own.total()], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "hash", "n"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -124,29 +129,32 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 counts.clear()
         yield from rows(counts)
 
-    parts = docs.mapInArrow(counted, "lang string, phrase string, hash bigint, n bigint")
-    return parts.groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("n"))
+    parts = docs.mapInArrow(counted, "lang string, hash bigint, n bigint")
+    return parts.groupBy("lang", "hash").agg(F.sum("n").alias("n"))
 
 
-class Sequences:
-    """Combines equal sequences of word numbers and hands them on as text."""
+class Numbers:
+    """Numbers of the frequent words of a task."""
 
     def __init__(self, partition: Partition):
         self.partition = partition
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.by_lang: dict[str, dict[bytes, int]] = {}
         self.words: list[bytes] = [b""]
         self.langs: list[str] = [""]
         self.hashes = np.zeros(1, np.uint64)
-        self.held: list[tuple[np.ndarray, ...]] = []
 
     def full(self) -> bool:
-        return sum(map(len, self.by_lang.values())) > KNOWN or sum(len(part[0]) for part in self.held) > COMBINED
-
-    def numbered(self, lang: str, words: list[bytes]) -> np.ndarray:
-        """Numbers of frequent words; 0 for breaks and infrequent words."""
+        """Whether the frequent words alone are too many; infrequent ones are forgotten before."""
+        if sum(map(len, self.by_lang.values())) <= KNOWN:
+            return False
+        self.by_lang = {lang: {word: i for word, i in own.items() if i or word == BREAK} for lang, own in self.by_lang.items()}
+        return sum(map(len, self.by_lang.values())) > KNOWN // 2
+
+    def of(self, lang: str, words: list[bytes]) -> np.ndarray:
+        """The words' numbers; 0 for breaks and infrequent words."""
         known = self.by_lang.setdefault(lang, {BREAK: 0})
         new = [word for word in set(words) if word not in known]
         if new:
@@ -158,138 +166,177 @@ class Sequences:
             self.words += kept
             self.langs += [lang] * len(kept)
             self.hashes = np.append(self.hashes, hashes[frequent])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-    def following(self, numbers: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """At each position the numbers from there on, 0 after the first 0, and hashes of each length."""
-        rows = np.zeros((len(numbers), longest), np.int64)
-        hashes = np.zeros((len(numbers), longest), np.uint64)
-        code, alive = np.zeros(len(numbers), np.uint64), np.ones(len(numbers), bool)
-        for k in range(longest):
-            next_ = np.zeros(len(numbers), np.int64)
-            next_[: max(len(numbers) - k, 0)] = numbers[k:]
-            alive &= next_ > 0
-            rows[:, k] = np.where(alive, next_, 0)
-            own = self.hashes[rows[:, k]]
-            code = own if k == 0 else mix(code * STEP + own)
-            hashes[:, k] = code
+        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+
+    def pairs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions that begin two frequent words, and the hashes of these pairs."""
+        at = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
+        return at, mix(self.hashes[numbers[at]] * STEP + self.hashes[numbers[at + 1]])
+
+    def sequences(self, numbers: np.ndarray, longest: int, cut: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """From each frequent pair on, the numbers as far as three words in a row are frequent, 0 beyond, and the hashes of all lengths.
+
+        Without `cut` as far as pairs are frequent.
+        """
+        at, pairs = self.pairs(numbers)
+        frequent = self.partition.is_frequent(pairs)
+        at, pairs = at[frequent], pairs[frequent]
+        goes_on = np.zeros(len(numbers) + longest, bool)
+        goes_on[at] = True
+        if longest > 2:
+            three = np.flatnonzero(goes_on[at + 1])
+            if cut:
+                three = three[self.partition.is_frequent(mix(pairs[three] * STEP + self.hashes[numbers[at[three] + 2]]))]
+            goes_on[:] = False
+            goes_on[at[three]] = True
+        rows = np.zeros((len(at), longest), np.int32)
+        hashes = np.zeros((len(at), longest), np.uint64)
+        rows[:, 0], hashes[:, 0] = numbers[at], self.hashes[numbers[at]]
+        rows[:, 1], hashes[:, 1] = numbers[at + 1], pairs
+        alive = np.ones(len(at), bool)
+        for k in range(2, longest):
+            alive &= goes_on[at + k - 2]
+            rows[alive, k] = numbers[at[alive] + k]
+            hashes[:, k] = mix(hashes[:, k - 1] * STEP + self.hashes[rows[:, k]])
         return rows, hashes
 
-    def add(self, rows: np.ndarray, *marks: np.ndarray) -> None:
-        """Sequences of up to five words; marks are the same for equal sequences."""
-        wide = np.zeros((len(rows), 6), np.int64)
-        wide[:, : rows.shape[1]] = rows
-        pairs = wide[:, ::2] << 32 | wide[:, 1::2]
-        self.held.append((*pairs.T, np.ones(len(rows), np.int64), *marks))
-        if self.full():
-            self._combine()
-
-    def _combine(self) -> None:
-        columns = [np.concatenate(parts) for parts in zip(*self.held)]
-        order = np.lexsort(columns[2::-1])
-        first, second, third, n, *marks = (column[order] for column in columns)
-        starts = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (third[1:] != third[:-1])))
-        self.held = [(first[starts], second[starts], third[starts], np.add.reduceat(n, starts), *(mark[starts] for mark in marks))]
-
-    def drained(self) -> tuple[list[str], list[str], np.ndarray, list[np.ndarray]] | None:
-        """Languages, texts, counts and marks of what is held, which is forgotten."""
-        if not sum(len(part[0]) for part in self.held):
-            self._forget()
-            return None
-        self._combine()
-        *pairs, n = self.held[0][:4]
-        marks = list(self.held[0][4:])
-        columns = [half.tolist() for pair in pairs for half in (pair >> 32, pair & 0xFFFFFFFF)]
-        texts = [b" ".join([self.words[i] for i in row if i]).decode() for row in zip(*columns)]
-        langs = [self.langs[i] for i in columns[0]]
-        self._forget()
-        return langs, texts, n, marks
-
 
 def prefix_counts(docs: DataFrame, partition: Broadcast, length: int) -> DataFrame:
-    """(lang, phrase, hash, n) of the prefixes of this length whose own prefix is beyond the budget."""
+    """(hash, n) of pairs of frequent words, of three words in two frequent pairs, or of longer prefixes whose own is beyond the budget."""
+
+    def rows(hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["hash", "n"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Partition = partition.value
-        sequences = Sequences(known)
+        numbers, held = Numbers(known), []
+        for lang, words in _by_language(batches):
+            own = numbers.of(lang, words)
+            if length == 2:
+                held.append(numbers.pairs(own)[1])
+            else:
+                found, hashes = numbers.sequences(own, length, cut=length > 3)
+                wanted = found[:, length - 1] > 0
+                if length > 3:
+                    wanted &= known.is_hot(hashes[:, length - 2], length - 1)
+                held.append(hashes[wanted, length - 1])
+            if numbers.full():
+                numbers.forget()
+            if sum(map(len, held)) > COUNTED:
+                yield rows(*np.unique(np.concatenate(held), return_counts=True))
+                held = []
+        if held:
+            yield rows(*np.unique(np.concatenate(held), return_counts=True))
+
+    parts = docs.mapInArrow(counted, "hash bigint, n bigint")
+    return parts.groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+class Combined:
+    """Equal sequences with their totals. Each has the group and the depth of its prefix."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.new = 0
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            if (found := sequences.drained()) is not None:
-                langs, texts, n, (hashes,) = found
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(hashes.view(np.int64)), pa.array(n)], ["lang", "phrase", "hash", "n"]
-                )
+    def add(self, rows: np.ndarray, depths: np.ndarray | int, groups: np.ndarray, n: np.ndarray | int = 1) -> None:
+        wide = np.zeros((len(rows), 6), np.int64)
+        wide[:, : rows.shape[1]] = rows
+        # the depth tells the totals of a prefix from a sequence that ends with it
+        wide[:, 5] = depths
+        self.held.append((*(wide[:, ::2] << 32 | wide[:, 1::2]).T, groups, np.broadcast_to(np.int64(n), len(rows))))
+        self.new += len(rows)
+        if self.new > COMBINED:
+            self.combine()
+
+    def combine(self) -> None:
+        columns = [np.concatenate(parts) for parts in zip(*self.held)]
+        order = np.lexsort(columns[:3])
+        *keys, groups, n = (column[order] for column in columns)
+        starts = np.flatnonzero(np.append(True, np.any([key[1:] != key[:-1] for key in keys], axis=0)))
+        self.held = [(*(key[starts] for key in keys), groups[starts], np.add.reduceat(n, starts))]
+        self.new = 0
 
-        for lang, words in _by_language(batches):
-            following, hashes = sequences.following(sequences.numbered(lang, words), length)
-            wanted = np.flatnonzero(following[:, length - 1])
-            wanted = wanted[known.is_hot(hashes[wanted, length - 2], length - 1)]
-            sequences.add(following[wanted], hashes[wanted, length - 1])
-            if sequences.full():
-                yield from rows()
-        yield from rows()
+    def full(self) -> bool:
+        return bool(self.held) and len(self.held[0][0]) > COMBINED
 
-    parts = docs.mapInArrow(counted, "lang string, phrase string, hash bigint, n bigint")
-    return parts.groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("n"))
+    def rows(self, numbers: Numbers) -> Iterator[pa.RecordBatch]:
+        """What is held, in batches, as text."""
+        if not sum(len(part[0]) for part in self.held):
+            return
+        self.combine()
+        for start in range(0, len(self.held[0][0]), 50_000):
+            *keys, groups, n = (column[start : start + 50_000] for column in self.held[0])
+            *halves, depths = (half for key in keys for half in (key >> 32, key & 0xFFFFFFFF))
+            texts = [b" ".join([numbers.words[i] for i in row if i]) for row in zip(*(half.tolist() for half in halves))]
+            langs = [numbers.langs[i] for i in halves[0].tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(groups), pa.array(depths), pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n)],
+                ["own_group", "depth", "lang", "words", "n"],
+            )
+        self.held = []
 
 
 def sequences(docs: DataFrame, partition: Broadcast, longest: int) -> DataFrame:
-    """(own_group, depth, lang, words, n): word sequences with the group and length of their prefix."""
+    """(own_group, depth, lang, words, n): word sequences with the group and length of their prefix.
+
+    Single words, and prefixes beyond the budget, are sequences of their own that nothing follows.
+    """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Partition = partition.value
-        held = Sequences(known)
+        numbers, combined = Numbers(known), Combined()
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            if (out := held.drained()) is not None:
-                langs, texts, n, (groups, depths) = out
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(groups), pa.array(depths), pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(n)],
-                    ["own_group", "depth", "lang", "words", "n"],
-                )
+        def group(hashes: np.ndarray) -> np.ndarray:
+            return known.groups[(hashes & np.uint64(len(known.groups) - 1)).astype(np.int64)]
 
         for lang, words in _by_language(batches):
-            following, hashes = held.following(held.numbered(lang, words), longest)
-            # a sequence that is its prefix only tells nothing new
-            at = np.flatnonzero(following[:, 1]) if longest > 1 else np.zeros(0, np.int64)
-            depth = np.ones(len(at), np.int64)
-            for length in range(1, longest):
-                hot = (depth == length) & known.is_hot(hashes[at, length - 1], length)
-                depth[hot] += 1
-                longer = hot & (following[at, length] > 0)
-                longer[longer] = known.is_frequent(hashes[at[longer], length])
-                at, depth = at[longer | ~hot], depth[longer | ~hot]
-            open_ = (depth < longest) & (following[at, np.minimum(depth, longest - 1)] > 0)
-            at, depth = at[open_], depth[open_]
-            slots = hashes[at, depth - 1] & np.uint64(len(known.groups) - 1)
-            held.add(following[at], known.groups[slots.astype(np.int64)], depth)
-            if held.full():
-                yield from rows()
-        yield from rows()
+            own = numbers.of(lang, words)
+            single, n = np.unique(own[own > 0], return_counts=True)
+            combined.add(single[:, None], 1, group(numbers.hashes[single]), n)
+            rows, hashes = numbers.sequences(own, longest)
+            for length in range(2, longest + 1):
+                hot = known.is_hot(hashes[:, length - 1], length)
+                combined.add(rows[~hot], length, group(hashes[~hot, length - 1]))
+                if not hot.any():
+                    break
+                rows, hashes = rows[hot], hashes[hot]
+                combined.add(rows[:, :length], length, group(hashes[:, length - 1]))
+                longer = rows[:, length] > 0
+                longer[longer] = known.is_frequent(hashes[longer, length])
+                rows, hashes = rows[longer], hashes[longer]
+            if combined.full() or numbers.full():
+                yield from combined.rows(numbers)
+                numbers.forget()
+        yield from combined.rows(numbers)
 
     return docs.mapInArrow(found, "own_group bigint, depth bigint, lang string, words string, n bigint")
 
 
 def subtree(rows: pa.Table, longest: int, least: int) -> pa.Table:
-    """Frequent nodes below the prefixes of one group, from its word sequences sorted into a tree."""
+    """Frequent nodes of one group, from its word sequences sorted into a tree; no node is above its prefix."""
     lists = pc.split_pattern(rows.column("words").combine_chunks(), " ")
     lengths = pc.list_value_length(lists).to_numpy()
     coded = lists.flatten().dictionary_encode()
-    tree = np.zeros((len(lengths), longest + 1), np.int64)
-    tree[:, 0] = rows.column("lang").combine_chunks().dictionary_encode().indices.to_numpy()
+    langs = rows.column("lang").combine_chunks().dictionary_encode()
+    depth = rows.column("depth").to_numpy()
+    tree = np.zeros((len(lengths), longest + 1), np.int32)
+    tree[:, 0] = langs.indices.to_numpy() * 8 + depth
     tree[:, 1:][np.arange(longest) < lengths[:, None]] = coded.indices.to_numpy() + 1
     order = np.lexsort(tree.T[::-1])
-    tree, n, depth = tree[order], rows.column("n").to_numpy()[order], rows.column("depth").to_numpy()[order]
-    differs = tree[1:] != tree[:-1]
-    langs, dictionary = rows.column("lang").to_pylist(), coded.dictionary.to_pylist()
+    tree, n, depth = tree[order], rows.column("n").to_numpy()[order], depth[order]
+    starts_at = np.full(len(tree), longest + 1)
+    for column in range(longest, -1, -1):
+        starts_at[1:][tree[1:, column] != tree[:-1, column]] = column
+    starts_at[:1] = 0
     found: list[tuple] = []
-    for length in range(2, longest + 1):
-        starts = np.flatnonzero(np.append(True, differs[:, : length + 1].any(axis=1)))
+    for length in range(1, longest + 1):
+        starts = np.flatnonzero(starts_at <= length)
         totals = np.add.reduceat(n, starts)
-        nodes = (totals >= least) & (tree[starts, length] > 0) & (depth[starts] < length)
+        nodes = (totals >= least) & (tree[starts, length] > 0) & (depth[starts] <= length)
         for start, total in zip(starts[nodes].tolist(), totals[nodes].tolist()):
-            words = " ".join(dictionary[i - 1] for i in tree[start, 1 : length + 1].tolist())
-            found.append((langs[order[start]], words, length, total))
+            words = " ".join(coded.dictionary[i - 1].as_py() for i in tree[start, 1 : length + 1].tolist())
+            found.append((langs.dictionary[int(tree[start, 0]) >> 3].as_py(), words, length, total))
     kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
     columns = zip(*found) if found else ((),) * 4
     return pa.table([pa.array(list(column), kind) for column, kind in zip(columns, kinds)], ["lang", "phrase", "n_words", "f"])
@@ -317,41 +364,37 @@ def _marked(frequent: np.ndarray, level: DataFrame) -> None:
 
 
 def phrase_counts(docs: DataFrame, phrases: Phrases = Phrases()) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, n_words, f) of all frequent phrases, and (lang, n) with all words of a language."""
+    """(lang, phrase, n_words, f) of all frequent phrases and words, and (lang, n) with all words of a language."""
     if not 1 < phrases.longest <= 5:
         raise ValueError("a phrase has two to five words")
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    level = materialise(word_counts(texts))
-    totals = materialise(level.groupBy("lang").agg(F.sum("n").alias("n")))
+    counted = materialise(word_counts(texts).filter((F.col("n") >= phrases.least) | F.col("hash").isNull()))
+    totals = counted.filter("hash IS NULL").select("lang", "n")
     tokens = totals.agg(F.sum("n")).first()[0] or 0
     budget = max(phrases.budget, tokens // 10**6)
-    slots = 1 << max(12, (4 * tokens // budget).bit_length())
-    partition, known, weights = Partition(), [], np.zeros(slots, np.int64)
-    for length in range(1, phrases.longest + 1):
-        level = level.filter(F.col("n") >= phrases.least)
-        known.append(level.select("lang", "phrase", F.lit(length).alias("n_words"), F.col("n").alias("f")))
+    partition, weights = Partition(), np.zeros(1 << max(12, (4 * tokens // budget).bit_length()), np.int64)
+
+    def learn(level: DataFrame) -> None:
+        """The prefixes of a level, and the sequences that their slots may hold: one row per slot."""
         _marked(partition.frequent, level)
-        if length == phrases.longest:
-            break
-        # one row per slot
-        slot = F.col("hash").bitwiseAND(F.lit(slots - 1)).alias("slot")
-        own = level.filter(F.col("n") <= budget).groupBy(slot).agg(F.sum("n").alias("n")).toArrow()
+        slot = F.col("hash").bitwiseAND(F.lit(len(weights) - 1)).alias("slot")
+        own = level.groupBy(slot).agg(F.sum(F.least(F.col("n"), F.lit(budget))).alias("n")).toArrow()
         weights[own.column("slot").to_numpy()] += own.column("n").to_numpy()
+
+    learn(counted.filter("hash IS NOT NULL"))
+    for length in range(2, phrases.longest + 1):
+        own = prefix_counts(texts, spark.sparkContext.broadcast(partition), length)
+        level = materialise(own.filter(F.col("n") >= phrases.least))
+        learn(level)
         # at most tokens / budget rows
         hot = level.filter(F.col("n") > budget).select("hash").toArrow().column("hash").to_numpy()
-        if not len(hot):
+        if length == phrases.longest or length > 2 and not len(hot):
             break
         partition.hot[length] = np.unique(hot.view(np.uint64))
-        level = materialise(prefix_counts(texts, spark.sparkContext.broadcast(partition), length + 1))
     partition.groups = packed(weights, budget)
-    sent = spark.sparkContext.broadcast(partition)
-    grown = sequences(texts, sent, phrases.longest).groupBy("own_group").applyInArrow(
-        lambda rows: subtree(rows, phrases.longest, phrases.least), NODES
-    )
-    for level in known:
-        grown = grown.unionByName(level)
-    return materialise(grown), totals
+    found = sequences(texts, spark.sparkContext.broadcast(partition), phrases.longest)
+    return materialise(found.groupBy("own_group").applyInArrow(lambda rows: subtree(rows, phrases.longest, phrases.least), NODES)), totals
 
 
 def collocations(docs: DataFrame, phrases: Phrases = Phrases(), top: int = 2000) -> DataFrame:
