@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 
+from offerlens.operators.boosting import boosted_effects
 from offerlens.operators.counterfactual import counterfactual_effect, fitted_effects
 from offerlens.operators.fdr import fdr_bh
 from offerlens.operators.logit import MIN_ROWS, fit_effects
@@ -32,3 +33,8 @@ def screened_pairs(
 def outcome_effects(offers: DataFrame, pairs: list[tuple[str, str]], **options) -> DataFrame:
     """Fitted counterfactual effects of the listed pairs, sorted for reading."""
     return fitted_effects(counterfactual_effect(offers, pairs, **options))
+
+
+def pair_effects(offers: DataFrame, pairs: DataFrame | None = None, **options) -> DataFrame:
+    """Fitted counterfactual effects of all pairs, or those of a table, from trees grown together."""
+    return fitted_effects(boosted_effects(offers, pairs, **options))

@@ -15,7 +15,8 @@ SMALL, LARGER = (f"/root/testdata/sf{sf}" for sf in ("0.001", "0.01"))
 NEEDS_GROUPS = {
     "convergence_breakdown", "effect_models", "error_breakdown", "fit_counts",
     "lift_against_effect", "lift_screen", "lift_top_k", "logit_2x2", "logit_2x2_by_ascension",
-    "logit_2x2_separated", "ordered_report", "counterfactual_flag_only", "popularity_corr",
+    "logit_2x2_separated", "ordered_report", "counterfactual_flag_only", "counterfactual_shallow", "popularity_corr",
+    "stored_pairs",
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the test tables")

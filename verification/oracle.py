@@ -338,6 +338,13 @@ _STORED = " UNION ALL ".join(
     ]
 )
 
+_HEADS = """SELECT character_chosen, card_name FROM (
+    SELECT *, row_number() OVER (PARTITION BY character_chosen ORDER BY floors_gained_lift DESC, card_name) AS by_floors,
+      row_number() OVER (PARTITION BY character_chosen ORDER BY win_rate_lift DESC, card_name) AS by_wins
+    FROM screen) WHERE by_floors = 1 OR by_wins = 1"""
+
+_STORED_PAIRS = f"SELECT * FROM model SEMI JOIN ({_HEADS}) USING (character_chosen, card_name)"
+
 _FLAG_ONLY = """
 SELECT character_chosen, card_name, count(*) AS n,
   CASE WHEN count(*) < 200 THEN 'too few rows' END AS error,
@@ -356,6 +363,99 @@ GROUP BY character_chosen, card_name
 """
 
 
+def _tree_ctes(trees: int, depth: int) -> str:
+    """Boosted trees over all screened pairs, one level of one tree after the other, on single rows."""
+    keys, features = "character_chosen, card_name", ("was_picked", "hp_ratio", "floor", "relic_count", "ascension_level")
+    ctes = [
+        f"""
+tree_input AS (
+  SELECT row_number() OVER () AS id, {keys}, was_picked::INT::DOUBLE AS was_picked, current_hp / max_hp AS hp_ratio,
+    floor::DOUBLE AS floor, relic_count::DOUBLE AS relic_count, ascension_level::DOUBLE AS ascension_level, floors_gained::DOUBLE AS y
+  FROM offers SEMI JOIN screen USING ({keys})
+  WHERE floors_gained IS NOT NULL AND floor IS NOT NULL AND current_hp IS NOT NULL AND relic_count IS NOT NULL
+    AND ascension_level IS NOT NULL AND max_hp > 0 AND was_picked IS NOT NULL
+),
+tree_sizes AS (SELECT {keys}, count(*) AS n FROM tree_input GROUP BY {keys}),
+tree_long AS (
+  SELECT id, {keys}, y, pair[1]::INT AS j, pair[2] AS v FROM (
+    SELECT *, unnest([{", ".join(f"[{j}.0, {name}]" for j, name in enumerate(features))}]) AS pair
+    FROM tree_input SEMI JOIN (SELECT {keys} FROM tree_sizes WHERE n >= 200) USING ({keys}))
+),
+tree_values AS (SELECT {keys}, j, v, count(*) AS n FROM tree_long GROUP BY ALL),
+tree_bins AS (
+  SELECT {keys}, j, v, CASE WHEN j = 0 THEN v::INT
+    WHEN count(*) OVER (PARTITION BY {keys}, j) <= 255 THEN row_number() OVER (PARTITION BY {keys}, j ORDER BY v) - 1
+    ELSE 255 * (sum(n) OVER (PARTITION BY {keys}, j ORDER BY v) - n) // sum(n) OVER (PARTITION BY {keys}, j) END::INT AS bin
+  FROM tree_values
+),
+state_0 AS (
+  SELECT id, {keys}, any_value(y) AS y, list(bin ORDER BY j) AS b, 0.0::DOUBLE AS f, 0.0::DOUBLE AS f_on, 0.0::DOUBLE AS f_off, 0 AS splits
+  FROM tree_long JOIN tree_bins USING ({keys}, j, v) GROUP BY id, {keys}
+)"""
+    ]
+    for tree in range(trees):
+        ctes.append(f"at_{tree}_0 AS (SELECT *, 1 AS node, 1 AS node_on, 1 AS node_off FROM state_{tree})")
+        for level in range(depth):
+            at, name = f"at_{tree}_{level}", f"{tree}_{level}"
+            ctes.append(
+                f"""
+histogram_{name} AS (
+  SELECT {keys}, node, j, b[j + 1] AS bin, count(*) AS n, sum(y - f) AS g
+  FROM {at}, range(0, {len(features)}) AS r(j) WHERE node >= {1 << level} GROUP BY ALL
+),
+sums_{name} AS (
+  SELECT {keys}, node, j, bin, sum(n) OVER (w ORDER BY bin) AS nl, sum(g) OVER (w ORDER BY bin) AS gl, sum(n) OVER w AS n, sum(g) OVER w AS g
+  FROM histogram_{name} WINDOW w AS (PARTITION BY {keys}, node, j)
+),
+gains_{name} AS (
+  SELECT *, round(gl * gl / nl + (g - gl) * (g - gl) / (n - nl) - g * g / n, 6) AS gain FROM sums_{name} WHERE nl >= 20 AND n - nl >= 20
+),
+split_{name} AS (
+  SELECT {keys}, node, j, bin, gl / nl AS l, (g - gl) / (n - nl) AS r FROM gains_{name} WHERE gain > 0
+  QUALIFY row_number() OVER (PARTITION BY {keys}, node ORDER BY gain DESC, j, bin) = 1
+),
+at_{tree}_{level + 1} AS (
+  SELECT a.* REPLACE (
+    CASE WHEN s.node IS NULL THEN a.node ELSE 2 * a.node + (a.b[s.j + 1] > s.bin)::INT END AS node,
+    CASE WHEN n.node IS NULL THEN a.node_on ELSE 2 * a.node_on + (CASE WHEN n.j = 0 THEN 1 ELSE a.b[n.j + 1] END > n.bin)::INT END AS node_on,
+    CASE WHEN o.node IS NULL THEN a.node_off ELSE 2 * a.node_off + (CASE WHEN o.j = 0 THEN 0 ELSE a.b[o.j + 1] END > o.bin)::INT END AS node_off)
+  FROM {at} AS a
+  LEFT JOIN split_{name} AS s ON s.character_chosen = a.character_chosen AND s.card_name = a.card_name AND s.node = a.node
+  LEFT JOIN split_{name} AS n ON n.character_chosen = a.character_chosen AND n.card_name = a.card_name AND n.node = a.node_on
+  LEFT JOIN split_{name} AS o ON o.character_chosen = a.character_chosen AND o.card_name = a.card_name AND o.node = a.node_off
+)"""
+            )
+        splits = " UNION ALL ".join(f"SELECT * FROM split_{tree}_{level}" for level in range(depth))
+        share = "1.0" if tree == 0 else "0.1"
+        ctes.append(
+            f"""
+all_{tree} AS ({splits}),
+value_{tree} AS (
+  SELECT {keys}, 1 AS node, sum(g) / sum(n) AS v FROM histogram_{tree}_0 WHERE j = 0 GROUP BY {keys}
+  UNION ALL SELECT {keys}, 2 * node, l FROM all_{tree} UNION ALL SELECT {keys}, 2 * node + 1, r FROM all_{tree}
+),
+flags_{tree} AS (SELECT {keys}, count(*) FILTER (j = 0) AS on_flag FROM all_{tree} GROUP BY {keys}),
+state_{tree + 1} AS (
+  SELECT id, {keys}, y, b, f + {share} * p.v AS f, f_on + {share} * n.v AS f_on, f_off + {share} * o.v AS f_off,
+    splits + coalesce(on_flag, 0) AS splits
+  FROM at_{tree}_{depth} AS a LEFT JOIN flags_{tree} USING ({keys})
+  JOIN value_{tree} AS p USING ({keys}, node)
+  JOIN (SELECT {keys}, node AS node_on, v FROM value_{tree}) AS n USING ({keys}, node_on)
+  JOIN (SELECT {keys}, node AS node_off, v FROM value_{tree}) AS o USING ({keys}, node_off)
+)"""
+        )
+    return ",\n".join(ctes)
+
+
+_SHALLOW_TREES = """
+SELECT character_chosen, card_name, n, CASE WHEN n < 200 THEN 'too few rows' END AS error,
+  round(effect, 6) AS was_picked_effect, splits AS was_picked_importance
+FROM tree_sizes LEFT JOIN (
+  SELECT character_chosen, card_name, avg(f_on - f_off) AS effect, max(splits)::BIGINT AS splits FROM state_2
+  GROUP BY character_chosen, card_name) USING (character_chosen, card_name)
+"""
+
+
 _X = ["1.0", "flag", "hp_ratio", "floor", "relic_count", "ascension_level"]
 _NEWTON_STEPS = 9
 
@@ -564,6 +664,9 @@ FROM (SELECT play_id, pick_num, count(*) AS options, bool_or(was_skip) AS was_sk
         "run_summary_joined": _sql(_SUMMARY),
         "tier_offers": _sql(_TIERS, _TIER_CTES),
         "tier_offers_joined": _sql(_TIERS, _TIER_CTES),
+        "run_summary_bucketed": _sql(_SUMMARY),
+        "tier_offers_bucketed": _sql(_TIERS, _TIER_CTES),
+        "stored_pairs": _sql(_STORED_PAIRS),
         "stored_tables": _sql(_STORED, _TIER_CTES),
         "lift_table": _sql(lift),
         "csv_round_trip": _sql(lift),
@@ -637,6 +740,7 @@ GROUP BY character_chosen, card_name"""),
         "logit_2x2_separated": _sql(_two_by_two(_PAIR), _SEPARATED + _flag_fits(_PAIR, "separated")),
         "logit_2x2_by_ascension": _sql(_two_by_two(_ASCENSION), _flag_fits(_ASCENSION)),
         "counterfactual_flag_only": _sql(_FLAG_ONLY),
+        "counterfactual_shallow": _sql(_SHALLOW_TREES, _tree_ctes(2, 2)),
         "effect_models": _sql(_EFFECT_MODELS, newton),
         "ordered_report": _sql(_HELPED_REPORT, _HELPED + _flag_fits(_PAIR, "helped")),
         "fit_counts": _sql(

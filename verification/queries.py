@@ -1,5 +1,6 @@
 """Queries over the test tables, one or more per operator."""
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from offerlens.operators import checks, describe, offers, picks, ranking, report, runs, screen
 from offerlens.operators.auc import auc_by_group, outcome_counts
+from offerlens.operators.boosting import boosted_effects
 from offerlens.operators.counterfactual import counterfactual_effect
 from offerlens.operators.fdr import fdr_bh
 from offerlens.operators.logit import fit_effects
@@ -23,6 +25,7 @@ from offerlens.operators.tiers import tier_offers
 from offerlens.plans.analysis import effect_models, screened_pairs
 from offerlens.plans.build import build_tables, load_table
 from offerlens.sources import records
+from offerlens.sources.laid_out import load_pairs, save_bucketed, save_by_pair
 from offerlens.sources.scratch import materialise, scratch_dir
 from offerlens.sources.tables import export_csv, read_table, write_table
 from verification import order_runs as fixture
@@ -181,6 +184,20 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restrict_to_pairs(model_input(_offers(spark, sf_dir)), listed)
 
 
+def stored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model rows of the pairs that head the lists, read back from a table laid out by pair."""
+    rows = model_input(_offers(spark, sf_dir))
+    info = save_by_pair(rows, scratch_dir(spark))
+    return load_pairs(spark, info.path, screened_pairs(_offers(spark, sf_dir), MIN_SIDE)).select(*rows.columns)
+
+
+def _bucketed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Runs and picks as stored tables with buckets of the run."""
+    name, path = f"t{uuid.uuid4().hex}", scratch_dir(spark)
+    stored = save_bucketed(order_runs(spark, sf_dir), f"{name}_runs", f"{path}/runs")
+    return stored, save_bucketed(picks.pick_events(stored), f"{name}_picks", f"{path}/picks")
+
+
 def native_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = _lift(spark, sf_dir).select(*KEYS, F.col("n_offered").alias("n"))
     return report.native_pool(sizes, NATIVE_SHARE)
@@ -329,11 +346,11 @@ def _key_hashes(rows: DataFrame, name: str) -> DataFrame:
     )
 
 
-def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _boosted(spark: SparkSession, sf_dir: str, trees: int, **options) -> DataFrame:
+    """Every screened pair with all features."""
     stored = materialise(_offers(spark, sf_dir))
-    screened = screen.lift_screen(stored, MIN_SIDE)
-    strongest = screened.orderBy(F.desc("floors_gained_lift"), *KEYS).select(*KEYS).head()
-    return counterfactual_effect(stored, [tuple(strongest)] if strongest else [])
+    pairs = screen.lift_screen(stored, MIN_SIDE).select(*KEYS)
+    return _rounded(boosted_effects(stored, pairs, trees=trees, **options), "was_picked_effect")
 
 
 QUERIES: dict[str, Query] = {
@@ -376,6 +393,9 @@ QUERIES: dict[str, Query] = {
     "run_summary_joined": lambda s, d: run_summary(order_runs(s, d), _picks(s, d)),
     "tier_offers": lambda s, d: tier_offers(order_runs(s, d)),
     "tier_offers_joined": lambda s, d: tier_offers(order_runs(s, d), _picks(s, d)),
+    "run_summary_bucketed": lambda s, d: run_summary(*_bucketed(s, d)),
+    "tier_offers_bucketed": lambda s, d: tier_offers(*_bucketed(s, d)),
+    "stored_pairs": stored_pairs,
     "stored_tables": stored_tables,
     "lift_table": _lift,
     "csv_round_trip": csv_round_trip,
@@ -406,5 +426,6 @@ QUERIES: dict[str, Query] = {
     "convergence_breakdown": lambda s, d: report.convergence_breakdown(_separated(s, d)),
     "lift_against_effect": lift_against_effect,
     "counterfactual_flag_only": counterfactual_flag_only,
-    "counterfactual_effect": counterfactual,
+    "counterfactual_effect": lambda s, d: _boosted(s, d, trees=5),
+    "counterfactual_shallow": lambda s, d: _boosted(s, d, trees=2, depth=2),
 }
