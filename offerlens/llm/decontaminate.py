@@ -13,10 +13,9 @@ benchmark items, so a question asked with other numbers or names still matches.
 Only windows with at least three plain words are used, as others fit any text. Texts are told
 apart by 128 bits of hash, so copies are decided together, whatever their doc_ids.
 
-A copy in other letter case keeps its words, but not its names. With `recased` each window is also
-hashed with names as case-folded words, and an item has leaked if either form reaches 80 %. The
-pipeline stage does so; `contamination` by itself follows the statement of its query, which has
-names only.
+A copy in other letter case keeps its words, but not its names. So each window is also hashed with
+names as case-folded words, and an item has leaked if either form reaches 80 %. `recased=False`
+leaves the second form out.
 
 Defined results: null and empty texts hold no window and stay; items of fewer than five words, or
 without a window of three plain words, match nothing; rows and items may repeat; null ids are kept
@@ -122,7 +121,7 @@ def _item_windows(benchmark: DataFrame, recased: bool) -> DataFrame:
     return placed.filter(plain >= PLAIN_WORDS).withColumn("item", F.xxhash64("source", "folded"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, recased: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, recased: bool = True) -> DataFrame:
     """(key_1, key_2, item_id) of the texts that hold an item."""
     items = materialise(_item_windows(benchmark, recased))
     sizes = items.groupBy("item").agg(F.countDistinct("window").alias("size"))
@@ -176,7 +175,7 @@ def _consistent(
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, recased: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, recased: bool = True) -> DataFrame:
     """Per document: doc_id, n_items that its text holds, the smallest of them, and whether it stays."""
     by_text = leaks(docs, benchmark, recased).groupBy("key_1", "key_2").agg(
         F.count("*").alias("n"), F.min("item_id").alias("first_item")

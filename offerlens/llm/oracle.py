@@ -85,20 +85,23 @@ SELECT w.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles,
 FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
+# Each text has two forms: names are placeholders in one, and case-folded words in the other.
 _TYPED = r"""
-  SELECT {key}, w, list_transform(w, lambda x, i: CASE
+  SELECT {key}, folded, w, list_transform(w, lambda x, i: CASE
       WHEN regexp_matches(x, '^[0-9]') THEN '0'
       WHEN i > 1 AND regexp_matches(w[i - 1], '^[0-9]') AND list_contains(string_split('{units}', ' '), lower(x)) THEN '1'
+      WHEN folded THEN replace(lower(x), 'ß', 'ss')
       WHEN x <> lower(x) THEN '2' ELSE lower(x) END) AS t
-  FROM (SELECT DISTINCT {key}, regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,:/-][0-9]+)*|\p{{L}}[\p{{L}}\p{{M}}]*') AS w FROM {table})
+  FROM (SELECT DISTINCT {key}, regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,:/-][0-9]+)*|\p{{L}}[\p{{L}}\p{{M}}]*') AS w FROM {table}),
+    (VALUES (false), (true)) AS forms(folded)
 """
 
 
 def _windows(key: str, table: str) -> str:
     typed = _TYPED.format(key=key, table=table, units=" ".join(UNITS))
     return f"""
-  SELECT {key}, i, list_slice(t, i, i + 4) AS kinds, list_transform(list_slice(w, i, i + 4), lambda x: lower(x)) AS vals
-  FROM (SELECT {key}, w, t, unnest(range(1, len(t) - 3)) AS i FROM ({typed}) WHERE len(t) >= 5)
+  SELECT {key}, folded, i, list_slice(t, i, i + 4) AS kinds, list_transform(list_slice(w, i, i + 4), lambda x: lower(x)) AS vals
+  FROM (SELECT {key}, folded, w, t, unnest(range(1, len(t) - 3)) AS i FROM ({typed}) WHERE len(t) >= 5)
 """
 
 
@@ -107,21 +110,21 @@ WITH items AS (
   SELECT * FROM ({_windows("item_id", "benchmark")})
   WHERE len(list_filter(kinds, lambda x: x NOT IN ('0', '1', '2'))) >= 3
 ),
-sizes AS (SELECT item_id, count(DISTINCT kinds) AS size FROM items GROUP BY item_id),
+sizes AS (SELECT item_id, folded, count(DISTINCT kinds) AS size FROM items GROUP BY item_id, folded),
 aligned AS (
-  SELECT d.doc_id, b.item_id, d.i - b.i AS run, b.kinds, b.vals, d.vals AS own
-  FROM ({_windows("doc_id", "documents")}) d JOIN items b ON d.kinds = b.kinds
+  SELECT d.doc_id, b.item_id, b.folded, d.i - b.i AS run, b.kinds, b.vals, d.vals AS own
+  FROM ({_windows("doc_id", "documents")}) d JOIN items b ON d.kinds = b.kinds AND d.folded = b.folded
 ),
 slots AS (
-  SELECT DISTINCT doc_id, item_id, run, kinds[k] AS kind, vals[k] AS val, own[k] AS own
+  SELECT DISTINCT doc_id, item_id, folded, run, kinds[k] AS kind, vals[k] AS val, own[k] AS own
   FROM aligned, (SELECT unnest(range(1, 6)) AS k) WHERE kinds[k] IN ('0', '1', '2')
 ),
-broken AS (SELECT DISTINCT doc_id, item_id, run FROM slots GROUP BY doc_id, item_id, run, kind, val HAVING count(*) > 1),
+broken AS (SELECT DISTINCT doc_id, item_id, folded, run FROM slots GROUP BY doc_id, item_id, folded, run, kind, val HAVING count(*) > 1),
 leaks AS (
-  SELECT doc_id, item_id FROM aligned ANTI JOIN broken USING (doc_id, item_id, run) JOIN sizes USING (item_id)
-  GROUP BY doc_id, item_id, size HAVING 100 * count(DISTINCT kinds) >= 80 * size
+  SELECT doc_id, item_id, folded FROM aligned ANTI JOIN broken USING (doc_id, item_id, folded, run) JOIN sizes USING (item_id, folded)
+  GROUP BY doc_id, item_id, folded, size HAVING 100 * count(DISTINCT kinds) >= 80 * size
 ),
-by_doc AS (SELECT doc_id, count(*) AS n, min(item_id) AS first_item FROM leaks GROUP BY doc_id)
+by_doc AS (SELECT doc_id, count(DISTINCT item_id) AS n, min(item_id) AS first_item FROM leaks GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_items, first_item, n IS NULL AS kept
 FROM documents LEFT JOIN by_doc USING (doc_id)
 """
