@@ -28,10 +28,9 @@ from pyspark.sql import functions as F
 from offerlens.llm.perfect_hash import PerfectHash
 from offerlens.llm.text import Memo, slices
 
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 CHUNK_BYTES = 2 << 20
 
-_UNEVEN = re.compile(r"\A\s|\s\s|[^\S \n]|\s\Z")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -44,27 +43,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.whole = PerfectHash(ranks)
+        self.packed = {token: struct.pack("<I", rank) for token, rank in ranks.items()}
+        self.whole = PerfectHash(self.packed)
         self.pattern = regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
         # a word is merged once, whatever marks it comes with
-        self.pre_tokens = Memo(self._looked_up, REMEMBERED)
-        self.plain = Memo(self._packed, REMEMBERED // 4)
+        self.pre_tokens = Memo(self._looked_up, REMEMBERED // 4)
+        self.plain = Memo(self._packed, REMEMBERED // 8)
         self.spaced = Memo(lambda piece: self._packed(" " + piece), REMEMBERED)
         self.line_end = self._packed("\n")
 
     def _looked_up(self, pre_token: str) -> bytes:
         token = pre_token.encode()
-        rank = self.whole.get(token)
-        ids = self.merged(token) if rank is None else [rank]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self.whole.get(token) or self.merged(token)
 
     def _packed(self, piece: str) -> bytes:
         return b"".join(map(self.pre_tokens.__getitem__, self.pattern.findall(piece)))
 
-    def merged(self, token: bytes) -> list[int]:
+    def merged(self, token: bytes) -> bytes:
         """Join the adjacent parts of lowest rank, the leftmost first, until none can be joined."""
-        ranks, size = self.ranks, len(token)
+        ranks, packed, size = self.ranks, self.packed, len(token)
         after = list(range(1, size + 1))  # where the part that starts here ends; 0: joined away
         before = list(range(-1, size - 1))
         heap = []
@@ -91,15 +89,16 @@ class Encoder:
                     heapq.heappush(heap, (joined, previous, end))
         ids, start = [], 0
         while start < size:
-            ids.append(ranks[token[start : after[start]]])
+            ids.append(packed[token[start : after[start]]])
             start = after[start]
-        return ids
+        return b"".join(ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        if _UNEVEN.search(text):
+        flat = text.replace("\n", " ")
+        if flat.split() != flat.split(" "):  # white space that is not single spaces and line ends inside
             first, *rest = _SINGLE_SPACE.split(text)
             return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
         lines = []

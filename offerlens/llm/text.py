@@ -31,21 +31,27 @@ class Memo(dict):
     """Values of a pure function by key, with a bound on what stays in memory.
 
     Two generations: when the young one is full it becomes the old one, so keys in use survive.
+    Values of keys longer than `longest` are worked out each time, so the bytes are bounded too.
     """
 
-    def __init__(self, function, size: int):
+    def __init__(self, function, size: int, longest: int = 64):
         super().__init__()
-        self.function, self.size, self.old = function, size, {}
+        self.function, self.size, self.longest, self.old = function, size, longest, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.function(key)
+            if len(key) > self.longest:
+                return value
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 class WordHashes:

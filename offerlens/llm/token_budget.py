@@ -18,18 +18,20 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlens.llm.text import Memo
+from offerlens.llm.text import Memo, slices
 
-REMEMBERED = 200_000
+REMEMBERED = 300_000
+CHUNK_BYTES = 4 << 20
 BUDGET = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("fit_chars", T.LongType())])
 
 
@@ -56,7 +58,10 @@ class PrefixCounter:
         self.pattern = regex.compile(pattern)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.fit = Memo(self._fit, REMEMBERED)
-        self.words = Memo(self._word, REMEMBERED)
+        # the word worked out last, and for each of its prefixes the last token, the tokens, the token's size
+        self.path = "", [""], [0], [0]
+        self.words = Memo(self._word, REMEMBERED // 8)
+        self.ends = Memo(self._end, REMEMBERED)
         self.totals = Memo(self._total, 2 * REMEMBERED)
 
     def _fit(self, pair: tuple[str, str]) -> bool:
@@ -68,25 +73,33 @@ class PrefixCounter:
         """
         left, right = pair
         parts, ranks, limit = self.parts, self.ranks, len(self.ranks)
+        a, b = parts.get(left), parts.get(right)
         while True:
             if ranks.get((left, right), limit) < limit:
                 return False
-            a, b = parts.get(left), parts.get(right)
             if a is None and b is None:
                 return True
             if b is None or a is not None and a[2] > b[2]:
                 left, limit = a[1], a[2]
+                a = parts.get(left)
             else:
                 right, limit = b[0], b[2] + 1
+                b = parts.get(right)
 
-    def _word(self, letters: str) -> tuple[array, bytes, int]:
-        """For each prefix of a word its tokens and the length of its last one; the tokens of the word.
+    def _steps(self, letters: str) -> tuple[list[int], list[int]]:
+        """For each prefix of a word its tokens and the length of its last one.
 
         The prefixes are open: the word goes on after them. `closed` gives their tokens as ends.
+        What the word shares with the one before is taken from there, so words in order and
+        prefixes in turn cost their new letters only.
         """
         vocabulary, fit, longest = self.open, self.fit, self.longest
-        last, counts, sizes = [""], [0], [0]
-        for i in range(1, len(letters) + 1):
+        before, last, counts, sizes = self.path
+        same = _shared(before, letters)
+        for steps in (last, counts, sizes):
+            del steps[same + 1 :]
+        self.path = letters, last, counts, sizes
+        for i in range(same + 1, len(letters) + 1):
             for j in range(max(0, i - longest), i):
                 token = letters[j:i]
                 if token in vocabulary and (not j or fit[last[j], token]):
@@ -94,10 +107,18 @@ class PrefixCounter:
                     counts.append(counts[j] + 1)
                     sizes.append(i - j)
                     break
-        table = array("i", counts), bytes(sizes)
-        return *table, self._closed(letters, *table, len(letters))
+        return counts, sizes
 
-    def _closed(self, letters: str, counts: array, sizes: bytes, i: int) -> int:
+    def _end(self, letters: str) -> int:
+        """Tokens of a whole word."""
+        return self._closed(letters, *self._steps(letters), len(letters))
+
+    def _word(self, letters: str) -> tuple[array, bytes]:
+        """`_steps` in a form that lasts."""
+        counts, sizes = self._steps(letters)
+        return array("i", counts), bytes(sizes)
+
+    def _closed(self, letters: str, counts: Sequence[int], sizes: Sequence[int], i: int) -> int:
         """Tokens of the first i letters as if the word ended there."""
         for j in range(max(0, i - self.longest), i):
             token = self.closing.get(letters[j:i])
@@ -107,7 +128,7 @@ class PrefixCounter:
 
     def closed(self, letters: str) -> list[int]:
         """Tokens of each prefix of a word as if the word ended there."""
-        counts, sizes, _ = self.words[letters]
+        counts, sizes = self.words[letters]
         return [self._closed(letters, counts, sizes, i) for i in range(len(letters) + 1)]
 
     def _letters(self, word: str) -> str:
@@ -120,18 +141,44 @@ class PrefixCounter:
         """Tokens of a piece as a whole text, special strings included."""
         if self.special and (found := len(self.special.findall(piece))):
             return found + sum(self._total(part) for part in self.special.split(piece))
+        return sum(map(self.ends.__getitem__, self._cut(piece)))
+
+    def _cut(self, piece: str) -> list[str]:
+        """The words of a piece without special strings, a letter for each byte."""
         normal = piece if piece.isascii() else unicodedata.normalize("NFC", piece)
-        return sum([self.words[self._letters(word)][2] for word in self.pattern.findall(_lower(normal))])
+        return list(map(self._letters, self.pattern.findall(_lower(normal))))
 
     def table(self, piece: str) -> array:
-        """Tokens of each prefix, by code points, of a piece without spaces and line ends."""
+        """Tokens of each prefix, by code points, of a piece without spaces and line ends.
+
+        A special string ends what stands before it; until it is whole it is plain text.
+        """
+        counts, before, at = array("i", [0]), 0, 0
+        for match in self.special.finditer(piece) if self.special else ():
+            counts.extend([before + n for n in self._plain_table(piece[at : match.start()])[1:]])
+            counts.extend([before + self._total(piece[at:i]) for i in range(match.start() + 1, match.end())])
+            before += self._total(piece[at : match.end()])
+            counts.append(before)
+            at = match.end()
+        counts.extend([before + n for n in self._plain_table(piece[at:])[1:]])
+        return counts
+
+    def _plain_table(self, piece: str) -> array:
+        """`table` without special strings: parts that are changed by normal forms are taken apart."""
+        if not _changed(piece):
+            return self._even_table(piece)
+        counts, before = array("i", [0]), 0
+        for part in _parts(piece):
+            if _changed(part):
+                added = [self._total(part[:i]) for i in range(1, len(part) + 1)]
+            else:
+                added = self._even_table(part)[1:]
+            counts.extend([before + n for n in added])
+            before = counts[-1]
+        return counts
+
+    def _even_table(self, piece: str) -> array:
         lowered = _lower(piece)
-        if not piece.isascii() and (
-            unicodedata.normalize("NFC", piece) != piece
-            or len(lowered) != len(piece)
-            or any(map(unicodedata.combining, piece))
-        ) or self.special and self.special.search(piece):
-            return array("i", [self._total(piece[:i]) for i in range(len(piece) + 1)])
         counts, before = array("i", bytes(4 * (len(piece) + 1))), 0
         at = 0
         for match in self.pattern.finditer(lowered):
@@ -153,6 +200,22 @@ class PrefixCounter:
             counts[i] = before
         return counts
 
+    def learn(self, texts: list[str]) -> None:
+        """Work out the new pieces of these texts, their words in order so that prefixes are shared."""
+        unseen = set()
+        for text in texts:
+            unseen.update(text.replace("\n", " ").split(" "))
+        totals, ends = self.totals, self.ends
+        cuts = {
+            piece: self._cut(piece)
+            for piece in unseen
+            if piece not in totals and piece not in totals.old and len(piece) <= totals.longest
+            and not (self.special and self.special.search(piece))
+        }
+        tokens = {letters: ends[letters] for letters in sorted({letters for cut in cuts.values() for letters in cut})}
+        for piece, cut in cuts.items():
+            totals.keep(piece, sum([tokens[letters] for letters in cut]))
+
     def count(self, text: str) -> int:
         return sum(map(self.totals.__getitem__, text.replace("\n", " ").split(" ")))
 
@@ -182,6 +245,50 @@ class PrefixCounter:
         return found
 
 
+def _shared(one: str, other: str) -> int:
+    """Letters at the start that two words have in common."""
+    size = min(len(one), len(other))
+    if one[:size] == other[:size]:
+        return size
+    return next(i for i in range(size) if one[i] != other[i])
+
+
+def _changed(piece: str) -> bool:
+    """Whether normal forms or lower case may count another number of code points in a piece or a prefix."""
+    return not piece.isascii() and (
+        unicodedata.normalize("NFC", piece) != piece
+        or len(_lower(piece)) != len(piece)
+        or any(map(unicodedata.combining, piece))
+    )
+
+
+def _kind(letter: str) -> str:
+    """What the word pattern tells apart: letters, numbers, and all else."""
+    return category if (category := unicodedata.category(letter)[0]) in "LN" else "-"
+
+
+def _joins(letter: str) -> bool:
+    """Whether a code point may become one with those before it: marks and the parts of syllables."""
+    return unicodedata.category(letter)[0] == "M" or "\u1100" <= letter <= "\u11ff" or letter >= "\U00016d63"
+
+
+def _parts(piece: str) -> Iterator[str]:
+    """Cuts where neither a normal form nor a word goes on, so tokens of the parts add up.
+
+    There a code point that joins nothing before it follows one of another kind in normal form. No
+    cut follows an apostrophe, which may begin a word of letters.
+    """
+    start = base = 0
+    for i in range(1, len(piece)):
+        if not _joins(piece[i]):
+            end = _lower(unicodedata.normalize("NFC", piece[base:i]))[-1]
+            if end != "'" and _kind(end) != _kind(_lower(unicodedata.normalize("NFC", piece[i]))[0]):
+                yield piece[start:i]
+                start = i
+            base = i
+    yield piece[start:]
+
+
 def _lower(text: str) -> str:
     """Each character by itself, as the tokenizer does; a final sigma has no form of its own."""
     return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
@@ -209,9 +316,15 @@ def budget(text: Column, path: str, limit: int) -> Column:
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = _counter(*settings)
         for batch in batches:
-            texts = [text or "" for text in batch.to_pylist()]
-            totals = [counter.count(text) for text in texts]
-            fits = [len(t) if n <= limit else counter.fit_chars(t, limit) for t, n in zip(texts, totals)]
+            totals, fits = [], []
+            sizes = pc.fill_null(pc.binary_length(batch), 0).to_pylist()
+            for rows in slices(sizes, CHUNK_BYTES):
+                texts = [text or "" for text in batch.slice(rows.start, rows.stop - rows.start).to_pylist()]
+                counter.learn(texts)
+                for text in texts:
+                    n = counter.count(text)
+                    totals.append(n)
+                    fits.append(len(text) if n <= limit else counter.fit_chars(text, limit))
             yield pa.StructArray.from_arrays([pa.array(totals, pa.int64()), pa.array(fits, pa.int64())], ["n_tokens", "fit_chars"])
 
     return F.arrow_udf(counted, BUDGET)(text)

@@ -73,6 +73,8 @@ def test_memory_for_pieces_is_bounded():
     memo = Memo(len, 10)
     assert [memo["x" * (i % 37)] for i in range(500)] == [i % 37 for i in range(500)]
     assert len(memo) <= 10 and len(memo.old) <= 10
+    brief = Memo(len, 10, longest=5)
+    assert [brief["x" * i] for i in range(9)] == list(range(9)) and max(map(len, brief)) == 5
 
 
 @MANY
@@ -85,6 +87,25 @@ def test_counts_equal_the_library_at_every_prefix(counter, word_library, text):
         assert counter.fit_chars(text, limit) == max(i for i, n in enumerate(expected) if n <= limit)
 
 
+def test_pieces_without_spaces_take_linear_time(counter, word_library):
+    """Marks, decomposed letters and special strings in one long piece: prefixes add up over its parts."""
+    unspaced = ["ภาษาไทยเป็นภาษาที่มีวรรณยุกต์" * 4, "éa´1" * 9, "ab<|endoftext|>cd<|endof" * 3, "—" * 60, "가각ᆨ" * 5]
+    for text in unspaced:
+        expected = [len(word_library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+        assert list(counter.table(text)) == expected
+    long = "ภาษาไทยเป็นภาษาที่มีวรรณยุกต์" * 1000
+    parts = list(token_budget._parts(long))
+    assert "".join(parts) == long and max(map(len, parts)) < 20
+    assert counter.prefixes(long)[-1] == len(word_library.encode(long, add_special_tokens=False).ids)
+
+
+def test_batches_learn_what_single_texts_give(word_library):
+    texts = ["the cat sat, the cats", "", "cat\ncatalogue don't <|endoftext|>x", "éa ภาษา " + "x" * 100]
+    learned = token_budget.PrefixCounter(*token_budget.read_settings(WORDS))
+    learned.learn(texts)
+    assert [learned.count(t) for t in texts] == [len(word_library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_odd_rows_of_both_tables(spark, library, word_library):
     rows = odd_texts()
     df = documents(spark, rows, clashing=True)
