@@ -2,9 +2,11 @@
 
 A page is cut into blocks at block-level tags. The first pass decides what is clear: blocks in
 containers for menus, headers, footers, adverts, comments and the like, or made of links, are
-boilerplate; blocks in an article, or long ones with many stop words, are text. Blocks that are
-short or otherwise ambiguous stay open, and the second pass gives them the label of the nearest
-decided neighbours.
+boilerplate; very long blocks, and long ones with many stop words, are text. An article container
+lowers the length from which a block is text, but decides none by itself. Blocks that are short or
+otherwise ambiguous stay open, and the second pass gives them the label of the nearest decided
+neighbours: nearest in the tree of containers, then in page order. Where an article holds no
+decided block at all, its open blocks are text.
 
 Defined results: a null, empty or textless html gives an empty text; tags left open end with the
 page, but for raw elements like svg or iframe, which without an end tag are their start tag alone;
@@ -68,6 +70,7 @@ class Rules:
 
     short: int = 70
     long: int = 100
+    very_long: int = 200
     links: float = 0.34
     stop_words: float = 0.15
 
@@ -77,22 +80,23 @@ class Block:
     text: str
     linked: int
     boilerplate: bool
-    article: bool
     heading: bool
+    article: int  # depth of the article container around it, 0 for none
+    low: int  # least depth of open containers since the block before
 
 
 class _Page:
     """Keeps the open containers while the tags of a page go by."""
 
     def __init__(self):
-        self.open: list[tuple[str, bool, bool, bool]] = []  # name, boilerplate, article, choices
+        self.open: list[tuple[str, bool, int, bool]] = []  # name, boilerplate, depth of the article, choices
         self.blocks: list[Block] = []
         self.parts: list[str] = []
-        self.linked = self.links = self.breaks = 0
+        self.linked = self.links = self.breaks = self.low = 0
         self.heading = False
 
-    def state(self) -> tuple[bool, bool]:
-        return self.open[-1][1:3] if self.open else (False, False)
+    def state(self) -> tuple[bool, int]:
+        return self.open[-1][1:3] if self.open else (False, 0)
 
     def choices(self) -> bool:
         return bool(self.open) and self.open[-1][3]
@@ -101,7 +105,8 @@ class _Page:
         text = " ".join("".join(self.parts).split())
         if text:
             boilerplate, article = self.state()
-            self.blocks.append(Block(text, self.linked, boilerplate, article, self.heading))
+            self.blocks.append(Block(text, self.linked, boilerplate, self.heading, article, self.low))
+            self.low = len(self.open)
         self.parts, self.linked, self.breaks = [], 0, 0
 
     def text(self, raw: str) -> None:
@@ -132,16 +137,18 @@ class _Page:
         if not end:
             if not attrs.endswith("/"):
                 boilerplate, article = self.state()
-                named = self.boilerplate(name, attrs, article)
+                named = self.boilerplate(name, attrs, article > 0)
                 if named and name == "span":
                     self.flush()
-                self.open.append((name, boilerplate or named, not named and (article or name in ("article", "main")), name in CHOICES or self.choices()))
+                inside = len(self.open) + 1 if name in ("article", "main") else article
+                self.open.append((name, boilerplate or named, 0 if named else inside, name in CHOICES or self.choices()))
             return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == name:
                 if name == "span" and self.open[i][1] != (self.open[i - 1][1] if i else False):
                     self.flush()
                 del self.open[i:]
+                self.low = min(self.low, i)
                 break
 
     @staticmethod
@@ -178,46 +185,66 @@ def first_pass(block: Block, rules: Rules) -> bool | None:
     letters = len(block.text.replace(" ", ""))
     if block.boilerplate or block.linked > rules.links * letters:
         return False
-    if block.article:
+    if block.text.startswith("©") and not block.article:
+        return False
+    if len(block.text) >= rules.very_long:
         return True
     if len(block.text) < rules.short or block.heading:
         return None
     words = block.text.lower().split()
     density = sum(word.strip(".,;:!?\"'()") in STOP_WORDS for word in words) / len(words)
-    if len(block.text) >= rules.long and density >= rules.stop_words:
+    if density >= rules.stop_words and (block.article or len(block.text) >= rules.long):
         return True
-    if "©" in block.text and density < rules.stop_words:
+    if "©" in block.text and density < rules.stop_words and not block.article:
         return False
     return None
 
 
-def second_pass(labels: list[bool | None], headings: list[bool]) -> list[bool]:
+def _decided_before(labels: list[bool | None], lows: list[int]) -> list[tuple[int, int] | None]:
+    """Per block the place of the last decided one before it, and the depth of the container around both."""
+    found, last = [], None
+    for i, label in enumerate(labels):
+        if last is not None:
+            last = (last[0], min(last[1], lows[i]))
+        found.append(last)
+        if label is not None:
+            last = (i, 1 << 30)
+    return found
+
+
+def second_pass(labels: list[bool | None], found: list[Block]) -> list[bool]:
     """Open blocks take the label of the nearer decided neighbour; of two as near, text wins.
 
-    A heading belongs to what follows it, if anything decided does.
+    The neighbour with the deeper common container is the nearer one, then that of fewer blocks
+    between. A heading belongs to what follows it, unless that is in another container. Inside an
+    article only neighbours in the article count, and boilerplate only where a container of its own
+    holds both; where none counts, the block is text.
     """
     size = len(labels)
-    before, after = [None] * size, [None] * size
-    last = None
-    for i, label in enumerate(labels):
-        last = i if label is not None else last
-        before[i] = last
-    last = None
-    for i in range(size - 1, -1, -1):
-        last = i if labels[i] is not None else last
-        after[i] = last
+    before = _decided_before(labels, [block.low for block in found])
+    # seen from the end, the step from a block to the next is the one that led to the next
+    lows = [0, *(block.low for block in reversed(found))][:size]
+    after = [side and (size - 1 - side[0], side[1]) for side in reversed(_decided_before(labels[::-1], lows))]
     decided = []
-    for i, label in enumerate(labels):
-        sides = (after[i],) if headings[i] and after[i] is not None else (before[i], after[i])
-        near = [j for j in sides if j is not None]
+    for i, (label, block) in enumerate(zip(labels, found)):
+        if label is not None:
+            decided.append(label)
+            continue
+        sides = [side for side in (before[i], after[i]) if side]
+        if block.article:
+            sides = [(j, depth) for j, depth in sides if depth >= block.article + (not labels[j])]
+        deepest = max((depth for _, depth in sides), default=0)
+        near = [j for j, depth in sides if depth == deepest]
+        if block.heading and near and near[-1] > i:
+            near = near[-1:]
         least = min((abs(j - i) for j in near), default=0)
-        decided.append(any(labels[j] for j in near if abs(j - i) == least) if label is None else label)
+        decided.append(any(labels[j] for j in near if abs(j - i) == least) or bool(block.article and not near))
     return decided
 
 
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
     found = blocks(page or "")
-    labels = second_pass([first_pass(block, rules) for block in found], [block.heading for block in found])
+    labels = second_pass([first_pass(block, rules) for block in found], found)
     return "\n".join(block.text for block, keep in zip(found, labels) if keep)
 
 

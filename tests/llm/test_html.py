@@ -1,6 +1,8 @@
+import random
+
 from llm.tables import shown
 
-from offerlens.llm.html_text import main_text, page_texts
+from offerlens.llm.html_text import Rules, blocks, first_pass, main_text, page_texts, second_pass
 
 LONG = "The storm reached the coast in the early hours of the morning, and it was the worst that the town had seen for many years, said the mayor."
 MORE = "It is not clear when the harbour will open again, as the boats that were lost are still in the way of those who want to go out to sea."
@@ -70,3 +72,63 @@ def test_odd_rows(spark):
     got = shown(page_texts(df), "page_id", "url", "text", "n_chars")
     assert got == sorted([(1, "u", LONG, len(LONG)), (2, None, "", 0), (None, "v", "", 0), (1, "u", LONG, len(LONG))], key=repr)
     assert page_texts(df.limit(0)).count() == 0
+
+
+def plain(rows):
+    """The second pass by comparing the container paths of all blocks. Rows: path, article depth, heading, label."""
+    out = []
+    for i, (path, article, heading, label) in enumerate(rows):
+        if label is not None:
+            out.append(label)
+            continue
+        sides = []
+        for order in (range(i - 1, -1, -1), range(i + 1, len(rows))):
+            j = next((j for j in order if rows[j][3] is not None), None)
+            if j is not None:
+                common = 0
+                while common < min(len(path), len(rows[j][0])) and path[common] == rows[j][0][common]:
+                    common += 1
+                if not article or common > article or common == article and rows[j][3]:
+                    sides.append((common, j))
+        near = [j for common, j in sides if common == max(c for c, _ in sides)]
+        if heading and near and near[-1] > i:
+            near = [near[-1]]
+        near = [j for j in near if abs(j - i) == min(abs(k - i) for k in near)]
+        out.append(any(rows[j][3] for j in near) or (article > 0 and not near))
+    return out
+
+
+def test_second_pass_equals_comparing_all_blocks():
+    rng = random.Random(4)
+    kinds = [(f"<p>{LONG}</p>", False, True), ('<p><a href="/">More of this</a></p>', False, False), ("<p>Yes.</p>", False, None), ("<h2>Why</h2>", True, None)]
+    open_blocks = 0
+    for _ in range(300):
+        rows, numbers = [], iter(range(10_000))
+
+        def grown(path, article):
+            html = ""
+            for _ in range(rng.randrange(1, 5)):
+                if len(path) < 5 and rng.random() < 0.4:
+                    tag = "article" if not article and rng.random() < 0.2 else "div"
+                    own = (*path, next(numbers))
+                    html += f"<{tag}>{grown(own, len(own) if tag == 'article' else article)}</{tag}>"
+                else:
+                    markup, heading, label = rng.choices(kinds, (2, 2, 4, 1))[0]
+                    rows.append((path, article, heading, label))
+                    html += markup
+            return html
+
+        found = blocks(grown((), 0))
+        labels = [first_pass(block, Rules()) for block in found]
+        assert labels == [row[3] for row in rows]
+        assert second_pass(labels, found) == plain(rows)
+        open_blocks += labels.count(None)
+    assert open_blocks > 500
+
+
+def test_containers_are_near_and_an_article_without_long_blocks_stays():
+    links = "<ul>" + '<li><a href="/x">Another story</a></li>' * 3 + "</ul>"
+    html = f"<body><div><p>{LONG}</p><p>One.</p><p>Two.</p><p>Three.</p></div>{links}<div><p>Imprint</p>{links}</div></body>"
+    assert main_text(html) == f"{LONG}\nOne.\nTwo.\nThree."
+    assert main_text(f"<body>{links}<article><h1>Title</h1><p>Short.</p></article>{links}</body>") == "Title\nShort."
+    assert main_text(f"<body>{links}<article><p>Short.</p>{links}<p>End.</p></article></body>") == "Short.\nEnd."
