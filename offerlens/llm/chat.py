@@ -41,8 +41,8 @@ def prefixes(turns: DataFrame) -> DataFrame:
     brief = turns.select(
         F.col("conv_id").alias("conv_id"), "turn", "role", _hash(1, text).alias("text_1"), _hash(2, text).alias("text_2")
     )
-    # one exchange serves the removal of repeated rows and the windows
-    unique = brief.repartition("conv_id").distinct()
+    # repeated rows are made one per task, then dealt by all columns, so that no conversation gathers its copies
+    unique = brief.distinct()
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text_1", "text_2")
     placed = unique.select(
         "*", F.row_number().over(order).alias("n"), F.lead(F.lit(False), 1, True).over(order).alias("whole")
