@@ -1,7 +1,7 @@
 """Near duplicates: circulant MinHash, banding, and exact Jaccard similarity of whole shingle sets.
 
 1. Every text becomes its set of word shingles. Documents with equal sets are one class, stood for
-   by its smallest doc_id, before anything else is done.
+   by its smallest doc_id, before anything else is done; repeated rows count once from there on.
 2. Two permutations of the 64-bit numbers give all signature coordinates: the first spreads the
    set, the second is shifted circularly by one more place for each coordinate (C-MinHash).
    Bands of coordinates are bucket keys.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.llm.components import connected_components
-from offerlens.llm.text import WordHashes, encoded, mix, shingle_hashes
+from offerlens.llm.text import WordHashes, drop_model, encoded, mix, shingle_hashes
 from offerlens.sources.scratch import materialise
 
 SPREAD, PERMUTE = np.uint64(0x8BADF00D5EED1234), np.uint64(0x1234DEADBEEF4321)
@@ -78,40 +78,51 @@ def _shingled(batch: pa.RecordBatch, width: int, hashes: WordHashes) -> Iterator
 
 def _sketches(docs: DataFrame, sketch: Sketch) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         hashes = WordHashes()
         for batch in batches:
-            sizes, keys, bands = [], [], []
+            sizes, keys, bands, signatures = [], [], [], []
             for shingles in _shingled(batch, sketch.width, hashes):
                 sizes.append(len(shingles))
                 keys.append(xxhash.xxh128_digest(shingles.tobytes()))
-                found = band_keys(signature(shingles, sketch.bands * sketch.rows), sketch)
+                signs = signature(shingles, sketch.bands * sketch.rows)
+                found = band_keys(signs, sketch)
                 bands.append(found if len(shingles) else found[:0])
+                signatures.append(signs.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "bands"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
+                ["doc_id", "n_shingles", "set_key", "bands", "signature"],
             )
 
-    schema = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"
+    schema = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, signature binary"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(of, schema)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, sketch: Sketch) -> DataFrame:
-    """Whole shingle sets and signatures of the named documents."""
+    """Whole shingle sets of the named documents, stored; rows of equal sets and ids once."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         hashes = WordHashes()
         for batch in batches:
-            sets = list(_shingled(batch, sketch.width, hashes))
-            signatures = [signature(s, sketch.bands * sketch.rows).tobytes() for s in sets]
+            sets = [s.tobytes() for s in _shingled(batch, sketch.width, hashes)]
+            keys = [xxhash.xxh128_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(signatures, pa.binary())],
-                ["rep", "size", "shingles", "signature"],
+                [batch.column("rep"), pa.array(keys, pa.binary()), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary())],
+                ["rep", "set_key", "size", "shingles"],
             )
 
     # the number of ids is known, so a broadcast is bounded; more of them are joined by a shuffle
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    return texts.mapInArrow(of, "rep bigint, size bigint, shingles binary, signature binary")
+    sets = materialise(texts.mapInArrow(of, "rep bigint, set_key binary, size bigint, shingles binary"))
+    # only the sets of repeated rows are shuffled to make them one
+    key = ["rep", "set_key"]
+    repeated = materialise(sets.groupBy(*key).count().filter("count > 1").select(*key))
+    if repeated.isEmpty():
+        return sets
+    once = sets.join(repeated, key, "left_semi").dropDuplicates(key)
+    return materialise(sets.join(repeated, key, "left_anti").union(once.select(*sets.columns)))
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -146,7 +157,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return possible.filter(F.arrow_udf(alike, "boolean")("a_set", "b_set")).select("a", "b")
 
 
-def _in_blocks(members: DataFrame, sets: DataFrame, sketch: Sketch) -> DataFrame:
+def _in_blocks(members: DataFrame, sets: DataFrame, signatures: DataFrame, sketch: Sketch) -> DataFrame:
     """Links between members of different components of one bucket.
 
     `members` has key, band, rep, component. Members of the bucket's largest component need no
@@ -159,7 +170,8 @@ def _in_blocks(members: DataFrame, sets: DataFrame, sketch: Sketch) -> DataFrame
     largest = (
         counts.join(largest, "key").filter("count = most").groupBy("key").agg(F.min("component").alias("main"))
     )
-    rows = materialise(members.join(largest, "key").join(sets, "rep"))
+    signed = sets.join(signatures, ["rep", "set_key"]).drop("set_key")
+    rows = materialise(members.join(largest, "key").join(signed, "rep"))
     outside = F.col("component") != F.col("main")
     blocks = rows.groupBy("key").agg(
         F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("all_blocks"),
@@ -203,7 +215,8 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
     sketches = materialise(_sketches(docs, sketch))
     filled = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialise(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    reps = filled.join(classes, "set_key").filter("doc_id = rep")
+    # repeated rows of a representative count once
+    reps = filled.join(classes, "set_key").filter("doc_id = rep").drop("doc_id").dropDuplicates(["rep", "set_key"])
     buckets = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     centres = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     members = materialise(buckets.join(centres.filter("low <> high"), "key").distinct())
@@ -213,12 +226,12 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
         .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
         .distinct()
     )
-    sets = materialise(_sets(docs, members.select("rep").distinct(), sketch))
+    sets = _sets(docs, members.select("rep").distinct(), sketch)
     links = materialise(_confirmed(pairs, sets, sketch.percent))
     found = connected_components(links)
     named = members.select("key", "band", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.withColumn("component", F.coalesce("component", "rep"))
-    more = materialise(_in_blocks(named, sets, sketch))
+    more = materialise(_in_blocks(named, sets, reps.select("rep", "set_key", "signature"), sketch))
     if not more.isEmpty():
         found = connected_components(links.union(more))
     labels = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(

@@ -85,3 +85,27 @@ def test_star_steps_reach_chains_and_hubs(spark):
     labels = {r.node: r.component for r in got.collect()}
     assert labels == {i: 100 for i in range(100, 161)} | {1: 1} | {i: 1 for i in range(200, 260)}
     assert got.count() == len(labels)
+
+
+def test_repeated_rows_are_one_set(spark):
+    """What is compared does not grow with the repeats of a row."""
+    rng = random.Random(9)
+    base = words(rng, 120)
+    pair = [(1, " ".join(base)), (2, " ".join(base[:-2]))]
+    got = {}
+    for repeats in (1, 100):
+        df = documents(spark, pair * repeats).repartition(5)
+        ids = spark.createDataFrame([(1,), (2,)], "rep bigint")
+        got[repeats] = shown(near_dup._sets(df, ids, near_dup.Sketch()), "rep", "size")
+        found = near_dup.near_duplicates(df)
+        assert found.count() == 2 * repeats
+        assert shown(found.distinct(), *COLUMNS) == [(1, 118, 1, True), (2, 116, 1, False)]
+    assert got[1] == got[100] == [(1, 118), (2, 116)]
+
+
+def test_a_doc_id_with_two_texts_links_by_either(spark):
+    rng = random.Random(10)
+    one, two = words(rng, 90), words(rng, 90)
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(one[:-2])), (3, " ".join(two[2:]))]
+    got = near_dup.near_duplicates(documents(spark, rows))
+    assert {r.component_id for r in got.collect()} == {1}
