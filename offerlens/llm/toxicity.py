@@ -5,8 +5,10 @@ text. With the class prior p, the risk of calling text clean is estimated as the
 text minus p times that loss on toxic examples; where this estimate falls below zero, which it
 cannot in truth, the step goes up its slope instead (the non-negative correction).
 
-Several classifiers are trained side by side, each in one Spark task on its own bounded sample,
-and their weights are averaged. Only the samples are bounded: every text is scored whole.
+Unlabelled text is all training text, labelled or not, as the estimate of the risk takes it to be
+a picture of the whole. Features are chosen by their counts over all of it. Several classifiers are
+trained side by side, each in one Spark task on its own bounded sample, and their weights are
+averaged. Only these samples are bounded: every text is counted and scored whole.
 
 Defined results: null and empty texts have no words and get the score of the intercept; where no
 toxic example is known every score is the class prior; rows without a doc_id are scored, and never
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.text import Memo, encoded
+from offerlens.llm.text import Memo, drop_model, encoded
 from offerlens.sources.scratch import materialise
 
 MARKS = b".,;:!?\"'()[]{}*#$%&|<>-_=+/\\"
@@ -33,8 +35,8 @@ MARKS = b".,;:!?\"'()[]{}*#$%&|<>-_=+/\\"
 class Learning:
     """`toxic` bounds the toxic examples, which all classifiers share, `unlabelled` each one's own other texts.
 
-    A feature takes part if at least `least` toxic examples have it and its shares among toxic and
-    unlabelled texts differ by `deviations` standard errors.
+    A feature takes part if at least `least` toxic examples have it and its shares among toxic
+    examples and among all training texts differ by `deviations` standard errors.
     """
 
     classifiers: int = 4
@@ -98,18 +100,32 @@ def train(toxic: np.ndarray, unlabelled: np.ndarray, prior: float, learning: Lea
     return theta[:-1], float(low)
 
 
-def _telling(toxic: list[np.ndarray], free: list[np.ndarray], learning: Learning) -> np.ndarray:
-    """Features whose shares differ between the two samples by more than chance."""
-    features, a = np.unique(np.concatenate(toxic), return_counts=True)
-    features, a = features[a >= learning.least], a[a >= learning.least]
-    others, n = np.unique(np.concatenate(free), return_counts=True)
-    b = np.zeros(len(features))
-    _, mine, theirs = np.intersect1d(features, others, assume_unique=True, return_indices=True)
-    b[mine] = n[theirs]
-    share = (a + b + 1) / (len(toxic) + len(free) + 2)
-    error = np.sqrt(share * (1 - share) * (1 / len(toxic) + 1 / len(free)))
-    apart = np.abs(a / len(toxic) - b / len(free)) >= learning.deviations * error
-    return features[apart]
+def _telling(toxic: dict[int, int], n_toxic: int, free: dict[int, int], n_free: int, deviations: float) -> np.ndarray:
+    """Features, sorted, whose shares differ between the two sides by more than chance; counts by feature."""
+    features = np.array(sorted(toxic), np.int64)
+    a, b = (np.array([counts.get(x, 0) for x in features.tolist()], float) for counts in (toxic, free))
+    share = (a + b + 1) / (n_toxic + n_free + 2)
+    error = np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_free))
+    return features[np.abs(a / n_toxic - b / n_free) >= deviations * error]
+
+
+def _document_counts(docs: DataFrame, features: frozenset[int]) -> dict[int, int]:
+    """In how many texts each of the features is, and at -1 the number of texts; added up per task first."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
+        feature, counts = word_features(), dict.fromkeys(features, 0) | {-1: 0}
+        for batch in batches:
+            for text in encoded(batch.column("text")):
+                counts[-1] += 1
+                for found in features.intersection({feature[word] for word in set(text.lower().split())}):
+                    counts[found] += 1
+        seen = {x: n for x, n in counts.items() if n}
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
+
+    parts = docs.select("text").mapInArrow(counted, "feature bigint, n bigint")
+    # no more rows than features
+    return {row["feature"]: row["n"] for row in parts.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
 
 
 def _dense(rows: list[np.ndarray], features: np.ndarray) -> np.ndarray:
@@ -129,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, learning: Learning
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
     prior_row = known.agg(F.avg(F.col("toxic").cast("int"))).first()[0]
     prior = min(max(prior_row or 0.0, 1e-4), 0.5)
-    free = docs.filter(training).select(F.col("doc_id").cast("bigint").alias("doc_id")).join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_anti")
+    learnt = docs.filter(training & F.col("doc_id").isNotNull())
+    free = learnt.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
 
     def sampled(ids: DataFrame, size: int, toxic: bool) -> DataFrame:
         order = F.xxhash64("doc_id", F.lit(int(toxic)))
@@ -144,6 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, learning: Learning
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         feature = word_features()
         for batch in batches:
             found = [words_of(text, feature) for text in encoded(batch.column("text"))]
@@ -154,12 +172,22 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, learning: Learning
 
     samples = materialise(texts.mapInArrow(featured, "doc_id bigint, classifiers array<bigint>, is_toxic boolean, found array<bigint>"))
 
+    examples = samples.filter("is_toxic")
+    n_toxic = examples.count()
+    common = examples.select(F.explode("found").alias("feature")).groupBy("feature").count().filter(F.col("count") >= learning.least)
+    # bounded by the words of the toxic sample, each in `least` of its texts
+    in_toxic = {row["feature"]: row["count"] for row in common.collect()}
+    telling = np.zeros(0, np.int64)
+    if n_toxic:
+        everywhere = _document_counts(learnt, frozenset(in_toxic))
+        telling = _telling(in_toxic, n_toxic, everywhere, everywhere[-1], learning.deviations)
+
     def trained(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["is_toxic", "doc_id"])
         toxic, free = ([np.asarray(x, np.int64) for x in rows["found"][rows["is_toxic"] == flag]] for flag in (True, False))
         features, weights, intercept = np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior)))
         if toxic and free:
-            features = _telling(toxic, free, learning)
+            features = telling
             weights, intercept = train(_dense(toxic, features), _dense(free, features), prior, learning)
         return pd.DataFrame({"feature": np.append(features, -1), "weight": np.append(weights, intercept)})
 
@@ -178,6 +206,7 @@ def score(text: Column, weights: dict[int, float], intercept: float) -> Column:
     """The probability that a text is toxic."""
 
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_model()
         feature = word_features()
         weight = Memo(lambda word: (feature[word], weights[feature[word]]) if feature[word] in weights else (), 50_000)
         for batch in batches:

@@ -70,3 +70,23 @@ def test_the_risk_is_corrected_where_it_falls_below_zero():
     weights, intercept = tox.train(toxic, free, 0.3, tox.Learning())
     assert np.all(np.isfinite(weights)) and weights[0] > 2 > abs(weights[1])
     assert abs(tox.sigmoid(free @ weights + intercept).mean() - 0.3) < 1e-6
+
+
+def test_counts_of_features_cover_all_training_text(spark):
+    rows, _, _ = world(200)
+    word = tox.word_features()
+    wanted = {word[w.encode()] for w in BAD}
+    got = tox._document_counts(documents(spark, rows + odd_texts()).repartition(7), frozenset(wanted))
+    plain = {-1: len(rows) + len(odd_texts())}
+    for _, text in rows + odd_texts():
+        for feature in wanted.intersection(tox.words_of((text or "").encode(), tox.word_features())):
+            plain[feature] = plain.get(feature, 0) + 1
+    assert got == plain and len(got) == len(BAD) + 1
+
+
+def test_every_text_labelled(spark):
+    """Without a row that has no label, all training text still is the unlabelled side."""
+    rows, _, truth = world(500)
+    got = tox.toxicity(documents(spark, rows), labelled(spark, [(i, 1, t) for i, t in truth.items()])).collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held)
