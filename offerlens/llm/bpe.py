@@ -16,7 +16,6 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.llm.perfect_hash import PerfectHash
-from offerlens.llm.text import Memo, slices
+from offerlens.llm.text import Memo, kept_model, slices
 
 REMEMBERED = 400_000
 CHUNK_BYTES = 2 << 20
@@ -111,10 +110,9 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(2)
 def _encoder(ranks: tuple[bytes, ...], pattern: str) -> Encoder:
     """One per Python worker: tasks that follow find the pieces that earlier ones looked up."""
-    return Encoder({token: rank for rank, token in enumerate(ranks)}, pattern)
+    return kept_model(("byte pairs", ranks, pattern), lambda: Encoder({token: rank for rank, token in enumerate(ranks)}, pattern))
 
 
 def byte_pairs(docs: DataFrame, path: str, pattern: str) -> DataFrame:

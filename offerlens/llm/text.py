@@ -1,6 +1,9 @@
 """Words, chunks and word hashes that several operators share."""
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,31 @@ class Memo(dict):
         self[key] = value
 
 
+_model: dict[Hashable, Any] = {}
+
+
+def kept_model(key: Hashable, make: Callable[[], Any]) -> Any:
+    """A model that stays in this Python worker for the tasks that follow, until another one comes."""
+    if key not in _model:
+        drop_model()
+        _model[key] = make()
+    return _model[key]
+
+
+def drop_model() -> None:
+    """For tasks of operators that keep no model: give back the memory of the operators before them.
+
+    Python workers outlive a stage, so without this each would hold what all earlier stages kept.
+    """
+    if _model:
+        _model.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 class WordHashes:
     """64-bit hashes of words, the same in every task."""
 

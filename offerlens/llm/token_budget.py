@@ -19,7 +19,6 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlens.llm.text import Memo, slices
+from offerlens.llm.text import Memo, kept_model, slices
 
 REMEMBERED = 300_000
 CHUNK_BYTES = 4 << 20
@@ -294,9 +293,8 @@ def _lower(text: str) -> str:
     return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
 
 
-@lru_cache(2)
 def _counter(*settings) -> PrefixCounter:
-    return PrefixCounter(*settings)
+    return kept_model(("prefix counts", *settings), lambda: PrefixCounter(*settings))
 
 
 def read_settings(path: str) -> tuple:
