@@ -7,12 +7,12 @@ from offerlens.llm import near_dup
 from offerlens.llm.components import connected_components
 
 
-def plain(rows):
+def plain(rows, width=3, percent=85):
     """Components by all pairs."""
     sets, ids = [], []
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        found = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+        found = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
         sets.append(found)
         ids.append(i)
     label = {i: i for i in ids if i is not None}
@@ -24,7 +24,7 @@ def plain(rows):
                 x, y = ids[a], ids[b]
                 if None in (x, y) or not sets[a] or not sets[b] or label[x] == label[y]:
                     continue
-                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                     label[x] = label[y] = min(label[x], label[y])
                     changed = True
     return [(i, len(s), label[i] if i is not None else None, i is None or label[i] == i) for i, s in zip(ids, sets)]
@@ -109,3 +109,13 @@ def test_a_doc_id_with_two_texts_links_by_either(spark):
     rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(one[:-2])), (3, " ".join(two[2:]))]
     got = near_dup.near_duplicates(documents(spark, rows))
     assert {r.component_id for r in got.collect()} == {1}
+
+
+def test_the_pipeline_s_rule_equals_all_pairs(spark):
+    """Five words and 80 percent."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = family(rng, 100, 25, 90) + family(rng, 300, 8, 300) + odd_texts()
+    got = shown(near_dup.near_duplicates(documents(spark, rows), corpus_pipeline.NEAR), *COLUMNS)
+    assert got == sorted(plain(rows, 5, 80), key=repr)

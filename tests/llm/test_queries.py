@@ -111,7 +111,7 @@ def test_pipeline_equals_its_plain_stages(spark, tables, library):
     plain = {
         "toxicity": lambda rows: [i for i, _ in rows if not scores[i]],
         "quality": lambda rows: [i for i, t in rows if test_repetition.plain(t)[-1]],
-        "near_duplicates": lambda rows: [i for i, _, _, kept in test_near_dup.plain(rows) if kept],
+        "near_duplicates": lambda rows: [i for i, _, _, kept in test_near_dup.plain(rows, 5, 80) if kept],
         "benchmark_leaks": lambda rows: [r[0] for r in test_decontaminate.plain(rows, tables["benchmark"]) if r[3]],
     }
     names = [name for name, _ in corpus_pipeline.STAGES]
