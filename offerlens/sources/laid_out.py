@@ -13,6 +13,8 @@ GROUP, NAME = KEYS
 PART = "name_part"
 #: Folders per group over which its names are dealt.
 PARTS = 16
+#: Least number of buckets of a table.
+BUCKETS = 16
 
 
 def _part(name: Column) -> Column:
@@ -51,12 +53,14 @@ def load_pairs(spark: SparkSession, path: str, pairs: list[tuple[str, str]]) ->
     return restrict_to_pairs(wanted, exact).drop(PART)
 
 
-def save_bucketed(rows: DataFrame, table: str, path: str, key: str = "play_id", buckets: int = 16) -> DataFrame:
+def save_bucketed(rows: DataFrame, table: str, path: str, key: str = "play_id", buckets: int | None = None) -> DataFrame:
     """Store rows as a catalog table at `path`, dealt into buckets of the key and sorted by it.
 
-    Tables with equal buckets of one key are joined and aggregated by it without a shuffle. At
-    scale there should be as many buckets as shuffle partitions.
+    Tables with equal buckets of one key are joined and aggregated by it without a shuffle. There are
+    as many buckets as shuffle partitions, `BUCKETS` at least, as one task sorts a bucket.
     """
+    if buckets is None:
+        buckets = max(BUCKETS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(buckets, key)
     dealt.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
     return rows.sparkSession.table(table)

@@ -78,3 +78,20 @@ def test_joins_of_bucketed_tables_move_no_rows(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE bucketed_runs")
         spark.sql("DROP TABLE bucketed_picks")
+
+
+def test_a_table_has_as_many_buckets_as_a_shuffle_has_partitions(spark, tmp_path):
+    rows = spark.range(100).selectExpr("string(id) AS play_id")
+    set_before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for partitions in (4, 24):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            stored = save_bucketed(rows, f"dealt_{partitions}", str(tmp_path / f"dealt_{partitions}"))
+            described = spark.sql(f"DESCRIBE EXTENDED dealt_{partitions}").filter("col_name = 'Num Buckets'").first()
+            found.append((int(described.data_type), stored.count()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", set_before)
+        for partitions in (4, 24):
+            spark.sql(f"DROP TABLE IF EXISTS dealt_{partitions}")
+    assert found == [(16, 100), (24, 100)]
