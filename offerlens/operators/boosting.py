@@ -55,15 +55,21 @@ def binned_cells(rows: DataFrame, features: tuple[str, ...], outcome: str, by: t
     return counted.groupBy(*by, array).agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))
 
 
-def _walked(bins: Column, depth: int) -> Column:
-    """The node that a row of bins ends in after `depth` steps down the splits of its group."""
+def _walked(cells: DataFrame, forms: dict[str, Column], depth: int) -> DataFrame:
+    """Cells with, by name, the node that each array of bins ends in after `depth` steps down the splits of its group.
 
-    def step(node: Column, _: Column) -> Column:
-        split = F.element_at("splits", node)
-        right = F.element_at(bins, split["feature"] + 1) > split["bin"]
-        return F.when(split.isNull(), node).otherwise(2 * node + right.cast("int"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step) if depth else F.lit(1)
+    A step is two plain columns: they are compiled, which functions over arrays are not.
+    """
+    walked = cells.withColumns({name: F.lit(1) for name in forms} | {f"_bins_{name}": bins for name, bins in forms.items()})
+    for _ in range(depth):
+        walked = walked.withColumns({f"_split_{name}": F.element_at("splits", F.col(name)) for name in forms})
+        steps = {}
+        for name in forms:
+            split, node = F.col(f"_split_{name}"), F.col(name)
+            right = F.element_at(F.col(f"_bins_{name}"), split["feature"] + 1) > split["bin"]
+            steps[name] = F.when(split.isNull(), node).otherwise(2 * node + right.cast("int"))
+        walked = walked.withColumns(steps)
+    return walked.drop(*(f"_{kind}_{name}" for kind in ("bins", "split") for name in forms))
 
 
 def _grown(levels: list[DataFrame], by: tuple[str, ...]) -> DataFrame:
@@ -87,7 +93,7 @@ def _level(cells: DataFrame, levels: list[DataFrame], by: tuple[str, ...], flag:
     """Value and best split, if any, of every node of the next level. `feature` is NULL without a split."""
     depth = len(levels)
     if depth:
-        cells = cells.join(_grown(levels, by), list(by)).withColumn("node", _walked(F.col("bins"), depth)).filter(F.col("node") >= 1 << depth)
+        cells = _walked(cells.join(_grown(levels, by), list(by)), {"node": F.col("bins")}, depth).filter(F.col("node") >= 1 << depth)
     else:
         cells = cells.withColumn("node", F.lit(1))
     spread = cells.select(*by, "node", "n", (F.col("n") * (F.col("mean") - F.col("f"))).alias("g"), F.posexplode("bins").alias("feature", "bin"))
@@ -132,10 +138,10 @@ def boosted(
         for _ in range(depth):
             levels.append(materialise(_level(state, levels, by, flag, min_leaf)))
         share = 2 * rate if tree else 1.0
-        joined = state.join(_grown(levels, by), list(by))
-        after = {name: F.col(name) + share * F.element_at("node_values", _walked(bins, depth)) for name, bins in forms.items()}
+        joined = _walked(state.join(_grown(levels, by), list(by)), {f"_node_{name}": bins for name, bins in forms.items()}, depth)
+        after = {name: F.col(name) + share * F.element_at("node_values", F.col(f"_node_{name}")) for name in forms}
         after["flag_count"] = F.col("flag_count") + F.col("flag_splits")
-        state = materialise(joined.withColumns(after).drop("splits", "node_values", "flag_splits"))
+        state = materialise(joined.withColumns(after).select(state.columns))
     return state
 
 

@@ -77,3 +77,22 @@ def test_odd_input(spark, offers):
     nulls = always.union(always.limit(40).withColumn("floor", F.lit(None).cast("int")))
     [row] = boosting.boosted_effects(nulls, trees=2, depth=2).collect()
     assert (row.n, row.error, row.was_picked_effect, row.was_picked_importance) == (250, None, 0.0, 0)
+
+
+def test_cells_are_walked_down_the_splits_by_compiled_columns(spark):
+    splits = {1: (0, 2), 2: (1, 0), 3: (1, 5), 5: (0, 0)}
+    rows = [([a, b], splits) for a in range(5) for b in range(8)] + [([1, 1], {})]
+    cells = spark.createDataFrame(rows, "bins array<int>, splits map<int, struct<feature: int, bin: int>>")
+    walked = boosting._walked(cells, {"node": F.col("bins"), "_other": F.array(F.lit(4), F.element_at("bins", 2))}, 3)
+    assert walked.columns == ["bins", "splits", "node", "_other"]
+    assert "lambda" not in walked._jdf.queryExecution().optimizedPlan().toString()
+
+    def node(bins, known):
+        at = 1
+        for _ in range(3):
+            if at in known:
+                at = 2 * at + int(bins[known[at][0]] > known[at][1])
+        return at
+
+    for row in walked.collect():
+        assert (row["node"], row["_other"]) == (node(row.bins, row.splits), node([4, row.bins[1]], row.splits))
