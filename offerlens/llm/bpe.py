@@ -45,11 +45,11 @@ class Encoder:
         self.packed = {token: struct.pack("<I", rank) for token, rank in ranks.items()}
         self.whole = PerfectHash(self.packed)
         self.pattern = regex.compile(pattern)
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.tokens = sorted(ranks, key=ranks.__getitem__)
         # a word is merged once, whatever marks it comes with
         self.pre_tokens = Memo(self._looked_up, REMEMBERED // 4)
         self.plain = Memo(self._packed, REMEMBERED // 8)
-        self.spaced = Memo(lambda piece: self._packed(" " + piece), REMEMBERED)
+        self.spaced = Memo(lambda piece: self._packed(" " + piece), REMEMBERED * 3 // 4)
         self.line_end = self._packed("\n")
 
     def _looked_up(self, pre_token: str) -> bytes:

@@ -14,3 +14,11 @@ def test_a_worker_keeps_one_model():
     assert not text._model
     text.drop_model()
     assert text.kept_model("a", make("a")) is not first and made == ["a", "b", "a"]
+
+
+def test_a_first_model_too_gives_back_what_earlier_operators_left(monkeypatch):
+    given = []
+    monkeypatch.setattr(text, "_model", {})
+    monkeypatch.setattr(text, "_give_back", lambda: given.append(len(text._model)))
+    assert [text.kept_model(key, lambda: key.upper()) for key in ("a", "a", "b")] == ["A", "A", "B"]
+    assert given == [0, 0] and text._model == {"b": "B"}
