@@ -90,26 +90,28 @@ def _statistics(
     """Gradient, information matrix and log-likelihood per group at its coefficients.
 
     The state has one row per group. Sums are combined before the shuffle, so a group of any size
-    sends one row per task.
+    sends one row per task. Only numbers are aggregated, as an array among the results would have
+    every step sort all cells; the state joins the sums again afterwards.
     """
     design = _design(features)
-    scored = counted.join(state, list(by)).withColumn("eta", _eta(features))
+    scored = counted.join(state.select(*by, "beta"), list(by)).withColumn("eta", _eta(features))
     scored = scored.withColumn("p", 1 / (1 + F.exp(-F.col("eta"))))
     n, wins, eta, p = (F.col(name) for name in ("n", "wins", "eta", "p"))
+    scored = scored.withColumns({"_residual": wins - n * p, "_weight": n * p * (1 - p)})
     softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-    return scored.groupBy(*by).agg(
-        *[F.first(name).alias(name) for name in ("beta", "scale", "least")],
+    products = list(combinations_with_replacement(design, 2))
+    sums = scored.groupBy(*by).agg(
         F.sum("n").alias("n"),
         F.sum("wins").alias("wins"),
-        F.array(*[F.sum((wins - n * p) * x) for x in design]).alias("gradient"),
-        F.array(
-            *[
-                F.sum(n * p * (1 - p) * x * y)
-                for x, y in combinations_with_replacement(design, 2)
-            ]
-        ).alias("information"),
+        *[F.sum(F.col("_residual") * x).alias(f"_gradient{i}") for i, x in enumerate(design)],
+        *[F.sum(F.col("_weight") * x * y).alias(f"_information{i}") for i, (x, y) in enumerate(products)],
         F.sum(wins * eta - n * softplus).alias("log_lik"),
     )
+    arrays = [
+        F.array(*[f"_{name}{i}" for i in range(size)]).alias(name)
+        for name, size in (("gradient", len(design)), ("information", len(products)))
+    ]
+    return sums.select(*by, "n", "wins", *arrays, "log_lik").join(state, list(by))
 
 
 def _square(upper: np.ndarray, width: int) -> np.ndarray:
@@ -175,7 +177,8 @@ def _fit(
         F.lit(None).cast("array<double>").alias("scale"),
         F.lit(None).cast("double").alias("least"),
     ]
-    active = counted.select(*by).distinct().select(*by, *start)
+    # stored, so that its size is known and the first step moves no cells either
+    active = materialise(counted.select(*by).distinct()).select(*by, *start)
     ended = []
     for taken in range(1, newton.MAX_STEPS + 1):
         sums = _statistics(counted, active.select(*by, "beta", "scale", "least"), by, features)

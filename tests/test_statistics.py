@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import newton
 from offerlens.functions.scalars import base_name, correlation
-from offerlens.operators import counterfactual as cf
+from offerlens.operators import counterfactual as cf, logit
 from offerlens.operators.auc import auc_by_group
 from offerlens.operators.checks import check_offers, check_picks, check_runs
 from offerlens.operators.describe import describe, describe_exact
@@ -358,6 +358,23 @@ def test_a_fit_leaves_only_its_result(fitted, spark, monkeypatch, tmp_path):
     assert got.count() == 1
 
 
+def test_a_step_neither_sorts_nor_moves_cells(spark):
+    rows = model_input(spark.createDataFrame(offer_rows("A", 40, 1) + offer_rows("B", 40, 2), OFFER))
+    counted = logit.cells(rows, KEYS, FEATURES, "victory")
+    start = [F.array_repeat(F.lit(0.0), 6).alias("beta"), F.lit(None).cast("array<double>").alias("scale"), F.lit(1.0).alias("least")]
+    state = counted.select(*KEYS).distinct().select(*KEYS, *start)
+    sums = logit._statistics(counted, state, KEYS, FEATURES)
+    assert "SortAggregate" not in sums._jdf.queryExecution().executedPlan().toString()
+    for row in sums.collect():
+        own = counted.filter(F.col("card_name") == row.card_name).collect()
+        signs = [r.wins - r.n / 2 for r in own]
+        design = [[1.0, *(r[name] for name in FEATURES)] for r in own]
+        assert row.gradient == pytest.approx(list(np.array(design).T @ signs))
+        weighted = np.array(design).T @ (np.array(design) * np.array([[r.n / 4] for r in own]))
+        assert row.information == pytest.approx(list(weighted[np.triu_indices(6)]))
+        assert (row.n, row.wins, row.beta, row.scale, row.least) == (40, sum(r.wins for r in own), [0.0] * 6, None, 1.0)
+
+
 def test_effects_by_another_group_key(fitted):
     offers, _ = fitted
     by = ("character_chosen", "ascension_level")

@@ -66,6 +66,15 @@ def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offers.offers(_picks(spark, sf_dir))
 
 
+def _stored_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What screens and models read of the offers, written once for both."""
+    return materialise(
+        _offers(spark, sf_dir).select(
+            *KEYS, "was_picked", "victory", "floors_gained", "floor", "current_hp", "max_hp", "relic_count", "ascension_level"
+        )
+    )
+
+
 def _lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.lift_table(_offers(spark, sf_dir))
 
@@ -286,7 +295,7 @@ def ordered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lift_against_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = materialise(_offers(spark, sf_dir))
+    stored = _stored_offers(spark, sf_dir)
     compared = report.lift_against_effect(
         screen.lift_screen(stored, MIN_SIDE), effect_models(stored, native_share=NATIVE_SHARE)
     )
@@ -301,7 +310,7 @@ def lift_against_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def counterfactual_flag_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the flag as the only feature the trees give the difference of two means."""
-    stored = materialise(_offers(spark, sf_dir))
+    stored = _stored_offers(spark, sf_dir)
     pairs = screened_pairs(stored, MIN_SIDE)
     effects = counterfactual_effect(stored, pairs, features=("was_picked",), trees=2)
     return _rounded(effects.drop("was_picked_importance"), "was_picked_effect")
@@ -351,7 +360,7 @@ def _key_hashes(rows: DataFrame, name: str) -> DataFrame:
 
 def _boosted(spark: SparkSession, sf_dir: str, trees: int, **options) -> DataFrame:
     """Every screened pair with all features."""
-    stored = materialise(_offers(spark, sf_dir))
+    stored = _stored_offers(spark, sf_dir)
     pairs = screen.lift_screen(stored, MIN_SIDE).select(*KEYS)
     return _rounded(boosted_effects(stored, pairs, trees=trees, **options), "was_picked_effect")
 
