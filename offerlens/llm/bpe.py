@@ -40,16 +40,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
         self.ranks = ranks
         self.packed = {token: struct.pack("<I", rank) for token, rank in ranks.items()}
         self.whole = PerfectHash(self.packed)
         self.pattern = regex.compile(pattern)
         self.tokens = sorted(ranks, key=ranks.__getitem__)
         # a word is merged once, whatever marks it comes with
-        self.pre_tokens = Memo(self._looked_up, REMEMBERED // 4)
-        self.plain = Memo(self._packed, REMEMBERED // 8)
-        self.spaced = Memo(lambda piece: self._packed(" " + piece), REMEMBERED * 3 // 4)
+        self.pre_tokens = Memo(self._looked_up, remembered // 4)
+        self.plain = Memo(self._packed, remembered // 8)
+        self.spaced = Memo(lambda piece: self._packed(" " + piece), remembered * 3 // 4)
         self.line_end = self._packed("\n")
 
     def _looked_up(self, pre_token: str) -> bytes:
@@ -110,17 +110,19 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _encoder(ranks: tuple[bytes, ...], pattern: str) -> Encoder:
+def _encoder(ranks: tuple[bytes, ...], pattern: str, remembered: int) -> Encoder:
     """One per Python worker: tasks that follow find the pieces that earlier ones looked up."""
-    return kept_model(("byte pairs", ranks, pattern), lambda: Encoder({token: rank for rank, token in enumerate(ranks)}, pattern))
+    key = ("byte pairs", ranks, pattern, remembered)
+    return kept_model(key, lambda: Encoder({token: rank for rank, token in enumerate(ranks)}, pattern, remembered))
 
 
-def byte_pairs(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def byte_pairs(docs: DataFrame, path: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
     """Per document: doc_id, n_tokens, ids (packed), decoded (the bytes that they stand for).
 
     The vocabulary file is read by the driver and goes out with the function, so only the driver
     needs it; its size does not depend on the data. Results leave a task in batches of bounded
-    size, as ids take more room than their text.
+    size, as ids take more room than their text. A worker remembers the ids of `remembered` pieces,
+    which is a matter of time and memory only.
     """
     ranks = read_ranks(path)
     if sorted(ranks.values()) != list(range(len(ranks))):
@@ -128,7 +130,7 @@ def byte_pairs(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     tokens = tuple(sorted(ranks, key=ranks.__getitem__))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokens, pattern)
+        encoder = _encoder(tokens, pattern, remembered)
         for batch in batches:
             texts = batch.column("text")
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.llm.components import connected_components
-from offerlens.llm.text import WordHashes, drop_model, encoded, mix, shingle_hashes
+from offerlens.llm.text import WordHashes, encoded, leaves_nothing, mix, shingle_hashes
 from offerlens.sources.scratch import materialise
 
 SPREAD, PERMUTE = np.uint64(0x8BADF00D5EED1234), np.uint64(0x1234DEADBEEF4321)
@@ -77,8 +77,8 @@ def _shingled(batch: pa.RecordBatch, width: int, hashes: WordHashes) -> Iterator
 
 
 def _sketches(docs: DataFrame, sketch: Sketch) -> DataFrame:
+    @leaves_nothing
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_model()
         hashes = WordHashes()
         for batch in batches:
             sizes, keys, bands, signatures = [], [], [], []
@@ -101,8 +101,8 @@ def _sketches(docs: DataFrame, sketch: Sketch) -> DataFrame:
 def _sets(docs: DataFrame, ids: DataFrame, sketch: Sketch) -> DataFrame:
     """Whole shingle sets of the named documents, stored; rows of equal sets and ids once."""
 
+    @leaves_nothing
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_model()
         hashes = WordHashes()
         for batch in batches:
             sets = [s.tobytes() for s in _shingled(batch, sketch.width, hashes)]
@@ -137,6 +137,7 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike."""
 
+    @leaves_nothing
     def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
             yield pa.array(

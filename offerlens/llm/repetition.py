@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlens.llm.text import WHITE_SPACE, drop_model, encoded, slices
+from offerlens.llm.text import WHITE_SPACE, encoded, leaves_nothing, slices
 
 SYMBOLS = b"#*$%&|<>"
 BASE_WINDOW = 3
@@ -147,8 +147,8 @@ def _profiles(texts: list[bytes], min_words: int) -> tuple:
 def profile(text: Column, min_words: int = Limits.min_words) -> Column:
     """The counts and spans of repeats of each text, as one struct."""
 
+    @leaves_nothing
     def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        drop_model()
         names = PROFILE.fieldNames()
         kinds = [pa.int64()] * 7 + [pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))]
         empty = pa.StructArray.from_arrays([pa.array([], kind) for kind in kinds], names)

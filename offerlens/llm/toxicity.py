@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.llm.text import Memo, drop_model, encoded
+from offerlens.llm.text import Memo, encoded, leaves_nothing
 from offerlens.sources.scratch import materialise
 
 MARKS = b".,;:!?\"'()[]{}*#$%&|<>-_=+/\\"
@@ -112,8 +112,8 @@ def _telling(toxic: dict[int, int], n_toxic: int, free: dict[int, int], n_free:
 def _document_counts(docs: DataFrame, features: frozenset[int]) -> dict[int, int]:
     """In how many texts each of the features is, and at -1 the number of texts; added up per task first."""
 
+    @leaves_nothing
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_model()
         feature, counts = word_features(), dict.fromkeys(features, 0) | {-1: 0}
         for batch in batches:
             for text in encoded(batch.column("text")):
@@ -160,8 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, learning: Learning
     )
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")
 
+    @leaves_nothing
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_model()
         feature = word_features()
         for batch in batches:
             found = [words_of(text, feature) for text in encoded(batch.column("text"))]
@@ -205,8 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, learning: Learning
 def score(text: Column, weights: dict[int, float], intercept: float) -> Column:
     """The probability that a text is toxic."""
 
+    @leaves_nothing
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        drop_model()
         feature = word_features()
         weight = Memo(lambda word: (feature[word], weights[feature[word]]) if feature[word] in weights else (), 50_000)
         for batch in batches:

@@ -54,6 +54,14 @@ def test_byte_pairs_equal_the_library_and_go_back(encoder, library, text):
     assert encoder.decode(packed) == text.encode()
 
 
+def test_a_small_memory_gives_the_same_ids(library):
+    small = bpe.Encoder(bpe.read_ranks(RANKS), public.PATTERN, 16)
+    for i in range(40):
+        text = f"w{i} the cat{i}, x{i}y\nsat " * 3
+        assert ids(small.encode(text)) == library.encode_ordinary(text)
+    assert all(len(memo) <= 12 and len(memo.old) <= 12 for memo in (small.pre_tokens, small.plain, small.spaced))
+
+
 def test_merges_of_whole_words_and_long_runs(encoder, library):
     for text in ("a" * 3000, "ab" * 2000, "!?" * 999, "\n" * 50, " " * 77 + "x"):
         assert ids(encoder.encode(text)) == library.encode_ordinary(text)
