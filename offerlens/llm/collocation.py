@@ -3,22 +3,25 @@
 Counts of all phrases of two to `longest` words that occur `least` times or more, per language, and
 of their parts:
 
-1. Vertical partitioning. Words, pairs of frequent words, and three words in two frequent pairs
-   are counted by hash, in a scan each. A pair is a prefix if it fits the memory budget of a group;
-   more frequent ones are continued to three words, these by another scan to four, and so on.
-   Infrequent prefixes are dropped with all that they start, and a sequence ends where its next
-   pair or three words are infrequent: no phrase is more frequent than its parts.
-2. Prefixes are packed into groups of the budget, by slots of their hash.
-3. Each position whose prefix has a group sends the words from there on, `longest` at most. Equal
-   sequences are combined per task.
-4. Each group sorts its word sequences into a suffix tree cut at that depth, apart from all others.
+1. Words are counted. Frequent ones have a number of `bits` bits, and the texts are stored once as
+   runs of these numbers; see `Numbering`.
+2. Vertical partitioning. Pairs of frequent words, and longer runs whose parts without the last and
+   without the first word are frequent, are counted by hash, in a scan of the runs for each length
+   below `longest`. A pair is a prefix if it fits the memory budget of a group; more frequent ones
+   are continued to three words, and so on. Infrequent prefixes are dropped with all that they start.
+3. Prefixes are packed into groups of the budget, by slots of their hash.
+4. Each position whose prefix has a group sends the words from there on, as far as they are
+   frequent. Equal sequences are combined per task.
+5. Each group sorts its word sequences into a suffix tree cut at that depth, apart from all others.
    Leaves have the totals of equal sequences; a node's count is the sum of its leaves.
 
-Counts come from the trees alone, by words, so they are exact; two prefixes of one hash would only
-make more sequences travel. What is sent to every task is bounded: the bits of frequent prefixes,
-in a table of fixed size whose false positives do no more than that either; the hashes of prefixes
-beyond the budget, tokens / budget of each length at most; the slots. The budget grows with the
-corpus beyond 10**6 groups' worth of tokens.
+Words are counted by their text and a pair's hash is a bijection of its two numbers, so the counts of
+step 1 and 2 are exact for them: neither is sent to the trees, which hold what has three words or
+more. Those counts come from the trees alone, by numbers, so they are exact too; two prefixes of one
+hash would only make more sequences travel. What is sent to every task is bounded: the bits of
+frequent prefixes, in a table of fixed size whose false positives do no more than that either; the
+hashes of prefixes beyond the budget, tokens / budget of each length at most; the slots; the words
+whose number is not their hash's. The budget grows with the corpus beyond 10**6 groups' worth of tokens.
 
 Phrases are then scored by their weakest cut, and those inside a longer candidate that is as
 frequent are dropped; see `collocations`.
@@ -34,13 +37,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.llm.text import encoded, mix, slices
+from offerlens.llm.text import encoded, mix, slices, unmix
 from offerlens.sources.scratch import materialise
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -53,7 +55,9 @@ LANE_BITS = 20
 CHUNK_BYTES = 1 << 20
 #: Words from which on a task forgets them, sequences and prefixes from which on it hands them on.
 KNOWN, COMBINED, COUNTED = 300_000, 500_000, 2_000_000
-NODES = "lang string, phrase string, n_words int, f bigint"
+#: Numbers in a stored row of runs, but for a longer run.
+ROW = 2048
+NODES = "codes array<bigint>, f bigint"
 
 
 @dataclass(frozen=True)
@@ -62,12 +66,38 @@ class Phrases:
     least: int = 100
     #: Sequences that a group holds at most; it grows where a corpus would need more than 10**6 groups.
     budget: int = 200_000
+    #: Of a word's number, 32 at most; fewer make more words share one.
+    bits: int = 32
+
+
+@dataclass
+class Numbering:
+    """Numbers of the frequent words: the first bits of their hashes.
+
+    Words whose number another word has too, or is below `reserved`, are numbered from 1 if they are
+    frequent, else 0. So no two frequent words have one number, and none has that of another word.
+    """
+
+    bits: int = 32
+    shared: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
+    special: dict[tuple[str, bytes], int] = field(default_factory=dict)
+
+    @property
+    def reserved(self) -> int:
+        return 1 << self.bits - self.bits // 4
+
+    def of(self, lang: str, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        codes = (hashes >> np.uint64(64 - self.bits)).astype(np.uint32)
+        for i in np.flatnonzero((codes < self.reserved) | np.isin(codes, self.shared)).tolist():
+            codes[i] = self.special.get((lang, words[i]), 0)
+        return codes
 
 
 @dataclass
 class Partition:
-    """What tasks know of the prefixes."""
+    """What tasks know of the words and prefixes."""
 
+    numbering: Numbering
     frequent: np.ndarray = field(default_factory=lambda: np.zeros(1 << LANE_BITS, np.uint64))
     #: By length, the sorted hashes of prefixes beyond the budget.
     hot: dict[int, np.ndarray] = field(default_factory=dict)
@@ -103,22 +133,18 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[
 
 
 def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang.encode()))
+    """As Spark's xxhash64 of both."""
+    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang.encode(), 42))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, hash, n): rows without a language count the words of a hash, rows without a hash all words of a language."""
+    """(lang, word, n) of all words."""
 
     def rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, own in counts.items():
             own.pop(BREAK, None)
-            hashes = np.fromiter((word_hash(lang, word) for word in own), np.uint64, len(own))
-            columns = [
-                pa.array([None] * len(own) + [lang], pa.string()),
-                pa.array([*hashes.view(np.int64).tolist(), None], pa.int64()),
-                pa.array([*own.values(), own.total()], pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "hash", "n"])
+            columns = [pa.array([lang] * len(own), pa.string()), pa.array(own, pa.binary()).cast(pa.string()), pa.array(own.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -129,106 +155,122 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 counts.clear()
         yield from rows(counts)
 
-    parts = docs.mapInArrow(counted, "lang string, hash bigint, n bigint")
-    return parts.groupBy("lang", "hash").agg(F.sum("n").alias("n"))
+    parts = docs.mapInArrow(counted, "lang string, word string, n bigint")
+    return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def numbered(words: DataFrame, phrases: Phrases) -> tuple[DataFrame, Numbering]:
+    """(lang, word, n, hash, code) of the frequent words, and how tasks number them."""
+    spark = words.sparkSession
+    numbering = Numbering(phrases.bits)
+    hashed = words.withColumn("hash", F.xxhash64("lang", "word"))
+    hashed = hashed.withColumn("code", F.shiftrightunsigned("hash", 64 - phrases.bits))
+    frequent = hashed.filter(F.col("n") >= phrases.least)
+    of_code = hashed.groupBy("code").agg(F.count("*").alias("words"), F.max("n").alias("n"))
+    shared = of_code.filter((F.col("words") > 1) & (F.col("n") >= phrases.least)).select("code").toArrow()
+    numbering.shared = np.sort(shared.column("code").to_numpy().astype(np.uint32))
+    is_shared = F.broadcast(spark.createDataFrame(shared).withColumn("is_shared", F.lit(True)))
+    is_special = F.col("is_shared").isNotNull() | (F.col("code") < numbering.reserved)
+    special = frequent.join(is_shared, "code", "left").filter(is_special).orderBy("lang", "word").select("lang", "word").toArrow()
+    if len(special) >= numbering.reserved:
+        raise ValueError("so many words need numbers of more bits")
+    special = special.append_column("own", pa.array(range(1, len(special) + 1), pa.int64()))
+    numbering.special = {(row["lang"], row["word"].encode()): row["own"] for row in special.to_pylist()}
+    own = frequent.join(F.broadcast(spark.createDataFrame(special)), ["lang", "word"], "left")
+    return own.select("lang", "word", "n", "hash", F.coalesce("own", "code").alias("code")), numbering
+
+
+def coded(docs: DataFrame, partition: Broadcast) -> DataFrame:
+    """(codes): runs of two frequent words or more as 32-bit numbers, each run closed by a 0."""
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Partition = partition.value
+        by_lang: dict[str, dict[bytes, int]] = {}
+        for lang, words in _by_language(batches):
+            own = by_lang.setdefault(lang, {BREAK: 0})
+            new = [word for word in set(words) if word not in own]
+            if new:
+                hashes = np.fromiter((word_hash(lang, word) for word in new), np.uint64, len(new))
+                own |= dict.fromkeys(new, 0)
+                kept = np.flatnonzero(known.is_frequent(hashes))
+                new = [new[i] for i in kept.tolist()]
+                own |= zip(new, known.numbering.of(lang, new, hashes[kept]).tolist())
+            codes = np.fromiter(map(own.__getitem__, words), np.uint32, len(words))
+            if sum(map(len, by_lang.values())) > KNOWN:
+                by_lang.clear()
+            inside = np.zeros(len(codes), bool)
+            pairs = (codes[:-1] > 0) & (codes[1:] > 0)
+            inside[:-1] |= pairs
+            inside[1:] |= pairs
+            closes = np.append(False, inside[:-1]) & ~inside
+            codes = np.where(inside, codes, np.uint32(0))[inside | closes]
+            ends = np.flatnonzero(codes == 0)
+            ends = ends[np.append(ends[1:] // ROW > ends[:-1] // ROW, True)[: len(ends)]] + 1
+            rows = [codes[start:end].tobytes() for start, end in zip([0, *ends.tolist()], ends.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["codes"])
+
+    return docs.mapInArrow(found, "codes binary")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The numbers of many rows at a time, in bounded memory but for a single long run."""
+    for batch in batches:
+        rows = batch.column("codes").to_pylist()
+        for part in slices([len(row) for row in rows], 4 * CHUNK_BYTES):
+            yield np.frombuffer(b"".join(rows[part]), np.uint32).astype(np.uint64)
 
-class Numbers:
-    """Numbers of the frequent words of a task."""
 
-    def __init__(self, partition: Partition):
-        self.partition = partition
-        self.forget()
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first << np.uint64(32) | second)
 
-    def forget(self) -> None:
-        self.by_lang: dict[str, dict[bytes, int]] = {}
-        self.words: list[bytes] = [b""]
-        self.langs: list[str] = [""]
-        self.hashes = np.zeros(1, np.uint64)
 
-    def full(self) -> bool:
-        """Whether the frequent words alone are too many; infrequent ones are forgotten before."""
-        if sum(map(len, self.by_lang.values())) <= KNOWN:
-            return False
-        self.by_lang = {lang: {word: i for word, i in own.items() if i or word == BREAK} for lang, own in self.by_lang.items()}
-        return sum(map(len, self.by_lang.values())) > KNOWN // 2
-
-    def of(self, lang: str, words: list[bytes]) -> np.ndarray:
-        """The words' numbers; 0 for breaks and infrequent words."""
-        known = self.by_lang.setdefault(lang, {BREAK: 0})
-        new = [word for word in set(words) if word not in known]
-        if new:
-            hashes = np.fromiter((word_hash(lang, word) for word in new), np.uint64, len(new))
-            frequent = self.partition.is_frequent(hashes)
-            kept = [word for word, is_kept in zip(new, frequent) if is_kept]
-            known |= dict.fromkeys(new, 0)
-            known |= {word: len(self.words) + i for i, word in enumerate(kept)}
-            self.words += kept
-            self.langs += [lang] * len(kept)
-            self.hashes = np.append(self.hashes, hashes[frequent])
-        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-
-    def pairs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions that begin two frequent words, and the hashes of these pairs."""
-        at = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
-        return at, mix(self.hashes[numbers[at]] * STEP + self.hashes[numbers[at + 1]])
-
-    def sequences(self, numbers: np.ndarray, longest: int, cut: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """From each frequent pair on, the numbers as far as three words in a row are frequent, 0 beyond, and the hashes of all lengths.
-
-        Without `cut` as far as pairs are frequent.
-        """
-        at, pairs = self.pairs(numbers)
-        frequent = self.partition.is_frequent(pairs)
-        at, pairs = at[frequent], pairs[frequent]
-        goes_on = np.zeros(len(numbers) + longest, bool)
+def pairs_of(hashes: np.ndarray) -> np.ndarray:
+    """The two numbers of each pair, from its hash."""
+    both = unmix(hashes)
+    return np.stack([both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)], axis=1)
+
+
+def prefixes(codes: np.ndarray, known: Partition, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length from two on, the positions that begin so many words, and their hashes.
+
+    Longer ones are those whose parts without the last and without the first word are frequent.
+    """
+    at = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
+    hashes = pair_hashes(codes[at], codes[at + 1])
+    yield at, hashes
+    for length in range(3, longest + 1):
+        frequent = known.is_frequent(hashes)
+        at, hashes = at[frequent], hashes[frequent]
+        goes_on = np.zeros(len(codes) + 1, bool)
         goes_on[at] = True
-        if longest > 2:
-            three = np.flatnonzero(goes_on[at + 1])
-            if cut:
-                three = three[self.partition.is_frequent(mix(pairs[three] * STEP + self.hashes[numbers[at[three] + 2]]))]
-            goes_on[:] = False
-            goes_on[at[three]] = True
-        rows = np.zeros((len(at), longest), np.int32)
-        hashes = np.zeros((len(at), longest), np.uint64)
-        rows[:, 0], hashes[:, 0] = numbers[at], self.hashes[numbers[at]]
-        rows[:, 1], hashes[:, 1] = numbers[at + 1], pairs
-        alive = np.ones(len(at), bool)
-        for k in range(2, longest):
-            alive &= goes_on[at + k - 2]
-            rows[alive, k] = numbers[at[alive] + k]
-            hashes[:, k] = mix(hashes[:, k - 1] * STEP + self.hashes[rows[:, k]])
-        return rows, hashes
-
-
-def prefix_counts(docs: DataFrame, partition: Broadcast, length: int) -> DataFrame:
-    """(hash, n) of pairs of frequent words, of three words in two frequent pairs, or of longer prefixes whose own is beyond the budget."""
+        longer = goes_on[at + 1]
+        at = at[longer]
+        hashes = mix(hashes[longer] * STEP + codes[at + length - 1])
+        yield at, hashes
+
+
+def prefix_counts(runs: DataFrame, partition: Broadcast, length: int, hot: bool = False) -> DataFrame:
+    """(hash, n) of what may be a frequent prefix of a length; with `hot` only if it continues one beyond the budget."""
 
     def rows(hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["hash", "n"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Partition = partition.value
-        numbers, held = Numbers(known), []
-        for lang, words in _by_language(batches):
-            own = numbers.of(lang, words)
-            if length == 2:
-                held.append(numbers.pairs(own)[1])
-            else:
-                found, hashes = numbers.sequences(own, length, cut=length > 3)
-                wanted = found[:, length - 1] > 0
-                if length > 3:
-                    wanted &= known.is_hot(hashes[:, length - 2], length - 1)
-                held.append(hashes[wanted, length - 1])
-            if numbers.full():
-                numbers.forget()
+        held: list[np.ndarray] = []
+        for codes in _runs(batches):
+            *shorter, (at, hashes) = prefixes(codes, known, length)
+            if hot:
+                before, its = shorter[-1]
+                hashes = hashes[np.isin(at, before[known.is_hot(its, length - 1)])]
+            held.append(hashes)
             if sum(map(len, held)) > COUNTED:
                 yield rows(*np.unique(np.concatenate(held), return_counts=True))
                 held = []
         if held:
             yield rows(*np.unique(np.concatenate(held), return_counts=True))
 
-    parts = docs.mapInArrow(counted, "hash bigint, n bigint")
+    parts = runs.mapInArrow(counted, "hash bigint, n bigint")
     return parts.groupBy("hash").agg(F.sum("n").alias("n"))
 
 
@@ -239,12 +281,12 @@ class Combined:
         self.held: list[tuple[np.ndarray, ...]] = []
         self.new = 0
 
-    def add(self, rows: np.ndarray, depths: np.ndarray | int, groups: np.ndarray, n: np.ndarray | int = 1) -> None:
-        wide = np.zeros((len(rows), 6), np.int64)
+    def add(self, rows: np.ndarray, depth: int, groups: np.ndarray) -> None:
+        wide = np.zeros((len(rows), 6), np.uint64)
         wide[:, : rows.shape[1]] = rows
         # the depth tells the totals of a prefix from a sequence that ends with it
-        wide[:, 5] = depths
-        self.held.append((*(wide[:, ::2] << 32 | wide[:, 1::2]).T, groups, np.broadcast_to(np.int64(n), len(rows))))
+        wide[:, 5] = depth
+        self.held.append((*(wide[:, ::2] << np.uint64(32) | wide[:, 1::2]).T, groups, np.ones(len(rows), np.int64)))
         self.new += len(rows)
         if self.new > COMBINED:
             self.combine()
@@ -260,86 +302,98 @@ class Combined:
     def full(self) -> bool:
         return bool(self.held) and len(self.held[0][0]) > COMBINED
 
-    def rows(self, numbers: Numbers) -> Iterator[pa.RecordBatch]:
-        """What is held, in batches, as text."""
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """What is held, in batches."""
         if not sum(len(part[0]) for part in self.held):
             return
         self.combine()
         for start in range(0, len(self.held[0][0]), 50_000):
             *keys, groups, n = (column[start : start + 50_000] for column in self.held[0])
-            *halves, depths = (half for key in keys for half in (key >> 32, key & 0xFFFFFFFF))
-            texts = [b" ".join([numbers.words[i] for i in row if i]) for row in zip(*(half.tolist() for half in halves))]
-            langs = [numbers.langs[i] for i in halves[0].tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(groups), pa.array(depths), pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n)],
-                ["own_group", "depth", "lang", "words", "n"],
-            )
+            columns = [groups, *(key.view(np.int64) for key in keys), n]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(column)) for column in columns], ["own_group", "first", "middle", "last", "n"])
         self.held = []
 
 
-def sequences(docs: DataFrame, partition: Broadcast, longest: int) -> DataFrame:
-    """(own_group, depth, lang, words, n): word sequences with the group and length of their prefix.
+def sequences(runs: DataFrame, partition: Broadcast, longest: int) -> DataFrame:
+    """(own_group, first, middle, last, n): sequences of three words or more, two numbers a column, the depth of their prefix last.
 
-    Single words, and prefixes beyond the budget, are sequences of their own that nothing follows.
+    Prefixes of three words or more beyond the budget are sequences of their own that nothing follows.
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Partition = partition.value
-        numbers, combined = Numbers(known), Combined()
+        combined = Combined()
 
         def group(hashes: np.ndarray) -> np.ndarray:
             return known.groups[(hashes & np.uint64(len(known.groups) - 1)).astype(np.int64)]
 
-        for lang, words in _by_language(batches):
-            own = numbers.of(lang, words)
-            single, n = np.unique(own[own > 0], return_counts=True)
-            combined.add(single[:, None], 1, group(numbers.hashes[single]), n)
-            rows, hashes = numbers.sequences(own, longest)
+        for codes in _runs(batches):
+            reach = np.zeros(len(codes), np.int64)
+            hashes = np.zeros((longest + 1, len(codes)), np.uint64)
+            for length, (at, own) in enumerate(prefixes(codes, known, longest), 2):
+                kept = np.full(len(at), True) if length == longest else known.is_frequent(own)
+                reach[at[kept]] = length
+                hashes[length, at] = own
+            at = np.flatnonzero(reach > 2)
+            rows = np.zeros((len(at), longest), np.uint64)
+            for k in range(longest):
+                inside = k < reach[at]
+                rows[inside, k] = codes[at[inside] + k]
             for length in range(2, longest + 1):
-                hot = known.is_hot(hashes[:, length - 1], length)
-                combined.add(rows[~hot], length, group(hashes[~hot, length - 1]))
+                own = hashes[length, at]
+                hot = known.is_hot(own, length)
+                # pairs have their counts: nodes begin with three words
+                combined.add(rows[~hot], max(length, 3), group(own[~hot]))
                 if not hot.any():
                     break
-                rows, hashes = rows[hot], hashes[hot]
-                combined.add(rows[:, :length], length, group(hashes[:, length - 1]))
-                longer = rows[:, length] > 0
-                longer[longer] = known.is_frequent(hashes[longer, length])
-                rows, hashes = rows[longer], hashes[longer]
-            if combined.full() or numbers.full():
-                yield from combined.rows(numbers)
-                numbers.forget()
-        yield from combined.rows(numbers)
+                if length > 2:
+                    combined.add(rows[hot, :length], length, group(own[hot]))
+                longer = hot & (reach[at] > length)
+                rows, at = rows[longer], at[longer]
+            if combined.full():
+                yield from combined.rows()
+        yield from combined.rows()
 
-    return docs.mapInArrow(found, "own_group bigint, depth bigint, lang string, words string, n bigint")
+    return runs.mapInArrow(found, "own_group bigint, first bigint, middle bigint, last bigint, n bigint")
 
 
 def subtree(rows: pa.Table, longest: int, least: int) -> pa.Table:
     """Frequent nodes of one group, from its word sequences sorted into a tree; no node is above its prefix."""
-    lists = pc.split_pattern(rows.column("words").combine_chunks(), " ")
-    lengths = pc.list_value_length(lists).to_numpy()
-    coded = lists.flatten().dictionary_encode()
-    langs = rows.column("lang").combine_chunks().dictionary_encode()
-    depth = rows.column("depth").to_numpy()
-    tree = np.zeros((len(lengths), longest + 1), np.int32)
-    tree[:, 0] = langs.indices.to_numpy() * 8 + depth
-    tree[:, 1:][np.arange(longest) < lengths[:, None]] = coded.indices.to_numpy() + 1
+    halves = []
+    for name in ("first", "middle", "last"):
+        both = rows.column(name).to_numpy().view(np.uint64)
+        halves += [both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)]
+    *words, depth = (half.astype(np.int64) for half in halves)
+    tree = np.stack([depth, *words[:longest]], axis=1)
     order = np.lexsort(tree.T[::-1])
     tree, n, depth = tree[order], rows.column("n").to_numpy()[order], depth[order]
     starts_at = np.full(len(tree), longest + 1)
     for column in range(longest, -1, -1):
         starts_at[1:][tree[1:, column] != tree[:-1, column]] = column
     starts_at[:1] = 0
-    found: list[tuple] = []
+    codes: list[list[int]] = []
+    found: list[np.ndarray] = [np.zeros(0, np.int64)]
     for length in range(1, longest + 1):
         starts = np.flatnonzero(starts_at <= length)
         totals = np.add.reduceat(n, starts)
         nodes = (totals >= least) & (tree[starts, length] > 0) & (depth[starts] <= length)
-        for start, total in zip(starts[nodes].tolist(), totals[nodes].tolist()):
-            words = " ".join(coded.dictionary[i - 1].as_py() for i in tree[start, 1 : length + 1].tolist())
-            found.append((langs.dictionary[int(tree[start, 0]) >> 3].as_py(), words, length, total))
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
-    columns = zip(*found) if found else ((),) * 4
-    return pa.table([pa.array(list(column), kind) for column, kind in zip(columns, kinds)], ["lang", "phrase", "n_words", "f"])
+        codes += tree[starts[nodes], 1 : length + 1].tolist()
+        found.append(totals[nodes])
+    return pa.table([pa.array(codes, pa.list_(pa.int64())), pa.array(np.concatenate(found))], ["codes", "f"])
+
+
+def named(nodes: DataFrame, vocabulary: DataFrame, bound: int) -> DataFrame:
+    """(lang, phrase, n_words, f) of nodes whose numbers are all of frequent words.
+
+    Words of a frequency beyond the bound are broadcast; a lighter one is in n / least nodes of each length and place at most.
+    """
+    placed = nodes.select("codes", "f", F.posexplode("codes").alias("at", "code"))
+    heavy = F.broadcast(vocabulary.filter(F.col("n") > bound).select("code", "lang", "word"))
+    light = vocabulary.filter(F.col("n") <= bound).select("code", "lang", "word")
+    found = placed.join(heavy, "code").unionByName(placed.join(heavy, "code", "left_anti").join(light, "code"))
+    words = F.array_sort(F.collect_list(F.struct("at", "word"))).alias("words")
+    whole = found.groupBy("codes", "f").agg(F.first("lang").alias("lang"), words).filter(F.size("words") == F.size("codes"))
+    return whole.select("lang", F.array_join("words.word", " ").alias("phrase"), F.size("words").alias("n_words"), "f")
 
 
 def packed(weights: np.ndarray, budget: int) -> np.ndarray:
@@ -369,11 +423,15 @@ def phrase_counts(docs: DataFrame, phrases: Phrases = Phrases()) -> tuple[DataFr
         raise ValueError("a phrase has two to five words")
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    counted = materialise(word_counts(texts).filter((F.col("n") >= phrases.least) | F.col("hash").isNull()))
-    totals = counted.filter("hash IS NULL").select("lang", "n")
+    words = materialise(word_counts(texts))
+    totals = materialise(words.groupBy("lang").agg(F.sum("n").alias("n")))
     tokens = totals.agg(F.sum("n")).first()[0] or 0
+    vocabulary, numbering = numbered(words, phrases)
+    vocabulary = materialise(vocabulary)
     budget = max(phrases.budget, tokens // 10**6)
-    partition, weights = Partition(), np.zeros(1 << max(12, (4 * tokens // budget).bit_length()), np.int64)
+    partition, weights = Partition(numbering), np.zeros(1 << max(12, (4 * tokens // budget).bit_length()), np.int64)
+    _marked(partition.frequent, vocabulary)
+    runs = materialise(coded(texts, spark.sparkContext.broadcast(partition)), compression="zstd")
 
     def learn(level: DataFrame) -> None:
         """The prefixes of a level, and the sequences that their slots may hold: one row per slot."""
@@ -382,19 +440,31 @@ def phrase_counts(docs: DataFrame, phrases: Phrases = Phrases()) -> tuple[DataFr
         own = level.groupBy(slot).agg(F.sum(F.least(F.col("n"), F.lit(budget))).alias("n")).toArrow()
         weights[own.column("slot").to_numpy()] += own.column("n").to_numpy()
 
-    learn(counted.filter("hash IS NOT NULL"))
+    levels: list[DataFrame] = []
     for length in range(2, phrases.longest + 1):
-        own = prefix_counts(texts, spark.sparkContext.broadcast(partition), length)
-        level = materialise(own.filter(F.col("n") >= phrases.least))
-        learn(level)
-        # at most tokens / budget rows
-        hot = level.filter(F.col("n") > budget).select("hash").toArrow().column("hash").to_numpy()
-        if length == phrases.longest or length > 2 and not len(hot):
+        last = 2 < length == phrases.longest
+        # the trees alone count the longest, but their groups need to know those that go on from a hot prefix
+        if last and not len(partition.hot[length - 1]):
             break
-        partition.hot[length] = np.unique(hot.view(np.uint64))
+        own = prefix_counts(runs, spark.sparkContext.broadcast(partition), length, hot=last)
+        levels.append(materialise(own.filter(F.col("n") >= phrases.least)))
+        learn(levels[-1])
+        if length < phrases.longest:
+            # at most tokens / budget rows
+            hot = levels[-1].filter(F.col("n") > budget).select("hash").toArrow().column("hash").to_numpy()
+            partition.hot[length] = np.unique(hot.view(np.uint64))
     partition.groups = packed(weights, budget)
-    found = sequences(texts, spark.sparkContext.broadcast(partition), phrases.longest)
-    return materialise(found.groupBy("own_group").applyInArrow(lambda rows: subtree(rows, phrases.longest, phrases.least), NODES)), totals
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = pairs_of(batch.column("hash").to_numpy().view(np.uint64)).astype(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.list_(pa.int64())), batch.column("n")], ["codes", "f"])
+
+    found = sequences(runs, spark.sparkContext.broadcast(partition), phrases.longest)
+    trees = found.groupBy("own_group").applyInArrow(lambda rows: subtree(rows, phrases.longest, phrases.least), NODES)
+    nodes = materialise(levels[0].mapInArrow(pairs, NODES).unionByName(trees))
+    single = vocabulary.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("n_words"), F.col("n").alias("f"))
+    return materialise(single.unionByName(named(nodes, vocabulary, _bound(tokens, phrases)))), totals
 
 
 def collocations(docs: DataFrame, phrases: Phrases = Phrases(), top: int = 2000) -> DataFrame:
@@ -421,14 +491,17 @@ def collocations(docs: DataFrame, phrases: Phrases = Phrases(), top: int = 2000)
     return _best(scored.join(_inside(candidates), ["lang", "phrase"], "left").filter("around IS NULL OR around < a").drop("around"), top)
 
 
+def _bound(tokens: int, phrases: Phrases) -> int:
+    return max(phrases.least, tokens // 10**5)
+
+
 def _heavy(counts: DataFrame, totals: DataFrame, phrases: Phrases) -> tuple[DataFrame, int]:
     """Phrases that may be parts of many others, and the frequency from which they are.
 
     Those of one length in one language share its words: 10**5 each at most. A lighter phrase is
     part of f / least others of each length and side at most.
     """
-    tokens = totals.agg(F.sum("n")).first()[0] or 0
-    bound = max(phrases.least, tokens // 10**5)
+    bound = _bound(totals.agg(F.sum("n")).first()[0] or 0, phrases)
     return counts.filter(F.col("f") > bound), bound
 
 

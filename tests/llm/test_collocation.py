@@ -110,3 +110,34 @@ def test_slots_are_packed_by_the_budget():
     sums = np.bincount(groups, weights)
     assert all(total <= 100 or (groups == group).sum() == 1 or weights[groups == group].max() <= 100 for group, total in enumerate(sums))
     assert sums[groups[5]] == 300 and sums.sum() == weights.sum()
+
+
+def test_only_what_goes_on_is_sent_to_the_trees(spark, monkeypatch):
+    """Words and pairs have their own counts, and a sequence ends where four words are infrequent."""
+    sent, real = [], co.sequences
+    monkeypatch.setattr(co, "sequences", lambda *args: sent.append(real(*args)) or sent[-1])
+    pairs = ["".join(f"v{i} v{k}." for i in range(9) for k in range(9)) for _ in range(5)]
+    fours = ["".join(f"{first} y z t{i}." for first in "xq" for i in range(40)) for _ in range(4)]
+    rows = [("en", text) for text in pairs + fours]
+    counts, _ = co.phrase_counts(table(spark, rows).coalesce(1), co.Phrases(least=5))
+    f, _ = plain_counts(rows)
+    assert {(r.lang, tuple(r.phrase.split(" "))): r.f for r in counts.collect()} == {key: n for key, n in f.items() if n >= 5}
+    # x y z, q y z, and y z with each t
+    assert sent[0].count() == 42
+
+
+def test_words_that_share_a_number(spark):
+    rows = chatter(1, 200, "en") + chatter(2, 150, "de") + chatter(3, 100, None)
+    words = co.word_counts(table(spark, [(lang or "und", text) for lang, text in rows])).collect()
+    numbers = [co.word_hash(r.lang, r.word.encode()) >> 52 for r in words]
+    assert len(set(numbers)) < len(numbers) - 20 and any(number < 512 for number in numbers)
+    got = co.collocations(table(spark, rows), co.Phrases(least=5, budget=60, bits=12), top=30).collect()
+    assert sorted(map(tuple, got)) == plain(rows, 5, 30)
+
+
+def test_hashes_are_those_of_spark_and_pairs_come_back(spark):
+    words = [(lang, "é" * n + "x" * k) for lang in ("en", "", "ß") for n in range(3) for k in range(0, 80, 7)]
+    got = spark.createDataFrame(words, "lang string, word string").selectExpr("lang", "word", "xxhash64(lang, word) AS hash").collect()
+    assert all(r.hash % 2**64 == co.word_hash(r.lang, r.word.encode()) for r in got)
+    first, second = np.random.default_rng(1).integers(0, 2**32, (2, 1000), np.uint64)
+    assert (co.pairs_of(co.pair_hashes(first, second)) == np.stack([first, second], axis=1)).all()
