@@ -1,11 +1,16 @@
 """Counterfactual effects from boosted trees, grown for all groups together.
 
-Covariates are counted into cells and cut into bins. One step grows one level of one tree of every
-group: a histogram of the residuals over (group, node, feature, bin), combined per task, then the
-best split of each node from running sums over at most `BINS` bins. So the jobs of a fit follow
-trees and depth only, not the number of groups, and no group is ever brought together. Trees are
-small tables; cells find their node by walking the splits of their group. Beside its own
-prediction each cell carries those with the flag forced on and off.
+Covariates are counted into cells and cut into bins, so a group has no more cells than distinct
+binned covariates, whatever its rows. A group of at most `WHOLE_CELLS` cells, which is a memory of
+known size, is grown by one task: all of its trees are arrays there, and one job grows all such
+groups.
+
+Larger groups are never brought together. One step grows one level of one tree of all of them: a
+histogram of the residuals over (group, node, feature, bin), combined per task, then the best split
+of each node from running sums over at most `BINS` bins. So their jobs follow trees and depth only,
+not the number of groups. Trees are small tables; cells find their node by walking the splits of
+their group. Either way each cell carries, beside its own prediction, those with the flag forced on
+and off, and the trees are the same.
 
 The first tree is taken whole and later ones by the learning rate, twice, as the slope of squared
 loss has it. Gains are rounded before they are compared, and of equal ones the first feature and
@@ -14,6 +19,8 @@ lowest bin count, so neither row order nor partitioning changes a tree.
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +31,9 @@ from offerlens.sources.scratch import materialise, step_tables
 
 GAIN_DIGITS = 6
 CELLS_PER_TASK = 200_000
+# Cells of a group that one task may hold: with five features some 200 bytes each at most.
+WHOLE_CELLS = 1_500_000
+MANY_TASKS = 10_000
 
 
 def binned_cells(rows: DataFrame, features: tuple[str, ...], outcome: str, by: tuple[str, ...], bins: int = BINS) -> DataFrame:
@@ -145,6 +155,113 @@ def boosted(
     return state
 
 
+def _best_splits(node: np.ndarray, nodes: int, bins: np.ndarray, n: np.ndarray, g: np.ndarray, min_leaf: int) -> tuple[np.ndarray, ...]:
+    """Per node the gain, feature, bin, left and right value of its best split, and its own value.
+
+    The rules of `_level`: gains are rounded, and of equal ones the first feature and lowest bin count.
+    """
+    best = np.zeros(nodes)
+    feature, at = np.full(nodes, -1), np.zeros(nodes, np.int64)
+    left, right, own = np.zeros(nodes), np.zeros(nodes), np.zeros(nodes)
+    each = np.arange(nodes)
+    for i, values in enumerate(bins):
+        width = int(values.max()) + 1
+        key = node * width + values
+        n_left = np.bincount(key, n, nodes * width).reshape(nodes, width).cumsum(axis=1)
+        g_left = np.bincount(key, g, nodes * width).reshape(nodes, width).cumsum(axis=1)
+        n_all, g_all = n_left[:, -1:], g_left[:, -1:]
+        n_right, g_right = n_all - n_left, g_all - g_left
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if not i:
+                own = (g_all / n_all)[:, 0]
+            gain = g_left**2 / n_left + g_right**2 / n_right - g_all**2 / n_all
+            # half up, as SQL rounds
+            gain = np.floor(gain * 10**GAIN_DIGITS + 0.5) / 10**GAIN_DIGITS
+            gain = np.where((n_left >= min_leaf) & (n_right >= min_leaf), gain, 0.0)
+            top = gain.argmax(axis=1)
+            better = gain[each, top] > best
+            here, of = each[better], top[better]
+            best[here], feature[here], at[here] = gain[here, of], i, of
+            left[here], right[here] = g_left[here, of] / n_left[here, of], g_right[here, of] / n_right[here, of]
+    return feature, at, left, right, own
+
+
+def boosted_whole(
+    bins: np.ndarray, n: np.ndarray, mean: np.ndarray, flag: int, trees: int = TREES, depth: int = DEPTH, rate: float = LEARNING_RATE, min_leaf: int = MIN_LEAF
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """Predictions of the cells of one group with the flag forced on and off, and the splits on the flag of all trees.
+
+    `bins` has a row per feature. A cell's own prediction is one of the two, so only one is walked for beside it.
+    """
+    n = n.astype(float)
+    forced = 1 - bins[flag]
+    f, other = np.zeros(len(n)), np.zeros(len(n))
+    flag_count = 0
+    for tree in range(trees):
+        g = n * (mean - f)
+        node, node_other = np.ones(len(n), np.int32), np.ones(len(n), np.int32)
+        value = np.zeros(2 << depth)
+        split, limit = np.full(2 << depth, -1), np.zeros(2 << depth, np.int64)
+        for level in range(depth):
+            first = 1 << level
+            here = np.flatnonzero(node >= first)
+            if not len(here):
+                break
+            # only nodes that hold cells, numbered without gaps
+            held, own = np.unique(node[here], return_inverse=True) if level else (np.ones(1, np.int64), np.zeros(len(here), np.int64))
+            whole = len(here) == len(n)
+            part = (bins, n, g) if whole else (bins[:, here], n[here], g[here])
+            feature, at, left, right, mean_held = _best_splits(own, len(held), *part, min_leaf)
+            if not level:
+                value[1] = mean_held[0]
+            found = feature >= 0
+            nodes = held[found]
+            split[nodes], limit[nodes] = feature[found], at[found]
+            value[2 * nodes], value[2 * nodes + 1] = left[found], right[found]
+            flag_count += int((feature == flag).sum())
+            for of, alone in ((node, False), (node_other, True)):
+                cells = np.flatnonzero((of >= first) & (split[of] >= 0))
+                by = split[of[cells]]
+                seen = bins[by, cells]
+                if alone:
+                    seen = np.where(by == flag, forced[cells], seen)
+                of[cells] = 2 * of[cells] + (seen > limit[of[cells]])
+        share = 2 * rate if tree else 1.0
+        f += share * value[node]
+        other += share * value[node_other]
+    on = bins[flag] == 1
+    return np.where(on, f, other), np.where(on, other, f), flag_count
+
+
+def _whole_effects(cells: DataFrame, features: tuple[str, ...], by: tuple[str, ...], trees: int, depth: int) -> DataFrame:
+    """Effect and splits on the flag of groups that fit a task."""
+    flag, names, width = features.index(FLAG), list(by), len(features)
+    kinds = [cells.schema[name] for name in by]
+    shown = ", ".join(f"`{kind.name}` {kind.dataType.simpleString()}" for kind in kinds)
+
+    def effect(table: pa.Table) -> pa.Table:
+        keys = table.select(names).slice(0, 1)
+        n, mean = (table.column(name).to_numpy() for name in ("n", "mean"))
+        arrays = table.column("bins").combine_chunks()
+        bins = np.ascontiguousarray(arrays.flatten().to_numpy().reshape(-1, width).T)
+        del table, arrays
+        on, off, splits = boosted_whole(bins, n, mean, flag, trees, depth)
+        mean_effect = float(((on - off) * n).sum() / n.sum())
+        found = keys.append_column("was_picked_effect", pa.array([mean_effect], pa.float64()))
+        return found.append_column("was_picked_importance", pa.array([splits], pa.int64()))
+
+    return cells.groupBy(*by).applyInArrow(effect, f"{shown}, was_picked_effect double, was_picked_importance bigint")
+
+
+def _split_effects(cells: DataFrame, features: tuple[str, ...], by: tuple[str, ...], trees: int, depth: int) -> DataFrame:
+    """The same for groups of any size, grown by level."""
+    # cells, not pairs, are dealt out, so that a pair with most of the rows is spread as well
+    parts = max(cells.sparkSession.sparkContext.defaultParallelism, cells.count() // CELLS_PER_TASK)
+    fitted = boosted(materialise(cells.repartition(parts, *by, "bins")), features, by, trees, depth)
+    effect = F.sum((F.col("f_on") - F.col("f_off")) * F.col("n")) / F.sum("n")
+    return fitted.groupBy(*by).agg(effect.alias("was_picked_effect"), F.max("flag_count").alias("was_picked_importance"))
+
+
 def boosted_effects(
     offers: DataFrame,
     pairs: DataFrame | None = None,
@@ -169,14 +286,16 @@ def boosted_effects(
     by = KEYS
     with step_tables(offers.sparkSession):
         cells = materialise(binned_cells(rows, features, outcome, by))
-        sizes = materialise(cells.groupBy(*by).agg(F.sum("n").alias("size")))
-        large = cells.join(sizes.filter(F.col("size") >= min_rows).select(*by), list(by), "left_semi")
-        large = materialise(large)
-        # cells, not pairs, are dealt out, so that a pair with most of the rows is spread as well
-        parts = max(offers.sparkSession.sparkContext.defaultParallelism, large.count() // CELLS_PER_TASK)
-        fitted = boosted(materialise(large.repartition(parts, *by, "bins")), features, by, trees, depth)
-        effect = F.sum((F.col("f_on") - F.col("f_off")) * F.col("n")) / F.sum("n")
-        effects = fitted.groupBy(*by).agg(effect.alias("was_picked_effect"), F.max("flag_count").alias("was_picked_importance"))
+        sizes = materialise(cells.groupBy(*by).agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("cells")))
+        fitting = sizes.filter(F.col("size") >= min_rows)
+        held = F.col("cells") <= WHOLE_CELLS
+        small, split = fitting.agg(F.count_if(held), F.count_if(~held)).first()
+        parts = max(offers.sparkSession.sparkContext.defaultParallelism, min(small, MANY_TASKS))
+        whole = cells.join(fitting.filter(held).select(*by), list(by), "left_semi").repartition(parts, *by)
+        effects = _whole_effects(whole, features, by, trees, depth)
+        if split:
+            large = materialise(cells.join(fitting.filter(~held).select(*by), list(by), "left_semi"))
+            effects = effects.unionByName(_split_effects(large, features, by, trees, depth))
         results = sizes.join(effects, list(by), "left").select(
             *by, F.col("size").alias("n"), F.when(F.col("size") < min_rows, TOO_FEW).alias("error"), "was_picked_effect", "was_picked_importance"
         )

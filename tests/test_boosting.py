@@ -56,6 +56,32 @@ def test_jobs_do_not_grow_with_the_pairs(spark, offers):
     assert jobs[1] <= jobs[0]
 
 
+def test_jobs_do_not_grow_with_the_trees_of_groups_that_fit_a_task(spark, offers):
+    jobs = []
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    for trees in (1, 6):
+        spark.sparkContext.setJobGroup(f"trees {trees}", "trees")
+        boosting.boosted_effects(offers, trees=trees)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trees {trees}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert jobs[0] == jobs[1]
+
+
+@pytest.mark.parametrize("held", [0, 300])
+def test_groups_too_large_for_a_task_grow_the_same_trees(spark, offers, monkeypatch, held):
+    cells = boosting.binned_cells(model_input(offers, "floors_gained"), FEATURES, "floors_gained", KEYS)
+    sizes = [r["count"] for r in cells.groupBy(*KEYS).count().collect()]
+    assert min(sizes) < 300 < max(sizes)
+    whole = shown(boosting.boosted_effects(offers, trees=3))
+    monkeypatch.setattr(boosting, "WHOLE_CELLS", held)
+    split = shown(boosting.boosted_effects(offers, trees=3))
+    assert split.keys() == whole.keys()
+    for pair, (n, error, effect, splits) in whole.items():
+        assert (split[pair][:2], split[pair][3]) == ((n, error), splits)
+        assert split[pair][2] == (pytest.approx(effect, rel=1e-9) if effect is not None else None)
+
+
 def test_many_values_share_bins(spark):
     rows = [("RED", "X", i % 2 == 0, True, 10 + 5 * (i % 2 == 0), i, 50, 100, 3, 1) for i in range(1200)]
     offers = spark.createDataFrame(rows, OFFER)
