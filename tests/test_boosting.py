@@ -6,6 +6,7 @@ from test_statistics import OFFER, offer_rows
 
 from offerlens.operators import boosting, counterfactual
 from offerlens.operators.model_input import FEATURES, KEYS, model_input
+from verification import queries
 
 
 def pairs_of(spark, pairs):
@@ -82,6 +83,16 @@ def test_groups_too_large_for_a_task_grow_the_same_trees(spark, offers, monkeypa
         assert split[pair][2] == (pytest.approx(effect, rel=1e-9) if effect is not None else None)
 
 
+def test_the_query_grows_all_trees_of_every_screened_pair(spark, offers, monkeypatch):
+    monkeypatch.setattr(queries, "_stored_offers", lambda session, sf_dir: offers)
+    got = shown(queries.QUERIES["counterfactual_effect"](spark, "tables"))
+    expected = shown(boosting.boosted_effects(offers, trees=200, depth=5))
+    assert len(got) == 6
+    for pair, (n, error, effect, splits) in got.items():
+        assert (n, error, splits) == (expected[pair][0], expected[pair][1], expected[pair][3])
+        assert effect == (pytest.approx(expected[pair][2], abs=1e-6) if error is None else None)
+
+
 def test_many_values_share_bins(spark):
     rows = [("RED", "X", i % 2 == 0, True, 10 + 5 * (i % 2 == 0), i, 50, 100, 3, 1) for i in range(1200)]
     offers = spark.createDataFrame(rows, OFFER)

@@ -358,11 +358,11 @@ def _key_hashes(rows: DataFrame, name: str) -> DataFrame:
     )
 
 
-def _boosted(spark: SparkSession, sf_dir: str, trees: int, **options) -> DataFrame:
-    """Every screened pair with all features."""
+def _boosted(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """Every screened pair with all features; as many trees as the operator grows, unless told."""
     stored = _stored_offers(spark, sf_dir)
     pairs = screen.lift_screen(stored, MIN_SIDE).select(*KEYS)
-    return _rounded(boosted_effects(stored, pairs, trees=trees, **options), "was_picked_effect")
+    return _rounded(boosted_effects(stored, pairs, **options), "was_picked_effect")
 
 
 QUERIES: dict[str, Query] = {
@@ -438,6 +438,6 @@ QUERIES: dict[str, Query] = {
     "convergence_breakdown": lambda s, d: report.convergence_breakdown(_separated(s, d)),
     "lift_against_effect": lift_against_effect,
     "counterfactual_flag_only": counterfactual_flag_only,
-    "counterfactual_effect": lambda s, d: _boosted(s, d, trees=5),
+    "counterfactual_effect": _boosted,
     "counterfactual_shallow": lambda s, d: _boosted(s, d, trees=2, depth=2),
 }
