@@ -46,3 +46,17 @@ def test_the_kept_copies_do_not_depend_on_the_list_of_files(spark, monkeypatch):
     monkeypatch.setattr(run_operators, "MANY_FILES", 0)
     assert sorted(map(tuple, drop_duplicate_runs(rows).collect()), key=repr) == listed
     assert {(r[0], r[-1]) for r in listed} == {("a", "x"), ("b", "y"), (None, "z"), ("c", None), ("d", "y")}
+
+
+def test_rows_of_files_without_repeats_are_not_sorted_or_moved(spark):
+    # every key comes once in the files x and y; z only repeats them
+    found = [("a", "x"), ("b", "x"), ("c", "y"), (None, "y"), ("a", "z"), ("c", "z"), (None, "z")]
+    records = [run(play_id=key, gold=i) | {"_source_file": file} for i, (key, file) in enumerate(found)]
+    own = runs(spark, *records).schema.add("_source_file", "string")
+    rows = spark.createDataFrame([tuple(r.get(name) for name in own.names) for r in records], own)
+    kept = drop_duplicate_runs(rows)
+    assert "Aggregate" not in kept._jdf.queryExecution().analyzed().toString()
+    assert {(r.play_id, r.gold, r._source_file) for r in kept.collect()} == {("a", 0, "x"), ("b", 1, "x"), ("c", 2, "y"), (None, 3, "y")}
+    # a second copy within a needed file, of the null key too, is left out as before
+    twice = drop_duplicate_runs(rows.unionByName(rows.filter("_source_file = 'y'")))
+    assert sorted((r.play_id or "", r.gold) for r in twice.collect()) == [("", 3), ("a", 0), ("b", 1), ("c", 2)]
